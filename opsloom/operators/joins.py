@@ -84,7 +84,7 @@ def lookup_match(
         literal = F.regexp_extract("_ref", r"^([^*?]*)", 1)
         hits = _by_prefix(df, entries, F.col(col), literal, F.length(literal))
         like = F.regexp_replace(F.regexp_replace("_ref", r"([.\\+^$|(){}\[\]])", r"\\$1"), r"\*", ".*")
-        hits = hits.where(F.col(col).rlike(F.concat(F.lit("^"), F.regexp_replace(like, r"\?", "."), F.lit("$"))))
+        hits = hits.where(F.rlike(F.col(col), F.concat(F.lit("^"), F.regexp_replace(like, r"\?", "."), F.lit("$"))))
     elif kind == "cidr":
         size = F.substring_index("_ref", "/", -1).cast("int")
         entries = entries.withColumn("_net", F.substring_index("_ref", "/", 1)).withColumn("_size", size)

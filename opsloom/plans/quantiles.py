@@ -20,7 +20,7 @@ def exact_quantiles(
 
     ``accuracy`` only sets the width of the bracket; the answer is exact for any value.
     """
-    slack = 2.0 / accuracy
+    slack = 3.0 / accuracy
     ps = list(probs.values())
     lows = [max(p - slack, 0.0) for p in ps]
     highs = [min(p + slack, 1.0) for p in ps]
@@ -32,8 +32,10 @@ def exact_quantiles(
         F.percentile_approx(col, lows, accuracy).alias("_lo"),
         F.percentile_approx(col, highs, accuracy).alias("_hi"),
     )
-    lo = [F.col("_min") if low <= 0 else F.col("_lo")[i] for i, low in enumerate(lows)]
-    hi = [F.col("_max") if high >= 1 else F.col("_hi")[i] for i, high in enumerate(highs)]
+    # neighbouring ranks count in a small group, so its bracket is the whole (bounded) group
+    few = F.col("_n") < 2 * accuracy
+    lo = [F.when(few | F.lit(low <= 0), F.col("_min")).otherwise(F.col("_lo")[i]) for i, low in enumerate(lows)]
+    hi = [F.when(few | F.lit(high >= 1), F.col("_max")).otherwise(F.col("_hi")[i]) for i, high in enumerate(highs)]
     marked = null_safe_join(values, sketch.where(F.col("_n") > 0), by)
     below = marked.groupBy(*by).agg(
         F.max("_n").alias("_n"),
