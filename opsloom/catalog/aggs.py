@@ -164,12 +164,12 @@ def _(t):
     """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM events
        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
        s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
-       SELECT user_id, session::BIGINT AS session, min(ts) AS "start", max(ts) AS "end", count(*) AS n, count(DISTINCT event_type) AS kinds,
+       SELECT user_id, session::BIGINT AS session, min(ts) AS "start", max(ts) AS "end", count(*) AS n, round(sum(value), 2) AS total,
        round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0, 6) AS duration FROM s GROUP BY user_id, session""",
 )
 def _(t):
-    df = A.link(t.events, ["user_id"], "ts", 21600, ["ts", "event_id"], {"kinds": "count(DISTINCT event_type)"})
-    return rounded(df, 6, "duration")
+    df = A.link(t.events, ["user_id"], "ts", 21600, {"total": ("sum", "value")})
+    return rounded(rounded(df, 6, "duration"), 2, "total")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,30 +150,43 @@ def _sql(v) -> str:
     return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
 
-def link(
-    df: DataFrame, keys: list[str], ts: str, gap_seconds: int, order: list[str], aggs: dict[str, str] | None = None,
-    chunk: Column | None = None,
-) -> DataFrame:
-    """One record per burst of events: start, end, duration, count; a larger gap opens a new record."""
-    rows = session_numbers(df, keys, ts, gap_seconds, order, chunk)
-    out = rows.groupBy(*keys, "session").agg(
-        F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"),
-        *[F.expr(e).alias(n) for n, e in (aggs or {}).items()],
-    )
-    return out.withColumn("duration", seconds_between("start", "end"))
-
-
 def seconds_between(a: str, b: str) -> Column:
     """Seconds from a to b with fraction."""
     return F.timestamp_diff("MICROSECOND", F.col(a), F.col(b)) / 1e6
 
 
-def session_numbers(df, keys, ts, gap_seconds, order, chunk=None) -> DataFrame:
-    chunk = chunk if chunk is not None else F.date_trunc("day", F.col(ts))
-    gaps = ordered_window(df, keys, order, chunk, lag={"_prev_ts": ts})
-    fresh = F.col("_prev_ts").isNull() | (seconds_between("_prev_ts", ts) > gap_seconds)
-    gaps = gaps.withColumn("_new", fresh.cast("long"))
-    return ordered_window(gaps, keys, order, chunk, running={"session": ("sum", F.col("_new"))}).drop("_prev_ts", "_new")
+MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+
+
+def link(
+    df: DataFrame, keys: list[str], ts: str, gap_seconds: int, aggs: dict[str, tuple[str, str]] | None = None,
+    chunk: str = "day",
+) -> DataFrame:
+    """One record per burst of events: start, end, duration, count; a larger gap opens a new record.
+
+    Bursts are found inside (key, ``chunk`` of time) first, so a busy key is
+    spread over tasks; then bursts that touch across a chunk edge are joined.
+    The second step sees one row per burst, and bursts lie a gap apart, so their
+    number per key is limited by the time range.  ``aggs`` maps a name to
+    (count | sum | min | max, column).
+    """
+    aggs = {"n": ("count", "*"), **(aggs or {})}
+    part = [*keys, "_chunk"]
+    inside = Window.partitionBy(*part).orderBy(ts)
+    rows = df.withColumn("_chunk", F.date_trunc(chunk, F.col(ts))).withColumn("_prev", F.lag(ts).over(inside))
+    fresh = F.col("_prev").isNull() | (seconds_between("_prev", ts) > gap_seconds)
+    rows = rows.withColumn("_part", F.sum(fresh.cast("long")).over(inside))
+    pieces = rows.groupBy(*part, "_part").agg(
+        F.min(ts).alias("start"), F.max(ts).alias("end"), *[getattr(F, k)(c).alias(n) for n, (k, c) in aggs.items()]
+    )
+    across = Window.partitionBy(*keys).orderBy("start")
+    pieces = pieces.withColumn("_prev", F.lag("end").over(across))
+    apart = F.col("_prev").isNull() | (seconds_between("_prev", "start") > gap_seconds)
+    pieces = pieces.withColumn("session", F.sum(apart.cast("long")).over(across))
+    out = pieces.groupBy(*keys, "session").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), *[MERGE[k](n).alias(n) for n, (k, _) in aggs.items()]
+    )
+    return out.withColumn("duration", seconds_between("start", "end"))
 
 
 def profile(df: DataFrame) -> DataFrame:

@@ -56,21 +56,23 @@ def delta(df: DataFrame, cols: list[str], by: list[str], ts: str, order: list[st
 
 
 def sequence(
-    df: DataFrame, by: list[str], ts: str, steps: list[Column], within_seconds: int, order: list[str],
-    chunk: Column | None = None,
+    df: DataFrame, by: list[str], ts: str, steps: list[Column], within_seconds: int, order: list[str]
 ) -> DataFrame:
     """Ends of chains step 1 < step 2 < ... of one key within a time limit, each with its latest start.
 
-    One running maximum per step carries the latest possible start forward.
+    Time is cut into chunks as long as the limit, and every row is also shown to
+    the next chunk: a chain that ends in a chunk starts in it or the one before.
+    One running maximum per step then carries the latest possible start, all in
+    the same (key, chunk) partitions.
     """
-    chunk = chunk if chunk is not None else F.date_trunc("day", F.col(ts))
-    rows = df.withColumn("_start", F.when(steps[0], F.col(ts)))
+    slot = F.floor(F.col(ts).cast("timestamp").cast("double") / within_seconds)
+    rows = df.withColumn("_own", slot).withColumn("_chunk", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    before = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_start", F.when(steps[0], F.col(ts)))
     for step in steps[1:]:
-        rows = ordered_window(rows, by, order, chunk, running={"_best": ("max", F.col("_start"))})
-        rows = ordered_window(rows, by, order, chunk, lag={"_before": "_best"})
-        rows = rows.withColumn("_start", F.when(step, F.col("_before"))).drop("_best", "_before")
-    hit = F.col("_start").isNotNull() & (seconds_between("_start", ts) <= within_seconds)
-    return rows.where(hit).withColumnRenamed("_start", "chain_start")
+        rows = rows.withColumn("_start", F.when(step, F.max("_start").over(before)))
+    hit = F.col("_start").isNotNull() & (seconds_between("_start", ts) <= within_seconds) & (F.col("_own") == F.col("_chunk"))
+    return rows.where(hit).withColumnRenamed("_start", "chain_start").drop("_own", "_chunk")
 
 
 def trend(df: DataFrame, by: list[str], ts: str, span: str, measure: str) -> DataFrame:

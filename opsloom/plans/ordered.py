@@ -50,17 +50,20 @@ def ordered_window(
     lead: dict[str, str] | None = None,
     running: dict[str, tuple[str, Column]] | None = None,
     number: str | None = None,
+    exclusive: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add previous-row, next-row, running and row-number columns per key.
 
     ``order`` are column names, ascending, and must be unique within a key.
     ``chunk`` must grow with the order.  ``running`` maps an output name to
     (kind, expression), kind one of sum, count, max, min, last (last non-null);
-    the frame is from the first row of the key to the current one.
+    the frame is from the first row of the key to the current one, or to the row
+    before it for names in ``exclusive``.
     """
     lag, lead, running = lag or {}, lead or {}, dict(running or {})
     if number:
         running[number] = ("sum", F.lit(1).cast("long"))
+    exclusive = set(exclusive)
     part = [*keys, "_chunk"]
     work = {"_chunk": chunk, "_kind": F.lit(_ROW)}
     if lag:
@@ -96,14 +99,14 @@ def ordered_window(
         everything = everything.unionByName(summary.select(*tail), allowMissingColumns=True)
 
     inside = Window.partitionBy(*part).orderBy("_kind", *order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = {}
     if lag:
         out["_before"] = F.lag("_prev").over(inside)
     if lead:
         out["_after"] = F.lead("_next").over(inside)
     for i, (name, (kind, _)) in enumerate(running.items()):
-        out[f"_out{i}"] = _over(kind, f"_run{i}", upto)
+        frame = inside.rowsBetween(Window.unboundedPreceding, -1 if name in exclusive else Window.currentRow)
+        out[f"_out{i}"] = _over(kind, f"_run{i}", frame)
     done = everything.withColumns(out).where(F.col("_kind") == _ROW)
     result = [F.col(c) for c in df.columns]
     result += [F.col(f"_before.{o}").alias(o) for o in lag]

@@ -31,8 +31,8 @@ def spine(series: DataFrame, by: list[str], span: str, slot: str = "bucket") ->
     first = series.agg(F.min(slot)).scalar()
     last = series.agg(F.max(slot)).scalar()
     keys = series.select(*by).distinct() if by else series.agg(F.count("*").alias("_n")).drop("_n")
-    slots = F.transform(F.sequence(first, last, step_of(span)), lambda x: x.cast("timestamp_ntz"))
-    return keys.withColumn(slot, F.explode(slots))
+    full = keys.withColumn(slot, F.explode(F.sequence(first, last, step_of(span))))
+    return full.withColumn(slot, F.col(slot).cast("timestamp_ntz"))
 
 
 def fill_gaps(series: DataFrame, by: list[str], span: str, fill: dict | None = None, slot: str = "bucket") -> DataFrame:
