@@ -32,7 +32,7 @@ def _(t):
        UNION ALL SELECT event_type, bucket, 'sum', round(total, 6) FROM a
        UNION ALL SELECT event_type, bucket, 'max', round(peak, 6) FROM a
        UNION ALL SELECT event_type, bucket, 'p95', round(p95, 6) FROM a
-       UNION ALL SELECT event_type, bucket, 'rate', round((mean - lag(mean) OVER w) / (epoch(bucket) - lag(epoch(bucket)) OVER w), 6) FROM a WINDOW w AS (PARTITION BY event_type ORDER BY bucket)
+       UNION ALL SELECT event_type, bucket, 'rate', round((mean - lag(mean) OVER w) / (epoch(bucket) - lag(epoch(bucket)) OVER w), 9) FROM a WINDOW w AS (PARTITION BY event_type ORDER BY bucket)
        UNION ALL SELECT event_type, bucket, 'count', n::DOUBLE FROM s LEFT JOIN a USING (event_type, bucket)
        UNION ALL SELECT event_type, bucket, 'absent', 1.0 FROM s ANTI JOIN a USING (event_type, bucket)""",
 )
@@ -40,7 +40,7 @@ def _(t):
     out = None
     for stat in ("mean", "sum", "max", "p95", "rate", "count", "absent"):
         df = M.summarize(t.events, "ts", "value", "hour", stat, ["event_type"], fill=stat == "count")
-        df = df.select("event_type", "bucket", F.lit(stat).alias("stat"), F.round("v", 6).alias("v"))
+        df = df.select("event_type", "bucket", F.lit(stat).alias("stat"), F.round("v", 9 if stat == "rate" else 6).alias("v"))
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -124,12 +124,12 @@ def _(t):
     "m9_capacity_trend",
     """WITH s AS (SELECT o_orderpriority, date_trunc('month', o_orderdate)::TIMESTAMP AS period, sum(o_totalprice) AS usage, count(*) * 500000.0 AS capacity FROM orders GROUP BY 1, 2),
        f AS (SELECT o_orderpriority, regr_slope(usage, date_diff('day', (SELECT min(period) FROM s), period)) AS slope FROM s GROUP BY 1)
-       SELECT o_orderpriority, period, round(usage, 2) AS usage, capacity::DOUBLE AS capacity, round(usage * 100 / capacity, 6) AS percent, round(slope, 4) AS slope_per_day FROM s JOIN f USING (o_orderpriority)""",
+       SELECT o_orderpriority, period, round(usage, 2) AS usage, capacity::DOUBLE AS capacity, round(usage * 100 / capacity, 9) AS percent, round(slope, 4) AS slope_per_day FROM s JOIN f USING (o_orderpriority)""",
 )
 def _(t):
     df = M.usage_trend(t.orders, ["o_orderpriority"], "o_orderdate", "month", "sum(o_totalprice)", "count(*) * 500000.0D")
     return df.select(
-        "o_orderpriority", "period", F.round("usage", 2).alias("usage"), "capacity", F.round("percent", 6).alias("percent"),
+        "o_orderpriority", "period", F.round("usage", 2).alias("usage"), "capacity", F.round("percent", 9).alias("percent"),
         F.round("slope_per_day", 4).alias("slope_per_day"),
     )
 
