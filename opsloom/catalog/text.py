@@ -28,9 +28,10 @@ def _(t):
 
 
 def pii_sql(name, pattern):
+    digit = "substr(m[i], (16 - j)::INTEGER, 1)::INTEGER"
     luhn = (
-        "list_sum(list_transform(range(0, 16), lambda i: CASE WHEN i % 2 = 0 THEN substr(entity, (16 - i)::INTEGER, 1)::INTEGER "
-        "WHEN substr(entity, (16 - i)::INTEGER, 1)::INTEGER > 4 THEN substr(entity, (16 - i)::INTEGER, 1)::INTEGER * 2 - 9 ELSE substr(entity, (16 - i)::INTEGER, 1)::INTEGER * 2 END)) % 10 = 0"
+        f"list_sum(list_transform(range(0, 16), lambda j: CASE WHEN j % 2 = 0 THEN {digit} "
+        f"WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END)) % 10 = 0"
     )
     check = f"WHERE {luhn}" if name == "CARD" else ""
     return f"""SELECT doc_id, '{name}' AS type, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INTEGER AS "offset",
@@ -39,7 +40,7 @@ def pii_sql(name, pattern):
 
 @query(
     "l2_pii_detection",
-    " UNION ALL ".join(pii_sql(n, p).replace("entity, (16", "m[i], (16") for n, p in L.PII.items()),
+    " UNION ALL ".join(pii_sql(n, p) for n, p in L.PII.items()),
 )
 def _(t):
     return L.detect_pii(t.documents, ["doc_id"], "text")
