@@ -58,9 +58,9 @@ def vulnerability_audit(deps: DataFrame, versions: DataFrame, advisories: DataFr
     only components whose score rises travel on, so the work per round is the
     changed part of the graph and cycles settle.
     """
-    links = deps.select("src", "dst").distinct()
+    links = cut_lineage(deps.select("src", "dst").distinct())
     own = affected(versions, advisories, ignore).groupBy(F.col("component").alias("node")).agg(F.max("score").alias("score"))
-    best, moved = own, own
+    best = moved = cut_lineage(own)
     for done in range(max_rounds):
         up = moved.join(links, moved["node"] == links["dst"]).groupBy(F.col("src").alias("node")).agg(F.max("score").alias("score"))
         known = best.select("node", F.col("score").alias("_old"))

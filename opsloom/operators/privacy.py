@@ -317,7 +317,7 @@ def grant_paths(grants: DataFrame, users: DataFrame, privilege: str, max_depth:
     backwards from the privilege, so unrelated users are never visited; a chain
     that would repeat a name is dropped.
     """
-    links = grants.select("grantee", "granted").distinct()
+    links = cut_lineage(grants.select("grantee", "granted").distinct())
     frontier = links.where(F.col("granted") == privilege).select(
         F.col("grantee").alias("head"), F.array("grantee", "granted").alias("path")
     )

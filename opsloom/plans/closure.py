@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from opsloom.plans.storage import cut_lineage
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int, cut_every: int = 4) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """Nodes reached from each start, with the shortest depth.
 
     ``edges`` has (src, dst), ``starts`` has (start).  Columns: start, node,
     depth.  Only new pairs travel to the next round, so cycles end by themselves.
+    Edges and frontiers are kept as written tables, so no round repeats another.
     """
-    links = edges.select("src", "dst").distinct()
-    frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
+    links = cut_lineage(edges.select("src", "dst").distinct())
+    frontier = cut_lineage(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
     known = frontier
     for depth in range(1, max_depth + 1):
         step = (
@@ -28,8 +29,6 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int, cut_every: int =
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
-        if depth % cut_every == 0:
-            known = cut_lineage(known)
     return known
 
 
@@ -40,7 +39,7 @@ def sum_up_tree(values: DataFrame, tree: DataFrame, measures: list[str], max_dep
     moves sums one level up and adds them per parent first, so a node with many
     children costs partial sums only.
     """
-    links = tree.where(F.col("parent").isNotNull()).select("node", "parent").distinct()
+    links = cut_lineage(tree.where(F.col("parent").isNotNull()).select("node", "parent").distinct())
     level = values.groupBy("node").agg(*[F.sum(m).alias(m) for m in measures])
     total = level
     for depth in range(max_depth):

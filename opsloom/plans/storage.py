@@ -33,8 +33,11 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise to reliable storage, so that a lost executor does not replay the whole loop."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+    """Write the rows to the shared folder and read them back.
+
+    The plan restarts from files, so a lost executor replays one step and not a
+    whole loop; the rows are computed once, and their size is known to the planner.
+    """
+    path = shared_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
