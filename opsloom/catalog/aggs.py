@@ -95,7 +95,7 @@ def _(t):
 def _(t):
     ev = t.events.select("event_id", "ts", "user_id", "event_type")
     first = A.dedup(ev, ["user_id", "event_type"], ["ts", "event_id"], 2)
-    runs = A.dedup_consecutive(ev, ["user_id"], ["event_type"], ["ts", "event_id"], F.date_trunc("day", "ts"))
+    runs = A.dedup_consecutive(ev, ["user_id"], ["event_type"], ["ts", "event_id"], F.date_trunc("hour", "ts"))
     cols = ["event_id", "user_id", "event_type"]
     return first.select(F.lit("first").alias("mode"), *cols).unionByName(runs.select(F.lit("consecutive").alias("mode"), *cols))
 

@@ -147,7 +147,7 @@ def ranges(t):
        SELECT user_id, min(s) AS island_start, max(e) AS island_end, count(*) AS members FROM b GROUP BY user_id, island""",
 )
 def _(t):
-    return X.islands(ranges(t), ["user_id"], "s", "e", "event_id", F.date_trunc("day", "s"))
+    return X.islands(ranges(t), ["user_id"], "s", "e", "event_id", F.date_trunc("hour", "s"))
 
 
 @query(
@@ -156,4 +156,4 @@ def _(t):
        ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.s < a.e AND b.e > a.s GROUP BY 1, 2""",
 )
 def _(t):
-    return X.overlap_counts(ranges(t), ["user_id"], "s", "e", "event_id", lambda c: F.date_trunc("day", c))
+    return X.overlap_counts(ranges(t), ["user_id"], "s", "e", "event_id", lambda c: F.date_trunc("hour", c))

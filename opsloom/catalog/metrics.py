@@ -217,7 +217,7 @@ def _(t):
        FROM orders) WHERE old_value IS NOT NULL AND old_value <> o_orderstatus""",
 )
 def _(t):
-    df = M.changes(t.orders, ["o_custkey"], "o_orderstatus", ["o_orderdate", "o_orderkey"], F.date_trunc("year", "o_orderdate"))
+    df = M.changes(t.orders, ["o_custkey"], "o_orderstatus", ["o_orderdate", "o_orderkey"], F.date_trunc("month", "o_orderdate"))
     return df.select("o_orderkey", "o_custkey", "old_value", "o_orderstatus")
 
 

@@ -225,7 +225,7 @@ def _(t):
     kind = F.when(F.col("event_type") != "view", F.col("event_type"))
     hot = F.when(F.col("event_type").isin("error", "click"), F.lit("1"))
     state = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), kind.alias("kind"), hot.alias("hot")))
-    df = D.state_diff(t.events.withColumn("state", state), ["user_id"], ["ts", "event_id"], "state", F.date_trunc("day", "ts"))
+    df = D.state_diff(t.events.withColumn("state", state), ["user_id"], ["ts", "event_id"], "state", F.date_trunc("hour", "ts"))
     return df.select("event_id", "added", "removed", "changed")
 
 

@@ -10,6 +10,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+SMALL_TABLE_BYTES = 256 * 1024 * 1024
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a small text table over all cores.
+
+    Text work is bound by the processor, and one small file is one task.  The
+    size is the planner's; a larger table is left in its own splits.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_TABLE_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 class Tables:
     """Attribute access to the parquet tables of one folder."""
 
@@ -18,7 +34,8 @@ class Tables:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return widen(df) if name in TEXT_TABLES else df
 
 
 def query(name: str, sql: str | None = None):

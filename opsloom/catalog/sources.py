@@ -250,7 +250,7 @@ def _(t):
        UNION ALL (SELECT 'after', o_orderkey, NULL, NULL FROM orders WHERE (o_custkey, o_orderkey) > (500, 100) ORDER BY o_custkey, o_orderkey LIMIT 25)""",
 )
 def _(t):
-    every = I.pages(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 100, F.date_trunc("month", "o_orderdate"))
+    every = I.pages(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 100, F.date_trunc("day", "o_orderdate"))
     none = [F.lit(None).cast("bigint").alias(c) for c in ("page", "position")]
     best = E.take_up_to(t.orders.withColumn("minus", -F.col("o_totalprice")), 25, ["minus", "o_orderkey"])
     after = E.page_after(t.orders, ["o_custkey", "o_orderkey"], [500, 100], 25)

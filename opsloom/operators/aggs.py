@@ -160,7 +160,7 @@ MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 def link(
     df: DataFrame, keys: list[str], ts: str, gap_seconds: int, aggs: dict[str, tuple[str, str]] | None = None,
-    chunk: str = "day",
+    chunk: str = "hour",
 ) -> DataFrame:
     """One record per burst of events: start, end, duration, count; a larger gap opens a new record.
 

@@ -83,7 +83,7 @@ def classify(df: DataFrame, cols: list[str], common_share: float) -> DataFrame:
 
 def tokens(text: Column) -> Column:
     """Lower-case words of letters."""
-    return F.filter(F.split(F.lower(text), "[^a-zà-öø-ÿ]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-zà-öø-ÿ]+"), F.lit(0))
 
 
 def keywords(df: DataFrame, doc: str, text: str, n: int, stop_words: list[str]) -> DataFrame:

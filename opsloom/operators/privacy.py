@@ -183,7 +183,7 @@ def shuffle(df: DataFrame, key: str, col: str, seed: str, by: list[str] | None =
 
     def numbered(side: DataFrame, label: str) -> DataFrame:
         side = side.withColumn("_h", hash_text(f"{seed}-{label}", F.col(key)))
-        return ordered_window(side, by, ["_h", key], F.substring("_h", 1, 3), number="_pos").drop("_h")
+        return ordered_window(side, by, ["_h", key], F.substring("_h", 1, 4), number="_pos").drop("_h")
 
     rows = numbered(df, "rows")
     values = numbered(df.select(*by, key, F.col(col).alias("_new")), "values").drop(key)

@@ -148,14 +148,18 @@ def rerank(
 
 
 def shared_phrases(queries: DataFrame, docs: DataFrame, query: str, doc: str, text: str, n: int) -> DataFrame:
-    """Pairs that share a run of n words: equality on the hashed run, distinct on each side before the join."""
+    """Pairs that share a run of n words: equality on the 64-bit hash of the run."""
 
     def runs(df: DataFrame, key: str) -> DataFrame:
-        t = df.select(key, tokens(F.col(text)).alias("_t")).where(F.size("_t") >= n)
-        cut = F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_t", i, F.lit(n)), " ")))
-        return t.select(key, F.explode(F.array_distinct(cut)).alias("_run"))
+        """One row per run: the word list beside its own shifts, cut where the last shift ends."""
+        words = df.select(key, tokens(F.col(text)).alias("_t")).where(F.size("_t") >= n)
+        count = F.size("_t") - n + 1
+        shifts = F.arrays_zip(*[F.slice("_t", F.lit(i + 1), count).alias(f"w{i}") for i in range(n)])
+        rows = words.select(key, F.explode(shifts).alias("r"))
+        return rows.select(key, F.xxhash64(*[F.col("r")[f"w{i}"] for i in range(n)]).alias("_run"))
 
-    return runs(queries, query).join(runs(docs, doc), "_run").select(query, doc).distinct()
+    asked = runs(queries, query).distinct()
+    return runs(docs, doc).join(asked, "_run").select(query, doc).distinct()
 
 
 def chunk(df: DataFrame, key: list[str], text: str, size: int, overlap: int) -> DataFrame:
@@ -195,29 +199,36 @@ MODERATION = {
 }
 
 
-def category_score(text: Column, words: list[str]) -> Column:
-    """Share of category words among the words, times 20, at most 1."""
-    t = tokens(text)
-    return F.round(F.least(count_known(t, words) * 20.0 / F.greatest(F.size(t), F.lit(1)), F.lit(1.0)), 6)
+def category_score(words: str, category: str) -> Column:
+    """Share of category words in a column of words, times 20, at most 1."""
+    return F.round(F.least(count_known(words, MODERATION[category]) * 20.0 / F.greatest(F.size(words), F.lit(1)), F.lit(1.0)), 6)
+
+
+def category_scores(df: DataFrame, text: str, categories: list[str]) -> DataFrame:
+    """One column per category, from words that are cut once."""
+    rows = df.withColumn("_w", tokens(F.col(text)))
+    return rows.withColumns({f"_s_{c}": category_score("_w", c) for c in categories}).drop("_w")
 
 
 def moderate(df: DataFrame, text: str, categories: list[str] | None = None) -> DataFrame:
     """Score per asked category, as one row per document and category with a hit, plus OVERALL for the highest."""
     asked = categories or list(MODERATION)
-    scores = [F.struct(F.lit(c).alias("category"), category_score(F.col(text), MODERATION[c]).alias("score")) for c in asked]
-    overall = F.struct(F.lit("OVERALL").alias("category"), F.greatest(*[s["score"] for s in scores], F.lit(0.0)).alias("score"))
+    rows = category_scores(df, text, asked)
+    scores = [F.struct(F.lit(c).alias("category"), F.col(f"_s_{c}").alias("score")) for c in asked]
+    highest = F.greatest(*[F.col(f"_s_{c}") for c in asked], F.lit(0.0))
+    overall = F.struct(F.lit("OVERALL").alias("category"), highest.alias("score"))
     others = [c for c in df.columns if c != text]
-    return df.select(*others, F.explode(F.array(*scores, overall)).alias("m")).select(*others, "m.*")
+    return rows.select(*others, F.explode(F.array(*scores, overall)).alias("m")).select(*others, "m.*")
 
 
 def guardrails(df: DataFrame, text: str, pii_types: list[str] | None = None) -> DataFrame:
     """Moderation, personal data and injection results as one struct."""
     col = F.col(text)
-    worst = F.greatest(*[category_score(col, w) for w in MODERATION.values()])
+    rows = category_scores(df, text, list(MODERATION))
+    worst = F.greatest(*[F.col(f"_s_{c}") for c in MODERATION])
     kinds = F.array_compact(F.array(*[F.when(col.rlike(PII[t]), F.lit(t)) for t in pii_types or list(PII)]))
-    return df.withColumn(
-        "guardrail", F.struct(worst.alias("moderation"), kinds.alias("pii"), injection_score(col).alias("injection"))
-    )
+    bundle = F.struct(worst.alias("moderation"), kinds.alias("pii"), injection_score(col).alias("injection"))
+    return rows.withColumn("guardrail", bundle).select(*df.columns, "guardrail")
 
 
 def session_usage(df: DataFrame, session: str, role: str, text: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -223,20 +221,17 @@ def read_topics(text: Column) -> Column:
 def keywords_for(df: DataFrame, key: str, text: str, topics: DataFrame) -> DataFrame:
     """Topic keywords found in each document, in any case and as whole words.
 
-    ``topics`` is (topic, keyword).  Phrases are matched as word groups of the
-    same length, by equality, so documents and keywords meet only where they agree.
+    ``topics`` is (topic, keyword).  Documents and keywords meet on the first
+    word of the keyword, and the words after it are compared in place.
     """
-    words = topics.select("topic", "keyword", tokens(F.col("keyword")).alias("_w"))
-    words = words.select("topic", "keyword", F.array_join("_w", " ").alias("_phrase"), F.size("_w").alias("_n")).where("_n > 0")
-    sizes = sorted(r[0] for r in words.select("_n").distinct().collect())
+    words = topics.select("topic", "keyword", tokens(F.col("keyword")).alias("_k")).where(F.size("_k") > 0)
+    longest = words.agg(F.max(F.size("_k"))).first()[0]
+    words = words.withColumn("_first", F.col("_k")[0])
     rows = df.select(key, tokens(F.col(text)).alias("_t"))
-    def groups(n: int) -> Column:
-        if n == 1:
-            return F.col("_t")
-        starts = F.when(F.size("_t") >= n, F.sequence(F.lit(1), F.size("_t") - n + 1))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_t", i, F.lit(n)), " "))
-
-    grams = [groups(n) for n in sizes]
-    every = reduce(lambda a, b: F.concat(a, b), [F.coalesce(g, F.array().cast("array<string>")) for g in grams])
-    found = rows.select(key, F.explode(every).alias("_phrase")).join(words, "_phrase")
-    return found.groupBy(key, "topic", "keyword").agg(F.count("*").alias("hits"))
+    # each word beside the ones that follow it; past the end the followers are null
+    shifts = F.arrays_zip(*[F.slice("_t", F.lit(i + 1), F.greatest(F.size("_t"), F.lit(1))).alias(f"w{i}") for i in range(longest or 1)])
+    runs = rows.select(key, F.explode(shifts).alias("_r"))
+    met = runs.join(words, F.col("_r.w0") == F.col("_first"))
+    for i in range(1, longest or 1):
+        met = met.where((F.size("_k") <= i) | (F.get("_k", F.lit(i)) == F.col(f"_r.w{i}")))
+    return met.groupBy(key, "topic", "keyword").agg(F.count("*").alias("hits"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from opsloom.operators.aggs import seconds_between
 from opsloom.operators.columns import matching_columns
-from opsloom.plans.ordered import ordered_window
+from opsloom.plans.ordered import ordered_window, time_chunk
+from opsloom.plans.storage import cut_lineage
 from opsloom.plans.timing import bucket, fill_gaps
 
 
@@ -46,7 +47,7 @@ def minus(a: DataFrame, b: DataFrame, all: bool = False) -> DataFrame:
 
 def delta(df: DataFrame, cols: list[str], by: list[str], ts: str, order: list[str], chunk: Column | None = None) -> DataFrame:
     """Difference to the previous row of the key and change per second."""
-    chunk = chunk if chunk is not None else F.date_trunc("day", F.col(ts))
+    chunk = chunk if chunk is not None else time_chunk(ts)
     rows = ordered_window(df, by, order, chunk, lag={"_pts": ts, **{f"_p_{c}": c for c in cols}})
     for c in cols:
         diff = F.col(c) - F.col(f"_p_{c}")
@@ -56,23 +57,24 @@ def delta(df: DataFrame, cols: list[str], by: list[str], ts: str, order: list[st
 
 
 def sequence(
-    df: DataFrame, by: list[str], ts: str, steps: list[Column], within_seconds: int, order: list[str]
+    df: DataFrame, by: list[str], ts: str, steps: list[Column], within_seconds: int, order: list[str],
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Ends of chains step 1 < step 2 < ... of one key within a time limit, each with its latest start.
 
-    Time is cut into chunks as long as the limit, and every row is also shown to
-    the next chunk: a chain that ends in a chunk starts in it or the one before.
-    One running maximum per step then carries the latest possible start, all in
-    the same (key, chunk) partitions.
+    Only rows of some step take part.  One running maximum per step carries the
+    latest possible start forward; the rows are written out between two steps,
+    so that a step does not repeat the ones before it.
     """
-    slot = F.floor(F.col(ts).cast("timestamp").cast("double") / within_seconds)
-    rows = df.withColumn("_own", slot).withColumn("_chunk", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    before = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_start", F.when(steps[0], F.col(ts)))
-    for step in steps[1:]:
-        rows = rows.withColumn("_start", F.when(step, F.max("_start").over(before)))
-    hit = F.col("_start").isNotNull() & (seconds_between("_start", ts) <= within_seconds) & (F.col("_own") == F.col("_chunk"))
-    return rows.where(hit).withColumnRenamed("_start", "chain_start").drop("_own", "_chunk")
+    chunk = chunk if chunk is not None else time_chunk(ts)
+    rows = df.where(reduce(lambda a, b: a | b, steps)).withColumn("_start", F.when(steps[0], F.col(ts)))
+    for i, step in enumerate(steps[1:], start=1):
+        carried = ordered_window(rows, by, order, chunk, running={"_best": ("max", F.col("_start"))}, exclusive=("_best",))
+        rows = carried.withColumn("_start", F.when(step, F.col("_best"))).drop("_best")
+        if i < len(steps) - 1:
+            rows = cut_lineage(rows)
+    hit = F.col("_start").isNotNull() & (seconds_between("_start", ts) <= within_seconds)
+    return rows.where(hit).withColumnRenamed("_start", "chain_start")
 
 
 def trend(df: DataFrame, by: list[str], ts: str, span: str, measure: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.plans.joining import null_safe_join
+from opsloom.plans.storage import cut_lineage
 
 
 def exact_quantiles(
@@ -18,13 +19,14 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group of ``by`` (groups without a value are left out) with a column per quantile.
 
+    The sketch is computed when this is called; the rest is lazy.
+
     ``accuracy`` only sets the width of the bracket; the answer is exact for any value.
     """
     slack = 3.0 / accuracy
     ps = list(probs.values())
     lows = [max(p - slack, 0.0) for p in ps]
     highs = [min(p + slack, 1.0) for p in ps]
-    values = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).agg(F.count("*").alias("_c"))
     sketch = df.groupBy(*by).agg(
         F.count(col).alias("_n"),
         F.min(col).alias("_min"),
@@ -32,18 +34,22 @@ def exact_quantiles(
         F.percentile_approx(col, lows, accuracy).alias("_lo"),
         F.percentile_approx(col, highs, accuracy).alias("_hi"),
     )
+    # written out first: a small result is then known to be small, and the rows are not shuffled to meet it
+    sketch = cut_lineage(sketch.where(F.col("_n") > 0))
     # neighbouring ranks count in a small group, so its bracket is the whole (bounded) group
     few = F.col("_n") < 2 * accuracy
     lo = [F.when(few | F.lit(low <= 0), F.col("_min")).otherwise(F.col("_lo")[i]) for i, low in enumerate(lows)]
     hi = [F.when(few | F.lit(high >= 1), F.col("_max")).otherwise(F.col("_hi")[i]) for i, high in enumerate(highs)]
-    marked = null_safe_join(values, sketch.where(F.col("_n") > 0), by)
+    values = df.where(F.col(col).isNotNull()).select(*by, F.col(col).alias("_v"))
+    marked = null_safe_join(values, sketch, by)
     below = marked.groupBy(*by).agg(
         F.max("_n").alias("_n"),
-        F.array(*[F.sum(F.when(F.col("_v") < lo[i], F.col("_c")).otherwise(0)) for i in range(len(ps))]).alias("_b"),
+        F.array(*[F.count_if(F.col("_v") < lo[i]) for i in range(len(ps))]).alias("_b"),
     )
     head = below.select(*by, "_n", F.posexplode("_b").alias("_i", "_c"))
     hits = F.array(*[F.when(F.col("_v").between(lo[i], hi[i]), F.lit(i)) for i in range(len(ps))])
-    body = marked.select(*by, "_n", "_v", "_c", F.explode(F.array_compact(hits)).alias("_i"))
+    body = marked.select(*by, "_n", "_v", F.explode(F.array_compact(hits)).alias("_i"))
+    body = body.groupBy(*by, "_n", "_i", "_v").agg(F.count("*").alias("_c"))
     ranked = body.unionByName(head, allowMissingColumns=True)
     w = Window.partitionBy(*by, "_i").orderBy(F.col("_v").asc_nulls_first())
     ranked = ranked.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
