@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsloom.catalog.registry import query
-from opsloom.operators.joins import duplicate_keys  # noqa: F401
 from opsloom.plans.storage import shared_path
 from opsloom.sources import entities as E
 from opsloom.sources import inventory as I

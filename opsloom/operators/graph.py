@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from opsloom.operators.aggs import aggregate, analytics
 from opsloom.plans.closure import reach, sum_up_tree
-from opsloom.plans.joining import null_safe_join
 from opsloom.plans.predicates import AllOf, AnyOf, Cond, Negate, first_match, to_column
 from opsloom.plans.storage import cut_lineage
 from opsloom.plans.timing import bucket
@@ -61,17 +60,17 @@ def vulnerability_audit(deps: DataFrame, versions: DataFrame, advisories: DataFr
     links = cut_lineage(deps.select("src", "dst").distinct())
     own = affected(versions, advisories, ignore).groupBy(F.col("component").alias("node")).agg(F.max("score").alias("score"))
     best = moved = cut_lineage(own)
-    for done in range(max_rounds):
+    for _ in range(max_rounds):
         up = moved.join(links, moved["node"] == links["dst"]).groupBy(F.col("src").alias("node")).agg(F.max("score").alias("score"))
-        known = best.select("node", F.col("score").alias("_old"))
+        known = best.groupBy("node").agg(F.max("score").alias("_old"))
         moved = up.join(known, "node", "left").where(F.col("_old").isNull() | (F.col("score") > F.col("_old"))).select("node", "score")
         moved = cut_lineage(moved)
         if moved.isEmpty():
             break
-        best = cut_lineage(best.unionByName(moved).groupBy("node").agg(F.max("score").alias("score")))
+        best = best.unionByName(moved)
     else:
         raise ValueError(f"scores still move after {max_rounds} rounds")
-    return best
+    return best.groupBy("node").agg(F.max("score").alias("score"))
 
 
 def recommend_upgrades(installed: DataFrame, available: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -156,5 +155,5 @@ def recommend_actions(metrics: DataFrame, key: str, value: str, cost: str, level
 
 __all__ = [
     "lineage", "glossary_tree", "suggest", "affected", "vulnerability_audit", "recommend_upgrades", "match_conditions",
-    "problems", "risk_score", "data_mask", "inventory", "recommend_actions", "null_safe_join", "version_parts",
+    "problems", "risk_score", "data_mask", "inventory", "recommend_actions", "version_parts",
 ]

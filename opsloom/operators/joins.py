@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.plans.joining import null_safe_join, salted_join
+from opsloom.plans.joining import salted_join
 from opsloom.plans.ordered import top_per_key
-from opsloom.plans.predicates import wildcard_regex
 
 
 def join(left: DataFrame, right: DataFrame, on, how: str = "inner", salts: int = 0) -> DataFrame:
@@ -209,8 +208,3 @@ def top_staff(report: DataFrame, n: int = 5) -> DataFrame:
     """The n best paid per department, ties by employee id."""
     return top_per_key(report, ["department_name"], [F.col("salary").desc(), F.col("employee_id")], n)
 
-
-__all__ = [
-    "join", "lookup", "lookup_match", "map_rows", "orphans", "duplicate_keys", "compare_periods", "compare_tables",
-    "in_interval", "match_indicators", "staff_report", "top_staff", "null_safe_join", "wildcard_regex",
-]

@@ -31,26 +31,24 @@ def exact_quantiles(
         F.count(col).alias("_n"),
         F.min(col).alias("_min"),
         F.max(col).alias("_max"),
-        F.percentile_approx(col, lows, accuracy).alias("_lo"),
-        F.percentile_approx(col, highs, accuracy).alias("_hi"),
+        F.percentile_approx(col, lows + highs, accuracy).alias("_edge"),
     )
     # written out first: a small result is then known to be small, and the rows are not shuffled to meet it
     sketch = cut_lineage(sketch.where(F.col("_n") > 0))
     # neighbouring ranks count in a small group, so its bracket is the whole (bounded) group
     few = F.col("_n") < 2 * accuracy
-    lo = [F.when(few | F.lit(low <= 0), F.col("_min")).otherwise(F.col("_lo")[i]) for i, low in enumerate(lows)]
-    hi = [F.when(few | F.lit(high >= 1), F.col("_max")).otherwise(F.col("_hi")[i]) for i, high in enumerate(highs)]
-    values = df.where(F.col(col).isNotNull()).select(*by, F.col(col).alias("_v"))
-    marked = null_safe_join(values, sketch, by)
-    below = marked.groupBy(*by).agg(
-        F.max("_n").alias("_n"),
-        F.array(*[F.count_if(F.col("_v") < lo[i]) for i in range(len(ps))]).alias("_b"),
-    )
-    head = below.select(*by, "_n", F.posexplode("_b").alias("_i", "_c"))
-    hits = F.array(*[F.when(F.col("_v").between(lo[i], hi[i]), F.lit(i)) for i in range(len(ps))])
-    body = marked.select(*by, "_n", "_v", F.explode(F.array_compact(hits)).alias("_i"))
-    body = body.groupBy(*by, "_n", "_i", "_v").agg(F.count("*").alias("_c"))
-    ranked = body.unionByName(head, allowMissingColumns=True)
+    lo = [F.when(few | F.lit(p <= 0), F.col("_min")).otherwise(F.col("_edge")[i]) for i, p in enumerate(lows)]
+    hi = [F.when(few | F.lit(p >= 1), F.col("_max")).otherwise(F.col("_edge")[len(ps) + i]) for i, p in enumerate(highs)]
+    v = F.col("_v")
+    marked = null_safe_join(df.where(F.col(col).isNotNull()).select(*by, F.col(col).alias("_v")), sketch, by)
+    # per wanted rank a value counts as below the bracket (no value kept), inside it, or not at all
+    below = F.lit(None).cast(df.schema[col].dataType)
+    hits = [
+        F.when(v < lo[i], F.struct(F.lit(i).alias("_i"), below.alias("_v"))).when(v <= hi[i], F.struct(F.lit(i).alias("_i"), v.alias("_v")))
+        for i in range(len(ps))
+    ]
+    parts = marked.select(*by, "_n", F.explode(F.array(*hits)).alias("_h")).where("_h IS NOT NULL")
+    ranked = parts.groupBy(*by, "_n", F.col("_h._i").alias("_i"), F.col("_h._v").alias("_v")).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*by, "_i").orderBy(F.col("_v").asc_nulls_first())
     ranked = ranked.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     p = F.element_at(F.array(*[F.lit(float(x)) for x in ps]), F.col("_i") + 1)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from opsloom.operators.metrics import AlarmRule
 from opsloom.operators.privacy import hash_number
-from opsloom.plans.predicates import all_matches, first_match, to_column
+from opsloom.plans.predicates import all_matches, first_match
 
 
 def put_messages(df: DataFrame, key: str, value: str, partitions: int, max_bytes: int = 1024 * 1024) -> DataFrame:
@@ -132,8 +132,3 @@ def alarm_stream(df: DataFrame, ts: str, value: str, late: str, window: str, key
         AlarmProcessor(rule), "key string, bucket timestamp_ntz, v double, run int, state string", "Append", "None"
     )
 
-
-__all__ = [
-    "put_messages", "log_to_metric", "windowed", "route", "dedup_stream", "normalise", "twin_state", "message_states",
-    "queue_stats", "AlarmProcessor", "alarm_stream", "to_column",
-]
