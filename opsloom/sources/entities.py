@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,23 +22,28 @@ def _options(fmt: str, opts: dict) -> dict:
     return out
 
 
-def _need(spark: SparkSession, fmt: str) -> None:
+def _known(fmt: str) -> None:
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}, expected one of {FORMATS}")
-    if fmt == "avro":
-        try:
-            spark._jvm.java.lang.Class.forName("org.apache.spark.sql.avro.AvroFileFormat", False, spark._jvm.Thread.currentThread().getContextClassLoader())
-        except Exception as e:
+
+
+def _run(fmt: str, action):
+    """Avro is an extra module of Spark; say so where it is missing."""
+    try:
+        return action()
+    except AnalysisException as e:
+        if fmt == "avro" and "data source: avro" in str(e):
             raise ValueError("format avro needs the spark-avro module on the class path") from e
+        raise
 
 
 def read_entity(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | str | None = None, **opts) -> DataFrame:
     """Read a file entity; a given schema avoids a pass for inference.  Compression follows the file extension."""
-    _need(spark, fmt)
+    _known(fmt)
     reader = spark.read.options(**_options(fmt, opts))
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.format(fmt).load(path)
+    return _run(fmt, lambda: reader.format(fmt).load(path))
 
 
 def write_entity(
@@ -45,13 +51,13 @@ def write_entity(
     max_records: int | None = None, **opts,
 ) -> None:
     """Write a target; ``compression`` and other writer options pass through."""
-    _need(df.sparkSession, fmt)
+    _known(fmt)
     writer = df.write.mode(mode).options(**_options(fmt, opts)).format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)
-    writer.save(path)
+    _run(fmt, lambda: writer.save(path))
 
 
 def read_pattern(
