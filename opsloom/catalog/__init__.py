@@ -1,6 +1,6 @@
 """The registered queries, one module per operator family."""
 
-from opsloom.catalog.registry import ORACLE, QUERIES  # noqa: F401
+from opsloom.catalog.registry import SQL_TWINS, QUERIES  # noqa: F401
 import importlib
 import pkgutil
 

@@ -33,16 +33,23 @@ def _(t):
        UNION ALL SELECT event_type, bucket, 'max', round(peak, 6) FROM a
        UNION ALL SELECT event_type, bucket, 'p95', round(p95, 6) FROM a
        UNION ALL SELECT event_type, bucket, 'rate', round((mean - lag(mean) OVER w) / (epoch(bucket) - lag(epoch(bucket)) OVER w), 9) FROM a WINDOW w AS (PARTITION BY event_type ORDER BY bucket)
-       UNION ALL SELECT event_type, bucket, 'count', n::DOUBLE FROM s LEFT JOIN a USING (event_type, bucket)
+       UNION ALL SELECT event_type, bucket, 'count', n::DOUBLE FROM a
        UNION ALL SELECT event_type, bucket, 'absent', 1.0 FROM s ANTI JOIN a USING (event_type, bucket)""",
 )
 def _(t):
-    out = None
-    for stat in ("mean", "sum", "max", "p95", "rate", "count", "absent"):
-        df = M.summarize(t.events, "ts", "value", "hour", stat, ["event_type"], fill=stat == "count")
-        df = df.select("event_type", "bucket", F.lit(stat).alias("stat"), F.round("v", 9 if stat == "rate" else 6).alias("v"))
-        out = df if out is None else out.unionByName(df)
-    return out
+    stats = ["mean", "sum", "max", "p95", "rate", "count", "absent"]
+    df = M.summarize_many(t.events, "ts", "value", "hour", stats, ["event_type"])
+    return df.withColumn("v", F.when(F.col("stat") == "rate", F.round("v", 9)).otherwise(F.round("v", 6)))
+
+
+@query(
+    "m2_summarise_filled",
+    """WITH a AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS bucket, count(*)::DOUBLE AS v FROM events WHERE event_type <> 'view' GROUP BY 1, 2)
+       SELECT event_type, bucket, v FROM (SELECT event_type, unnest(generate_series((SELECT min(bucket) FROM a), (SELECT max(bucket) FROM a), INTERVAL 1 HOUR)) AS bucket
+       FROM (SELECT DISTINCT event_type FROM a)) LEFT JOIN a USING (event_type, bucket)""",
+)
+def _(t):
+    return M.summarize(t.events.where("event_type <> 'view'"), "ts", "value", "hour", "count", ["event_type"], fill=True)
 
 
 STATES = """a AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS bucket, avg(value) AS v FROM events GROUP BY 1, 2),
@@ -136,7 +143,7 @@ def _(t):
 
 @query(
     "m10_forecast_linear",
-    """WITH s AS (SELECT o_orderpriority, (date_diff('day', (SELECT min(date_trunc('day', o_orderdate)) FROM orders), o_orderdate) // 30)::BIGINT AS x, sum(o_totalprice) / 1000 AS y FROM orders GROUP BY 1, 2),
+    """WITH s AS (SELECT o_orderpriority, (date_diff('day', DATE '1970-01-01', o_orderdate::DATE) // 30)::BIGINT AS x, sum(o_totalprice) / 1000 AS y FROM orders GROUP BY 1, 2),
        f AS (SELECT o_orderpriority, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, regr_r2(y, x) AS r2,
        sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2)) AS err, max(x) AS last FROM s GROUP BY 1)
        SELECT o_orderpriority, last + h AS x, round(b + a * (last + h), 4) AS forecast, round(b + a * (last + h) - 2 * err, 4) AS low, round(b + a * (last + h) + 2 * err, 4) AS high,

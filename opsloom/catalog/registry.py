@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+SQL_TWINS: dict[str, str] = {}
 
 
 TEXT_TABLES = ("documents", "pages", "conversations")
@@ -44,7 +44,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if sql is not None:
-            ORACLE[name] = sql
+            SQL_TWINS[name] = sql
         return fn
 
     return add

@@ -14,6 +14,7 @@ from opsloom.plans.closure import sum_up_tree
 from opsloom.plans.joining import null_safe_join
 from opsloom.plans.ordered import top_per_key
 from opsloom.plans.predicates import to_column
+from opsloom.plans.storage import cut_lineage
 from opsloom.plans.timing import bucket, fill_gaps
 
 # fixed values: relative ranges in whole days before the given day
@@ -82,10 +83,10 @@ def budget_status(
 
 def cost_anomalies(df: DataFrame, by: list[str], dim: str, ts: str, cost: str, n: int, k: float) -> DataFrame:
     """Anomalous days of the cost per group, with the dimension value that grew most against its own mean."""
-    fine = df.groupBy(*by, dim, bucket(ts, "day").alias("bucket")).agg(F.sum(cost).alias("v"))
+    fine = cut_lineage(df.groupBy(*by, dim, bucket(ts, "day").alias("bucket")).agg(F.sum(cost).alias("v")))
     total = fine.groupBy(*by, "bucket").agg(F.sum("v").alias("v"))
     bad = anomaly_points(fill_gaps(total, by, "day", {"v": 0.0}), by, "bucket", "v", n, k)
-    parts = fill_gaps(fine, [*by, dim], "day", {"v": 0.0})
+    parts = fill_gaps(fine, [*by, dim], "day", {"v": 0.0}, written=True)
     w = Window.partitionBy(*by, dim).orderBy("bucket").rowsBetween(-n, -1)
     parts = parts.withColumn("_growth", F.round(F.col("v") - F.avg("v").over(w), 4)).withColumnRenamed("v", "_v")
     joined = null_safe_join(bad, parts, [*by, "bucket"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from opsloom.plans.joining import null_safe_join, share_of
 from opsloom.plans.ordered import ordered_window, time_chunk, top_per_key
 from opsloom.plans.predicates import first_match
 from opsloom.plans.quantiles import exact_quantiles
+from opsloom.plans.storage import cut_lineage
 from opsloom.plans.timing import bucket, fill_gaps, spine
 
 
@@ -50,6 +52,35 @@ def summarize(
     return fill_gaps(out, dims, interval, {}) if fill else out
 
 
+def summarize_many(df: DataFrame, ts: str, value: str, interval: str, stats: list[str], dims: list[str]) -> DataFrame:
+    """Several statistics in long form (dims, bucket, stat, v).
+
+    Everything but the quantiles comes from one pass over the points.
+    """
+    group = [*dims, "bucket"]
+    rows = df.withColumn("bucket", bucket(ts, interval))
+    plain = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+    base = rows.groupBy(*group).agg(*[fn(value).cast("double").alias(n) for n, fn in plain.items()])
+    base = cut_lineage(base)
+    long = lambda frame, stat, v: frame.select(*group, F.lit(stat).alias("stat"), v.alias("v"))
+    cells = [F.struct(F.lit(n).alias("stat"), F.col(n).alias("v")) for n in plain if n in stats]
+    parts = []
+    if "rate" in stats:
+        w = Window.partitionBy(*dims).orderBy("bucket")
+        cells.append(F.struct(F.lit("rate").alias("stat"), ((F.col("mean") - F.lag("mean").over(w)) / seconds_between_lag("bucket", w)).alias("v")))
+    if cells:
+        parts.append(base.select(*group, F.array(*cells).alias("_c")).select(*group, F.inline("_c")))
+    if "absent" in stats:
+        seen = base.select(*group)
+        parts.append(long(spine(seen, dims, interval).join(seen, group, "left_anti"), "absent", F.lit(1.0)))
+    probs = {s: int(s[1:]) / 100 for s in stats if s[0] == "p" and s[1:].isdigit()}
+    if probs:
+        wide = exact_quantiles(rows, group, value, probs)
+        cells = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("v")) for s in probs])
+        parts.append(wide.select(*group, F.inline(cells)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def seconds_between_lag(slot: str, w) -> Column:
     return F.timestamp_diff("SECOND", F.lag(slot).over(w), F.col(slot))
 
@@ -145,6 +176,7 @@ def usage_trend(df: DataFrame, by: list[str], ts: str, span: str, usage: str, ca
     series = df.groupBy(*by, bucket(ts, span).alias("period")).agg(
         F.expr(usage).alias("usage"), F.expr(capacity).alias("capacity")
     )
+    series = cut_lineage(series)
     origin = series.agg(F.min("period")).scalar()
     slopes = series.withColumn("_x", F.timestamp_diff("DAY", origin, F.col("period")).cast("double"))
     slopes = slopes.groupBy(*by).agg(F.regr_slope("usage", "_x").alias("slope_per_day"))
@@ -153,10 +185,12 @@ def usage_trend(df: DataFrame, by: list[str], ts: str, span: str, usage: str, ca
 
 
 def forecast(df: DataFrame, by: list[str], ts: str, span_days: int, measure: str, horizon: int, k: float = 2.0) -> DataFrame:
-    """Linear fit over buckets of whole days, with future rows and a residual band of k standard errors."""
-    day = F.date_trunc("day", F.col(ts)).cast("timestamp_ntz")
-    origin = df.agg(F.min(day)).scalar()
-    series = df.groupBy(*by, F.floor(F.timestamp_diff("DAY", origin, day) / span_days).alias("x")).agg(F.expr(measure).alias("y"))
+    """Linear fit over buckets of whole days, with future rows and a residual band of k standard errors.
+
+    x counts buckets since 1970, so the first day need not be looked up.
+    """
+    x = F.floor(F.datediff(F.to_date(ts), F.lit("1970-01-01")) / span_days)
+    series = df.groupBy(*by, x.alias("x")).agg(F.expr(measure).alias("y"))
     return forecast_series(series, by, horizon, k)
 
 

@@ -14,6 +14,7 @@ from opsloom.operators.logs import tokens
 from opsloom.operators.text import PII, count_known
 from opsloom.plans.ordered import ordered_window, top_per_key
 from opsloom.plans.predicates import to_column
+from opsloom.plans.storage import cut_lineage
 
 # size bound of one block of query vectors sent to the tasks: 4 million numbers are 32 MB
 BLOCK_NUMBERS = 4_000_000
@@ -134,15 +135,15 @@ def rerank(
     """
     terms = queries.select(query, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     vocabulary = terms.select("term").distinct()
-    words = docs.select(doc, tokens(F.col(text)).alias("_t"))
-    lengths = words.select(doc, F.size("_t").alias("len"))
-    tf = words.select(doc, F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi").groupBy(doc, "term").agg(F.count("*").alias("tf"))
+    words = docs.select(doc, tokens(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
+    tf = words.select(doc, "len", F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi")
+    # read twice below, and far smaller than the texts
+    tf = cut_lineage(tf.groupBy(doc, "term", "len").agg(F.count("*").alias("tf")))
     spread = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*")).scalar()
-    mean = lengths.agg(F.avg("len")).scalar()
-    hits = pairs.select(query, doc).distinct().join(tf, doc).join(terms, [query, "term"]).join(spread, "term").join(lengths, doc)
-    idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
+    corpus = words.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("mean"))).scalar()
+    hits = pairs.select(query, doc).distinct().join(tf, doc).join(terms, [query, "term"]).join(spread, "term")
+    idf = F.ln(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / corpus["mean"]))
     scored = hits.groupBy(query, doc).agg(F.round(F.sum(idf * weight), 6).alias("score"))
     return top_per_key(scored, [query], [F.col("score").desc(), F.col(doc)], k)
 

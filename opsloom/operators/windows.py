@@ -80,7 +80,8 @@ def sequence(
 def trend(df: DataFrame, by: list[str], ts: str, span: str, measure: str) -> DataFrame:
     """Per key the bucket values in time order and the slope per bucket; empty buckets count 0."""
     series = df.groupBy(*by, bucket(ts, span).alias("bucket")).agg(F.expr(measure).cast("double").alias("v"))
-    full = fill_gaps(series, by, span, {"v": 0.0})
+    series = cut_lineage(series)
+    full = fill_gaps(series, by, span, {"v": 0.0}, written=True)
     first = series.agg(F.min("bucket")).scalar()
     x = F.timestamp_diff("SECOND", first, F.col("bucket"))
     points = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "v"))), lambda p: p["v"])

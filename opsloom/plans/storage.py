@@ -28,8 +28,15 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared root, for written tables and stream progress."""
-    return f"{shared_root(spark).rstrip('/')}/opsloom/{label}-{uuid.uuid4().hex}"
+    """A fresh folder of this application below the shared root, for written tables and stream progress."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_root(spark).rstrip('/')}/opsloom/{application}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; frames built on it end with that."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark).rstrip('/')}/opsloom/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.plans.joining import null_safe_join
+from opsloom.plans.storage import cut_lineage
 
 UNITS = ("second", "minute", "hour", "day", "week", "month", "quarter", "year")
 
@@ -35,7 +36,14 @@ def spine(series: DataFrame, by: list[str], span: str, slot: str = "bucket") ->
     return full.withColumn(slot, F.col(slot).cast("timestamp_ntz"))
 
 
-def fill_gaps(series: DataFrame, by: list[str], span: str, fill: dict | None = None, slot: str = "bucket") -> DataFrame:
-    """Add the empty buckets; ``fill`` gives the value of named columns there, others stay null."""
+def fill_gaps(
+    series: DataFrame, by: list[str], span: str, fill: dict | None = None, slot: str = "bucket", written: bool = False
+) -> DataFrame:
+    """Add the empty buckets; ``fill`` gives the value of named columns there, others stay null.
+
+    The series is needed for its bounds, its groups and its rows, so it is
+    written out first (unless ``written`` says it is): the raw data are read once.
+    """
+    series = series if written else cut_lineage(series)
     full = null_safe_join(spine(series, by, span, slot), series, [*by, slot], "left")
     return full.fillna(fill) if fill else full

@@ -14,7 +14,7 @@ TABLES = (
 ).split()
 
 
-def oracle_connection(folder: str):
+def twin_connection(folder: str):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
@@ -46,7 +46,7 @@ def spark_rows(df):
     return names, sorted(rows, key=_order)
 
 
-def oracle_rows(con, sql):
+def twin_rows(con, sql):
     cur = con.execute(sql)
     raw = [d[0] for d in cur.description]
     names = sorted(raw)
@@ -70,7 +70,7 @@ def compare(spark, con, name, fn, sql, folder):
     sn, sr = spark_rows(df)
     if sql is None:
         return f"rows-only {len(sr)}", True
-    on, orows = oracle_rows(con, sql)
+    on, orows = twin_rows(con, sql)
     if sn != on:
         return f"columns {sn} vs {on}", False
     kinds = types_of(con, sql)
@@ -82,24 +82,24 @@ def compare(spark, con, name, fn, sql, folder):
         return f"rows {len(sr)} vs {len(orows)}", False
     bad = [(a, b) for a, b in zip(sr, orows) if a != b]
     if bad:
-        return f"{len(bad)} of {len(sr)} rows differ, first {sn}\n   spark  {str(bad[0][0])[:600]}\n   oracle {str(bad[0][1])[:600]}", False
+        return f"{len(bad)} of {len(sr)} rows differ, first {sn}\n   spark  {str(bad[0][0])[:600]}\n   sql    {str(bad[0][1])[:600]}", False
     return f"ok {len(sr)} rows", bool(sr)
 
 
 def main():
-    from opsloom.catalog import ORACLE, QUERIES
+    from opsloom.catalog import SQL_TWINS, QUERIES
     from opsloom.session import local_session
 
     folder = sys.argv[1]
     wanted = sys.argv[2:]
     names = [n for n in QUERIES if not wanted or any(n == w or n.startswith(w + "_") or (w.endswith("*") and n.startswith(w[:-1])) for w in wanted)]
     spark = local_session()
-    con = oracle_connection(folder)
+    con = twin_connection(folder)
     failed = []
     for n in names:
         t = time.time()
         try:
-            text, ok = compare(spark, con, n, QUERIES[n], ORACLE.get(n), folder)
+            text, ok = compare(spark, con, n, QUERIES[n], SQL_TWINS.get(n), folder)
         except Exception as e:  # show and go on
             text, ok = f"{type(e).__name__}: {str(e)[:900]}", False
         took = time.time() - t

@@ -4,8 +4,8 @@ import os
 
 import pytest
 
-from opsloom.catalog import ORACLE, QUERIES
-from tests.parity import compare, oracle_connection
+from opsloom.catalog import SQL_TWINS, QUERIES
+from tests.parity import compare, twin_connection
 
 FOLDER = os.environ.get("PARITY_DIR", "/root/testdata/sf0.001")
 ROWS_ONLY = {"m10_forecast_seasonal", "g2_approximate_top_k"}
@@ -13,20 +13,20 @@ MAY_BE_EMPTY = {"l6_label_error_analysis", "m4_alarm_history", "u6_cost_anomaly"
 
 
 @pytest.fixture(scope="module")
-def oracle():
-    return oracle_connection(FOLDER)
+def twin():
+    return twin_connection(FOLDER)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
-def test_same_as_sql(spark, oracle, name):
-    text, same = compare(spark, oracle, name, QUERIES[name], ORACLE.get(name), FOLDER)
+def test_same_as_sql(spark, twin, name):
+    text, same = compare(spark, twin, name, QUERIES[name], SQL_TWINS.get(name), FOLDER)
     if name in MAY_BE_EMPTY and text == "ok 0 rows":
         return
     assert same, text
 
 
 def test_only_known_queries_lack_sql():
-    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
+    assert set(QUERIES) - set(SQL_TWINS) == ROWS_ONLY
 
 
 def test_entry_contract(spark):
