@@ -15,7 +15,7 @@ def events_stream(t, **position):
 
 
 def plain_time(df, *cols):
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
+    return df.withColumns({c: R.utc_wall(c) for c in cols})
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from opsloom.operators.metrics import AlarmRule
 from opsloom.operators.privacy import hash_number
 from opsloom.plans.predicates import all_matches, first_match
+from opsloom.streaming.runs import utc_wall
 
 
 def put_messages(df: DataFrame, key: str, value: str, partitions: int, max_bytes: int = 1024 * 1024) -> DataFrame:
@@ -127,7 +128,7 @@ class AlarmProcessor(StatefulProcessor):
 def alarm_stream(df: DataFrame, ts: str, value: str, late: str, window: str, key: str, rule: AlarmRule) -> DataFrame:
     """Interval means of a stream, evaluated per key as intervals close."""
     means = df.withWatermark(ts, late).groupBy(F.window(ts, window), key).agg(F.avg(value).alias("v"))
-    rows = means.select(key, F.col("window.start").cast("timestamp_ntz").alias("bucket"), "v")
+    rows = means.select(key, utc_wall("window.start").alias("bucket"), "v")
     return rows.groupBy(key).transformWithStateInPandas(
         AlarmProcessor(rule), "key string, bucket timestamp_ntz, v double, run int, state string", "Append", "None"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def zoned(df: DataFrame, ts: str) -> DataFrame:
-    """Event time as timestamp with zone, as watermarks require."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+    """Event time as timestamp with zone, as watermarks require; a value without zone is read as UTC."""
+    return df.withColumn(ts, F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(ts)).cast("timestamp"))
+
+
+def utc_wall(col: str | Column) -> Column:
+    """The UTC wall time of an instant, as timestamp without zone."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), col.cast("timestamp_ntz"))
 
 
 def stream_source(
