@@ -9,6 +9,7 @@ from opsloom.plans.joining import null_safe_join, share_of
 from opsloom.plans.ordered import ordered_window, top_per_key
 from opsloom.plans.predicates import to_column
 from opsloom.plans.quantiles import exact_quantiles
+from opsloom.plans.storage import cut_lineage
 from opsloom.plans.timing import bucket, fill_gaps
 
 # fixed values: variable parts of a message and the slot that stands for them, applied in this order
@@ -37,16 +38,19 @@ def cluster(df: DataFrame, text: str) -> DataFrame:
 
 
 def outlier(df: DataFrame, by: list[str], col: str, k: float, method: str = "mad") -> DataFrame:
-    """Rows far from their group: robust z over the median absolute deviation, or the IQR fence."""
+    """Rows far from their group: robust z over the median absolute deviation, or the IQR fence.
+
+    The group statistics (one row per group) are written out, since they are met twice.
+    """
     if method == "iqr":
-        q = exact_quantiles(df, by, col, {"_q1": 0.25, "_q3": 0.75})
+        q = cut_lineage(exact_quantiles(df, by, col, {"_q1": 0.25, "_q3": 0.75}))
         rows = null_safe_join(df, q, by)
         iqr = F.col("_q3") - F.col("_q1")
         out = (F.col(col) < F.col("_q1") - k * iqr) | (F.col(col) > F.col("_q3") + k * iqr)
         return rows.where(out).drop("_q1", "_q3")
-    mid = exact_quantiles(df, by, col, {"_median": 0.5})
+    mid = cut_lineage(exact_quantiles(df, by, col, {"_median": 0.5}))
     rows = null_safe_join(df, mid, by).withColumn("_dev", F.abs(F.col(col) - F.col("_median")))
-    mad = exact_quantiles(rows, by, "_dev", {"_mad": 0.5})
+    mad = cut_lineage(exact_quantiles(rows, by, "_dev", {"_mad": 0.5}))
     rows = null_safe_join(rows, mad, by)
     z = F.try_divide(0.6745 * (F.col(col) - F.col("_median")), F.col("_mad"))
     return rows.withColumn("robust_z", z).where(F.abs("robust_z") > k).drop("_median", "_dev", "_mad")

@@ -166,7 +166,7 @@ def baseline(df: DataFrame, by: list[str], ts: str, value: str, band: tuple[floa
 
 def baseline_points(df: DataFrame, base: DataFrame, by: list[str], ts: str, value: str) -> DataFrame:
     """Points outside the band of their slot."""
-    rows = null_safe_join(df.withColumn("slot", season_slot(ts)), base, [*by, "slot"])
+    rows = null_safe_join(df.withColumn("slot", season_slot(ts)), cut_lineage(base), [*by, "slot"])
     side = F.when(F.col(value) > F.col("high"), "above").when(F.col(value) < F.col("low"), "below")
     return rows.withColumn("side", side).where(F.col("side").isNotNull())
 

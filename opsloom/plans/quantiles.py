@@ -1,8 +1,9 @@
-"""Exact group quantiles without collecting a group.
+"""Exact group quantiles without collecting a large group.
 
-A sketch gives each wanted rank a bracket of values that is certain to hold it;
-values below the bracket are only counted, and just the values inside it are
-ordered.  Interpolation is linear between neighbouring ranks.
+Groups of bounded size go through the built-in ``percentile``, whose buffer they
+bound.  For the others a sketch gives each wanted rank a bracket of values that
+is certain to hold it; values below the bracket are only counted, and just the
+values inside it are ordered.  Interpolation is linear between neighbouring ranks.
 """
 
 from __future__ import annotations
@@ -19,10 +20,25 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group of ``by`` (groups without a value are left out) with a column per quantile.
 
-    The sketch is computed when this is called; the rest is lazy.
-
-    ``accuracy`` only sets the width of the bracket; the answer is exact for any value.
+    Group sizes (and the sketch of large groups) are computed when this is
+    called; the rest is lazy.  ``accuracy`` only sets the width of the bracket
+    and what counts as large (twice its value); the answer is exact for any value.
     """
+    rows = df.where(F.col(col).isNotNull()).select(*by, col)
+    is_large = F.col("_n") >= 2 * accuracy
+    sizes = cut_lineage(rows.groupBy(*by).agg(F.count("*").alias("_n")))
+    n_small, n_large = sizes.agg(F.count_if(~is_large), F.count_if(is_large)).first()
+    direct = [F.percentile(col, F.lit(float(p))).alias(name) for name, p in probs.items()]
+    if not n_large:
+        return rows.groupBy(*by).agg(*direct)
+    if not n_small:
+        return _bracketed(rows, by, col, probs, accuracy)
+    large = sizes.where(is_large).select(*by)
+    small = null_safe_join(rows, large, by, "left_anti").groupBy(*by).agg(*direct)
+    return small.unionByName(_bracketed(null_safe_join(rows, large, by, "left_semi"), by, col, probs, accuracy))
+
+
+def _bracketed(df: DataFrame, by: list[str], col: str, probs: dict[str, float], accuracy: int) -> DataFrame:
     slack = 3.0 / accuracy
     ps = list(probs.values())
     lows = [max(p - slack, 0.0) for p in ps]
@@ -33,14 +49,13 @@ def exact_quantiles(
         F.max(col).alias("_max"),
         F.percentile_approx(col, lows + highs, accuracy).alias("_edge"),
     )
-    # written out first: a small result is then known to be small, and the rows are not shuffled to meet it
-    sketch = cut_lineage(sketch.where(F.col("_n") > 0))
-    # neighbouring ranks count in a small group, so its bracket is the whole (bounded) group
-    few = F.col("_n") < 2 * accuracy
-    lo = [F.when(few | F.lit(p <= 0), F.col("_min")).otherwise(F.col("_edge")[i]) for i, p in enumerate(lows)]
-    hi = [F.when(few | F.lit(p >= 1), F.col("_max")).otherwise(F.col("_edge")[len(ps) + i]) for i, p in enumerate(highs)]
+    # written out: a small result is then known to be small, and the rows are not shuffled to meet it
+    sketch = cut_lineage(sketch)
+    # a bracket is several ranks wide on both sides, so it holds the neighbouring ranks too
+    lo = [F.col("_min") if p <= 0 else F.col("_edge")[i] for i, p in enumerate(lows)]
+    hi = [F.col("_max") if p >= 1 else F.col("_edge")[len(ps) + i] for i, p in enumerate(highs)]
     v = F.col("_v")
-    marked = null_safe_join(df.where(F.col(col).isNotNull()).select(*by, F.col(col).alias("_v")), sketch, by)
+    marked = null_safe_join(df.select(*by, F.col(col).alias("_v")), sketch, by)
     # per wanted rank a value counts as below the bracket (no value kept), inside it, or not at all
     below = F.lit(None).cast(df.schema[col].dataType)
     hits = [
@@ -60,5 +75,5 @@ def exact_quantiles(
     )
     value = F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
     return edge.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_i") == i, value)).alias(name) for i, name in enumerate(probs)]
+        *[F.max(F.when(F.col("_i") == i, value)).cast("double").alias(name) for i, name in enumerate(probs)]
     )
