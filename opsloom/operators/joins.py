@@ -50,6 +50,7 @@ def lookup(
 
 def _by_prefix(df: DataFrame, ref: DataFrame, value: Column, prefix: Column, length: Column) -> DataFrame:
     """Equi-join on (prefix length, prefix): each row offers one prefix per length in use."""
+    # the lengths in use are few: none is longer than the longest pattern
     ref = ref.withColumns({"_len": length, "_pre": prefix})
     lengths = sorted(r[0] for r in ref.select("_len").distinct().collect())
     offers = F.array(*[F.struct(F.lit(n).alias("_len"), F.substring(value, 1, n).alias("_pre")) for n in lengths])
