@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import fmindex, packing, ppm, wavelet
+from opsloom.llm import fmindex, hyperminhash, packing, ppm, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op4_ppm_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = ppm.fit(docs.where(~held_out(F.col("doc_id"))))
     return ppm.identify(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+@query
+def op9_hyperminhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, folder, "documents"))
