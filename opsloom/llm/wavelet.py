@@ -168,7 +168,7 @@ class WaveletFile:
         return ids
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int = 1 << 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode documents, write them as shard files to the shared folder and return the manifest, one row per file.
 
     Files hold documents in ascending order of id, and the files of the manifest by
@@ -192,6 +192,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens:
             number, held = number + 1, 0
             doc_ids.clear()
             sequences.clear()
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["partition", "number", "path", "n_docs", "n_tokens"])
 
         for batch in batches:
@@ -223,11 +224,11 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist()):
                 shard = WaveletFile(read_all(path))
-                ids, bounds = shard.decode().astype("<u4"), shard.firsts.tolist()
+                ids, bounds = shard.decode(), shard.firsts.tolist()
                 doc_ids = shard.doc_ids
                 for i in range(0, len(doc_ids), 1000):
                     some = range(i, min(i + 1000, len(doc_ids)))
-                    columns = [pa.array(doc_ids[i : i + 1000], pa.int64()), pa.array([first + bounds[k] for k in some], pa.int64()), pa.array([bounds[k + 1] - bounds[k] for k in some], pa.int64()), pa.array([ids[bounds[k] : bounds[k + 1]].tobytes() for k in some], pa.binary())]
+                    columns = [pa.array(doc_ids[i : i + 1000], pa.int64()), pa.array([first + bounds[k] for k in some], pa.int64()), pa.array([bounds[k + 1] - bounds[k] for k in some], pa.int64()), pa.array([ids[bounds[k] : bounds[k + 1]].astype("<u4").tobytes() for k in some], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
 
     return starts.select("path", "first").repartition(files).mapInArrow(task, ROWS)
