@@ -144,7 +144,7 @@ class Table:
         return out
 
 
-def fit(docs: DataFrame, order: int = 4, train_docs: int = 2000, least: int = 2, lang_col: str = "lang", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, order: int = 4, train_docs: int = 1000, least: int = 2, lang_col: str = "lang", text_col: str = "text") -> Model:
     """Trees of all languages of ``docs``.
 
     Rows without a language or a letter teach nothing.  About ``train_docs`` rows of each
@@ -158,13 +158,19 @@ def fit(docs: DataFrame, order: int = 4, train_docs: int = 2000, least: int = 2,
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", F.col("text").cast("binary").alias("text"))
     counted = sample.mapInArrow(_count_grams(order), "lang string, k int, gram bigint, n bigint").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     # bounded by the sample, not by the table
-    known = counted.toPandas()
-    languages = sorted(known["lang"].unique())
+    known = counted.toArrow()
+    lang = known.column("lang").combine_chunks().dictionary_encode()
+    languages = sorted(lang.dictionary.to_pylist())
+    number_of = np.array([languages.index(x) for x in lang.dictionary.to_pylist()], np.int64)
+    numbers = number_of[lang.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
+    lengths, all_grams, all_counts = (known.column(c).to_numpy() for c in ("k", "gram", "n"))
     grams: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-    for number, lang in enumerate(languages):
+    for number in range(len(languages)):
         for k in range(order + 1):
-            own = known[(known["lang"] == lang) & (known["k"] == k)].sort_values("gram")
-            gram, n = own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
+            own = (numbers == number) & (lengths == k)
+            gram, n = all_grams[own].astype(np.int64), all_counts[own].astype(np.int64)
+            by = np.argsort(gram)
+            gram, n = gram[by], n[by]
             if k:
                 _, group = np.unique(gram >> 8, return_inverse=True)
                 keep = np.bincount(group, n)[group] >= least if len(gram) else np.zeros(0, bool)
