@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import fmindex, hyperminhash, maxproduct, packing, ppm, wavelet
+from opsloom.llm import fmindex, hyperminhash, maxproduct, packing, ppm, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -84,3 +84,11 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op8_warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
+    # the table has no time of capture: a second per page from the start of 2024
+    captured = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id"))
+    histories = warc.merge_runs(warc.write_archives(table(spark, folder, "pages"), captured))
+    return warc.read_archives(histories, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_order")
