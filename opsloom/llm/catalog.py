@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import fmindex, hyperminhash, maxproduct, packing, ppm, warc, wavelet
+from opsloom.llm import fmindex, htmlblocks, hyperminhash, maxproduct, packing, ppm, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -92,3 +92,8 @@ def op8_warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
     captured = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id"))
     histories = warc.merge_runs(warc.write_archives(table(spark, folder, "pages"), captured))
     return warc.read_archives(histories, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_order")
+
+
+@query
+def op1_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return htmlblocks.extract(table(spark, folder, "pages"))
