@@ -6,12 +6,13 @@ register keeps of its bucket's least hash the number of leading zeros and the ne
 candidates, those whose registers agree too rarely, corrected for agreement by chance,
 are left out, and the rest is decided on the full sets.
 
-Documents with equal sets are one node from the start.  A key of many nodes never yields
-all its pairs at first: its nodes are compared with its centre, the node that shares most
-keys with others.  What is linked becomes one component; only keys that still
-hold several components are taken up again, with more centres, until all pairs of
-different components that share a key were compared.  So no link between components is
-lost, and a group of near copies costs as many pairs as it has members.
+Documents with equal sets are one node from the start.  A key of many nodes does not yield
+all its pairs: its nodes are first compared with its centre, the node that shares most
+keys with others, and what is linked becomes one component.  In keys that still hold
+several components, the nodes outside the largest one are then compared with all nodes
+of other components.  So no link between components is lost, a group of near copies costs
+as many pairs as it has members, and only nodes that share a key with a group without belonging to it
+cost more.  Each pair is tested on bit columns inside the join before it becomes a row.
 """
 
 from __future__ import annotations
@@ -20,19 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.llm.shingles import mix, set_key, shingle_sets
 from opsloom.plans.storage import cut_lineage
 
-BUCKET_BITS = 8
+BUCKET_BITS = 9
 REGISTERS = 1 << BUCKET_BITS
 MANTISSA = 10
 BAND = 5
 BANDS = 40
 #: Standard deviations by which an estimate may fall short before a pair is left out, and as much again for rounding.
-SLACK, ROUNDING = 5.0, 0.01
+SLACK, ROUNDING = 4.0, 0.01
 _REST = 48
 _ORDER = mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)).reshape(REGISTERS, REGISTERS)
 _BAND_POWERS = mix(np.arange(1, BAND + 1, dtype=np.uint64)) | np.uint64(1)
@@ -98,31 +99,32 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(np.repeat(part.column(c).to_numpy(), BANDS)) for c in ("node", "n"))], ["key", "node", "n"])
 
 
-#: Columns of a register's presence and of its last bit, 64 registers to a number.
-BITS = [f"{kind}{i}" for kind in "pl" for i in range(REGISTERS // 64)]
+#: Columns of a register's presence, its last bit and the bit before, 64 registers to a number.
+BITS = [f"{kind}{i}" for kind in "plm" for i in range(REGISTERS // 64)]
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        parts = [np.packbits(x, axis=1).view(np.int64) for x in (own > 0, own & 1)]
+        parts = [np.packbits(x, axis=1).view(np.int64) for x in (own > 0, own & 1, own & 2)]
         yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(np.ascontiguousarray(x[:, i])) for x in parts for i in range(x.shape[1]))], ["node", *BITS])
 
 
 def _promising(least: float) -> Column:
     """Whether a pair may be similar by its registers' presence and last bits alone; the centre's columns end in ``_a``.
 
-    Registers that only one of both has differ, and of those that differ in both half
-    have different last bits.  The bound lies ``SLACK`` standard deviations beyond the
+    Registers that only one of both has differ, and of those that differ in both three of
+    four show it in their last two bits.  The bound lies ``SLACK`` standard deviations beyond the
     count that a pair of least similarity is expected to have.
     """
     numbers = range(REGISTERS // 64)
     used = sum((F.bit_count(F.col(f"p{i}").bitwiseOR(F.col(f"p{i}_a"))) for i in numbers), F.lit(0))
     alone = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_a"))) for i in numbers), F.lit(0))
-    apart = sum((F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"l{i}_a")).bitwiseAND(F.col(f"p{i}").bitwiseAND(F.col(f"p{i}_a")))) for i in numbers), F.lit(0))
+    other = lambda i: F.col(f"l{i}").bitwiseXOR(F.col(f"l{i}_a")).bitwiseOR(F.col(f"m{i}").bitwiseXOR(F.col(f"m{i}_a")))
+    apart = sum((F.bit_count(other(i).bitwiseAND(F.col(f"p{i}").bitwiseAND(F.col(f"p{i}_a")))) for i in numbers), F.lit(0))
     union = (F.col("n") + F.col("na")) / (1 + least)
-    spread = least * (1 - least) * used * F.greatest(1 - used / union, F.lit(0.0)) + 2 * apart + 1
-    return alone + 2 * apart - SLACK * F.sqrt(spread) <= (1 - least) * used
+    spread = least * (1 - least) * used * F.greatest(1 - used / union, F.lit(0.0)) + apart * 4 / 9 + 1
+    return alone + apart * 4 / 3 - SLACK * F.sqrt(spread) <= (1 - least) * used
 
 
 def _likely(least: float):
@@ -191,37 +193,34 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, part: int, whole: int)
     texts = cut_lineage(docs.join(weights.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"))
     sketch = cut_lineage(nodes.join(weights, "node", "left_semi"))
     known = cut_lineage(weights.join(sketch.mapInArrow(_bits, "node bigint, " + ", ".join(f"{b} bigint" for b in BITS)), "node"))
-    # what a later round needs of a key's rows: their weight, their component, and whether they were centres
-    rows = cut_lineage(rows.drop("size").join(known, "node").withColumns({"component": F.col("node"), "tried": F.lit(False)}))
-    found, centres = None, 1
-    while True:
-        best = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-        chosen = cut_lineage(rows.where(~F.col("tried")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= centres).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("weight").alias("wa"), F.col("component").alias("ca"), *(F.col(b).alias(f"{b}_a") for b in BITS)))
-        similar = (whole * F.col("n") >= part * F.col("na")) & (whole * F.col("na") >= part * F.col("n"))
-        # a pair of two centres once, by the node of more weight
-        once = ~F.col("tried") & (F.struct(-F.col("wa"), F.col("a")) < F.struct(-F.col("weight"), F.col("node")))
-        pairs = cut_lineage(rows.join(chosen, "key").where((F.col("component") != F.col("ca")) & similar & once & _promising(part / whole)).select("a", F.col("node").alias("b")).distinct())
-        if not pairs.isEmpty():
-            side = lambda name: sketch.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("registers").alias(f"r{name}"))
-            likely = cut_lineage(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_likely(part / whole), "a bigint, b bigint").distinct())
-            if not likely.isEmpty():
-                text = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"t{name}"))
-                # first the many, then the centres, so that a centre's pairs come one after the other
-                sure = likely.join(text("b"), "b").join(text("a"), "a").mapInArrow(_linked(width, part, whole), "a bigint, b bigint").distinct()
-                sure = cut_lineage(sure)
-                if not sure.isEmpty():
-                    found = cut_lineage(sure if found is None else found.union(sure).distinct())
-                    label = cut_lineage(components(found))
-                    rows = rows.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        tried = chosen.select("key", F.col("a").alias("node"), F.lit(True).alias("now"))
-        rows = rows.join(tried, ["key", "node"], "left").withColumn("tried", F.col("tried") | F.coalesce("now", F.lit(False))).drop("now")
-        rows = cut_lineage(rows)
-        # keys that still hold several components and a node that was no centre
-        open_keys = cut_lineage(rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.when(~F.col("tried"), 1)).alias("left")).where("low != high and left > 1").select("key"))
-        if open_keys.isEmpty():
-            return label if found is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
-        rows = cut_lineage(rows.join(open_keys, "key"))
-        centres = max(64, centres * 8)
+    rows = cut_lineage(rows.drop("size").join(known, "node"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The linked ones of some pairs ``a, b``."""
+        pairs = cut_lineage(pairs.distinct())
+        side = lambda name: sketch.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("registers").alias(f"r{name}"))
+        likely = cut_lineage(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_likely(part / whole), "a bigint, b bigint").distinct())
+        text = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"t{name}"))
+        # first the many, then the centres, so that a centre's pairs come one after the other
+        return likely.join(text("b"), "b").join(text("a"), "a").mapInArrow(_linked(width, part, whole), "a bigint, b bigint").distinct()
+
+    similar = (whole * F.col("n") >= part * F.col("na")) & (whole * F.col("na") >= part * F.col("n")) & _promising(part / whole)
+    # of each key the node of most weight
+    heavy = F.max_by(F.struct(F.col("node").alias("a"), F.col("n").alias("na"), *(F.col(b).alias(f"{b}_a") for b in BITS)), F.struct("weight", -F.col("node")))
+    centres = cut_lineage(rows.groupBy("key").agg(heavy.alias("centre")).select("key", "centre.*"))
+    found = cut_lineage(compared(rows.join(centres, "key").where((F.col("node") != F.col("a")) & similar).select("a", F.col("node").alias("b"))))
+    label = cut_lineage(components(found))
+    rows = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # nodes of each key by component, and the largest component of each key that holds several
+    sizes = cut_lineage(rows.groupBy("key", "component").agg(F.count("*").alias("size")))
+    largest = cut_lineage(sizes.groupBy("key").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
+    rows = cut_lineage(rows.join(largest, "key"))
+    outside = rows.where("component != main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), *(F.col(b).alias(f"{b}_a") for b in BITS))
+    # a pair of two nodes outside once
+    once = (F.col("component") == F.col("main")) | (F.col("a") < F.col("node"))
+    more = compared(rows.join(outside, "key").where((F.col("component") != F.col("ca")) & once & similar).select("a", F.col("node").alias("b")))
+    more = cut_lineage(more)
+    return label if more.isEmpty() else components(found.union(more))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, part: int = 75, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
