@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import fmindex, htmlblocks, hyperminhash, maxproduct, packing, ppm, warc, wavelet
+from opsloom.llm import fmindex, htmlblocks, hyperminhash, linejoin, maxproduct, packing, ppm, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -97,3 +97,29 @@ def op8_warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return htmlblocks.extract(table(spark, folder, "pages"))
+
+
+@query
+def op10_segment_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linejoin.repeated_lines(table(spark, folder, "documents")).drop("digest")
+
+
+SQL_TWINS["op10_segment_line_dedup"] = """
+WITH l AS (
+  SELECT doc_id, CAST(unnest(range(len(s))) AS BIGINT) AS line_no, unnest(s) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)
+), k AS (
+  SELECT line, arg_min(doc_id, (doc_id, line_no)) AS class_doc_id, arg_min(line_no, (doc_id, line_no)) AS class_line_no
+  FROM l WHERE length(line) >= 24 GROUP BY line
+), p AS (
+  SELECT a.line, (b.class_doc_id, b.class_line_no) < (a.class_doc_id, a.class_line_no) AS later
+  FROM k a JOIN k b ON length(b.line) BETWEEN length(a.line) - 2 AND length(a.line) + 2 AND a.line <> b.line
+  WHERE levenshtein(a.line, b.line) <= 2
+), n AS (
+  SELECT line, count(*) AS links, bool_or(later) AS earlier FROM p GROUP BY line
+)
+SELECT l.doc_id, l.line_no, coalesce(k.class_doc_id, l.doc_id) AS class_doc_id, coalesce(k.class_line_no, l.line_no) AS class_line_no,
+       coalesce(n.links, 0) AS links,
+       (k.line IS NULL OR (k.class_doc_id = l.doc_id AND k.class_line_no = l.line_no)) AND NOT coalesce(n.earlier, false) AS kept
+FROM l LEFT JOIN k USING (line) LEFT JOIN n USING (line)
+"""
