@@ -4,8 +4,8 @@ A byte-level BPE splits a text into words first and encodes each alone.  In this
 family of tokenizers a word never spans a single space that follows or precedes
 something else than white space, so a text may be cut in front of such spaces and
 the parts encoded one by one; equal parts have equal ids.  Each Python worker keeps
-the ids of up to ``MEMORY`` parts that it met twice and starts anew when that many are
-kept, so its memory is bounded.  Texts with other white space around a space go to the library whole.
+the ids of up to ``MEMORY`` parts and starts anew when that many are kept, so its memory
+is bounded.  Texts with other white space around a space go to the library whole.
 """
 
 from __future__ import annotations
@@ -17,11 +17,9 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Parts of which a worker keeps the ids.
-MEMORY = 400_000
+MEMORY = 900_000
 #: Longer parts are encoded, but not kept.
 LONGEST_KEPT = 64
-#: Slots in which a part met for the first time leaves a mark; a power of two.
-MARKS = 1 << 22
 _SPACES = re.compile(r"\s\s")
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -47,7 +45,6 @@ class Encoder:
         self.opens = np.zeros(size, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.kept: dict[str, bytes] = {}
-        self.met, self.marked = bytearray(MARKS), 0
         self.marks = {mark: self.whole(mark).tobytes() for mark in ",."}
 
     def whole(self, text: str) -> np.ndarray:
@@ -111,16 +108,7 @@ class Encoder:
     def _keep(self, fresh: dict[str, bytes]) -> None:
         if len(self.kept) + len(fresh) > MEMORY:
             self.kept.clear()
-        if self.marked > MARKS // 2:
-            self.met, self.marked = bytearray(MARKS), 0
-        met, kept = self.met, self.kept
-        for part, ids in fresh.items():
-            slot = hash(part) & MARKS - 1
-            if not met[slot]:
-                met[slot] = 1
-                self.marked += 1
-            elif len(part) <= LONGEST_KEPT:
-                kept[part] = ids
+        self.kept.update((part, ids) for part, ids in fresh.items() if len(part) <= LONGEST_KEPT)
 
     def _join(self, cut: list, fresh: dict[str, bytes]) -> np.ndarray:
         first, parts, found = cut

@@ -56,9 +56,9 @@ def build(doc_ids: list[int | None], sequences: list[np.ndarray]) -> bytes:
     for level in reversed(range(levels)):
         bits = (ids >> level & 1).astype(bool)
         blocks = [put(np.packbits(bits[i : i + BLOCK], bitorder="little").tobytes()) for i in range(0, len(bits), BLOCK)]
-        before = np.add.reduceat(bits, np.arange(0, len(bits), BLOCK), dtype=np.int64) if len(bits) else np.zeros(0, np.int64)
-        header["planes"].append({"blocks": blocks, "zeros": int(len(bits) - bits.sum()), "before": np.cumsum(np.append(0, before))[:-1].tolist()})
-        ids = np.concatenate([ids[~bits], ids[bits]])
+        before = np.array([np.count_nonzero(bits[i : i + BLOCK]) for i in range(0, len(bits), BLOCK)], np.int64)
+        header["planes"].append({"blocks": blocks, "zeros": int(len(bits) - before.sum()), "before": np.cumsum(np.append(0, before))[:-1].tolist()})
+        ids = np.concatenate([ids[~bits], ids[bits]]) if level else ids
     head = json.dumps(header).encode()
     return MAGIC + len(head).to_bytes(8, "little") + head + b"".join(parts)
 
