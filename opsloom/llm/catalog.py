@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import fmindex, htmlblocks, hyperminhash, linejoin, maxproduct, packing, ppm, warc, wavelet
+from opsloom.llm import fmindex, htmlblocks, hyperminhash, linejoin, maxproduct, packing, ppm, pulearning, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -123,3 +123,12 @@ SELECT l.doc_id, l.line_no, coalesce(k.class_doc_id, l.doc_id) AS class_doc_id,
        (k.line IS NULL OR (k.class_doc_id = l.doc_id AND k.class_line_no = l.line_no)) AND NOT coalesce(n.earlier, false) AS kept
 FROM l LEFT JOIN k USING (line) LEFT JOIN n USING (line)
 """
+
+
+@query
+def op3_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    learned = ~held_out(F.col("doc_id"))
+    model = pulearning.fit(docs.where(learned), labels.where(learned))
+    scored = pulearning.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
