@@ -136,10 +136,15 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 24, i
 
 
 def without_repeats(docs: DataFrame, threshold: int = 2, least_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines that stay; a text that loses no line is unchanged, one that loses all is empty."""
+    """``docs`` with the lines that stay.
+
+    A text that loses no line is unchanged; a row that loses lines and keeps none of at
+    least ``least_chars`` goes, since short lines alone are the rest of a copy.
+    """
     gone = repeated_lines(docs, threshold, least_chars, id_col, text_col).where(~F.col("kept"))
     # a list per document, no longer than its lines
     lost = cut_lineage(gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.concat_ws(":", "line_no", F.hex("digest"))).alias("_lost")))
     stays = F.filter(F.split(docs[text_col], "\n"), lambda line, i: ~F.array_contains(F.col("_lost"), F.concat_ws(":", i, F.upper(F.md5(line)))))
-    joined = docs.join(lost, docs[id_col].eqNullSafe(lost["_id"]), "left")
-    return joined.select(*(F.when(F.col("_lost").isNull(), docs[c]).otherwise(F.array_join(stays, "\n")).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    rest = docs.join(lost, docs[id_col].eqNullSafe(lost["_id"]), "left").withColumn("_rest", F.when(F.col("_lost").isNotNull(), stays))
+    rest = rest.where(F.col("_rest").isNull() | F.exists("_rest", lambda line: F.length(line) >= least_chars))
+    return rest.select(*(F.coalesce(F.array_join("_rest", "\n"), docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))
