@@ -166,22 +166,19 @@ def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the least node reachable) of undirected links ``a, b``, by large and small stars in turn.
 
     Each round is written and read again; hot nodes are met by splitting skewed join
-    partitions.  Ends when a round changes nothing.
+    partitions.  Ends when every node points to one that points to none.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    state = None
+    edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     while True:
-        edges = cut_lineage(edges)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
-        state = now
         both = edges.union(edges.select("v", "u"))
         least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = cut_lineage(both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut_lineage(both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = least.select("u", F.col("m").alias("v")).union(small).distinct()
+        edges = cut_lineage(least.select("u", F.col("m").alias("v")).union(small).distinct())
+        # stars: each node has one edge down, and ends there
+        if edges.count() == least.count() and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
 def links(docs: DataFrame, nodes: DataFrame, width: int, part: int, whole: int) -> DataFrame:
