@@ -58,11 +58,14 @@ def _(t):
 
 @query(
     "u4_carbon_estimate",
-    f"""WITH {USAGE} SELECT region, round(sum(quantity * (0.1 + n_nationkey / 4.0)), 6) AS emission FROM u JOIN nation ON n_name = compartment GROUP BY 1""",
+    f"""WITH {USAGE} SELECT region, round(sum(quantity * (0.1 + n_nationkey / 4.0)) FILTER (WHERE n_nationkey <> 7), 6) AS emission, round(sum(CASE WHEN n_nationkey = 7 THEN quantity ELSE 0 END), 6) AS unrated
+       FROM u JOIN nation ON n_name = compartment GROUP BY 1""",
 )
 def _(t):
-    factors = t.nation.select(F.col("n_name").alias("compartment"), F.expr("0.1D + n_nationkey / 4.0D").alias("factor"))
-    return U.carbon(usage_lines(t), factors, ["compartment"], "quantity", ["region"]).withColumn("emission", F.round("emission", 6))
+    # one compartment has no factor
+    factors = t.nation.where("n_nationkey <> 7").select(F.col("n_name").alias("compartment"), F.expr("0.1D + n_nationkey / 4.0D").alias("factor"))
+    sums = U.carbon(usage_lines(t), factors, ["compartment"], "quantity", ["region"])
+    return sums.withColumns({c: F.round(c, 6) for c in ("emission", "unrated")})
 
 
 @query(

@@ -11,19 +11,15 @@ SQL_TWINS: dict[str, str] = {}
 
 
 TEXT_TABLES = ("documents", "pages", "conversations")
-SMALL_TABLE_BYTES = 256 * 1024 * 1024
 
 
 def widen(df: DataFrame) -> DataFrame:
-    """Spread a small text table over all cores.
+    """Spread a text table that lies in fewer files than there are cores.
 
-    Text work is bound by the processor, and one small file is one task.  The
-    size is the planner's; a larger table is left in its own splits.
+    Text work is bound by the processor, and a file with one row group is one task.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_TABLE_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 class Tables:

@@ -55,9 +55,14 @@ def cost_table(df: DataFrame, path: str, depth: int, key: str, values: list, mea
 
 
 def carbon(df: DataFrame, factors: DataFrame, on: list[str], quantity: str, by: list[str]) -> DataFrame:
-    """Quantity x emission factor, added up; quantity is summed per factor key before the join."""
+    """Quantity x emission factor, added up; quantity is summed per factor key before the join.
+
+    ``unrated`` is the quantity without a factor, which is in no emission.
+    """
     sums = df.groupBy(*list(dict.fromkeys([*on, *by]))).agg(F.sum(quantity).alias("_q"))
-    return sums.join(factors, on).groupBy(*by).agg(F.sum(F.col("_q") * F.col("factor")).alias("emission"))
+    return sums.join(factors, on, "left").groupBy(*by).agg(
+        F.sum(F.col("_q") * F.col("factor")).alias("emission"), F.sum(F.when(F.col("factor").isNull(), F.col("_q")).otherwise(0.0)).alias("unrated")
+    )
 
 
 def budget_status(
@@ -135,9 +140,9 @@ def availability(used: DataFrame, limits: DataFrame, on: list[str]) -> DataFrame
     )
 
 
-def tree_rollup(values: DataFrame, tree: DataFrame, measures: list[str], max_depth: int = 32) -> DataFrame:
+def tree_rollup(values: DataFrame, tree: DataFrame, measures: list[str]) -> DataFrame:
     """Value of each node including all descendants; ``tree`` is (node, parent)."""
-    return sum_up_tree(values, tree, measures, max_depth)
+    return sum_up_tree(values, tree, measures)
 
 
 def tag_report(df: DataFrame, tags: str, required: list[str], by: list[str] | None = None) -> DataFrame:

@@ -184,12 +184,12 @@ def parse_logs(df: DataFrame, col: str, kind: str, spec, error: str = "parse_err
     (separator, field names); json: spec maps field names to JSON paths.
     """
     if kind == "regex":
-        ok = F.col(col).rlike(spec)
+        ok = F.coalesce(F.col(col).rlike(spec), F.lit(False))
         return extract(df, col, spec).withColumn(error, F.when(~ok, F.lit("NO_MATCH")))
     if kind == "delimited":
         sep, names = spec
         parts = F.split(F.col(col), re.escape(sep), -1)
-        ok = F.size(parts) == len(names)
+        ok = F.coalesce(F.size(parts) == len(names), F.lit(False))
         cols = {n: F.when(ok, F.get(parts, F.lit(i))) for i, n in enumerate(names)}
         return df.withColumns({**cols, error: F.when(~ok, F.lit("FIELD_COUNT"))})
     if kind == "json":
@@ -203,10 +203,10 @@ HEADER = r"^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}) +\[?([A-Z]+)
 
 def extract_header(df: DataFrame, col: str) -> DataFrame:
     """Leading timestamp, level and body of a log line; a line without a header is all body."""
-    hit = F.col(col).rlike(HEADER)
+    hit = F.coalesce(F.col(col).rlike(HEADER), F.lit(False))
     return df.withColumns(
         {
-            "log_time": F.when(hit, F.try_to_timestamp(F.regexp_extract(col, HEADER, 1)).cast("timestamp_ntz")),
+            "log_time": F.when(hit, F.regexp_extract(col, HEADER, 1).try_cast("timestamp_ntz")),
             "level": F.when(hit, F.regexp_extract(col, HEADER, 2)),
             "body": F.when(hit, F.regexp_extract(col, HEADER, 3)).otherwise(F.col(col)),
         }
@@ -226,7 +226,7 @@ def json_project(df: DataFrame, col: str, paths: dict[str, str]) -> DataFrame:
 
 
 def coerce_enum(df: DataFrame, col: str, allowed: list[str]) -> DataFrame:
-    """Values outside the known set become UNKNOWN_ENUM_VALUE; null stays null."""
+    """Values outside the known set become the fixed value UNKNOWN_ENUM_VALUE; null stays null."""
     known = F.col(col).isNull() | F.col(col).isin(allowed)
     return df.withColumn(col, F.when(known, F.col(col)).otherwise("UNKNOWN_ENUM_VALUE"))
 

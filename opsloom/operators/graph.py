@@ -14,18 +14,18 @@ from opsloom.plans.storage import cut_lineage
 from opsloom.plans.timing import bucket
 
 
-def lineage(edges: DataFrame, starts: DataFrame, direction: str = "downstream", depth: int = 16) -> DataFrame:
-    """All nodes down- or upstream of each start, with the shortest distance; cycles are harmless."""
+def lineage(edges: DataFrame, starts: DataFrame, direction: str = "downstream", depth: int | None = None) -> DataFrame:
+    """All nodes down- or upstream of each start (up to ``depth``, if given), with the shortest distance; cycles are harmless."""
     if direction == "upstream":
         edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return reach(edges, starts, depth).where("depth > 0")
 
 
-def glossary_tree(terms: DataFrame, max_depth: int = 16) -> DataFrame:
+def glossary_tree(terms: DataFrame) -> DataFrame:
     """Terms (node, parent) with direct children and all descendants."""
     children = terms.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children"))
     ones = terms.select("node", F.lit(1).cast("bigint").alias("below"))
-    total = sum_up_tree(ones, terms, ["below"], max_depth).withColumn("descendants", F.col("below") - 1)
+    total = sum_up_tree(ones, terms, ["below"]).withColumn("descendants", F.col("below") - 1)
     return total.join(children, "node", "left").select("node", F.coalesce("children", F.lit(0)).alias("children"), "descendants")
 
 
@@ -50,26 +50,24 @@ def affected(components: DataFrame, advisories: DataFrame, ignore: list[str] = (
     return hit.where((v >= version_parts(F.col("low"))) & (v < version_parts(F.col("high"))))
 
 
-def vulnerability_audit(deps: DataFrame, versions: DataFrame, advisories: DataFrame, ignore: list[str] = (), max_rounds: int = 64) -> DataFrame:
+def vulnerability_audit(deps: DataFrame, versions: DataFrame, advisories: DataFrame, ignore: list[str] = ()) -> DataFrame:
     """Worst advisory score of each component and of everything it depends on.
 
     ``deps`` is (src, dst): src needs dst.  A score travels from dst to src, and
     only components whose score rises travel on, so the work per round is the
-    changed part of the graph and cycles settle.
+    changed part of the graph.  Scores only rise, and only to scores that occur, so it ends.
     """
     links = cut_lineage(deps.select("src", "dst").distinct())
     own = affected(versions, advisories, ignore).groupBy(F.col("component").alias("node")).agg(F.max("score").alias("score"))
     best = moved = cut_lineage(own)
-    for _ in range(max_rounds):
+    while True:
         up = moved.join(links, moved["node"] == links["dst"]).groupBy(F.col("src").alias("node")).agg(F.max("score").alias("score"))
         known = best.groupBy("node").agg(F.max("score").alias("_old"))
         moved = up.join(known, "node", "left").where(F.col("_old").isNull() | (F.col("score") > F.col("_old"))).select("node", "score")
         moved = cut_lineage(moved)
         if moved.isEmpty():
             break
-        best = best.unionByName(moved)
-    else:
-        raise ValueError(f"scores still move after {max_rounds} rounds")
+        best = cut_lineage(best.unionByName(moved).groupBy("node").agg(F.max("score").alias("score")))
     return best.groupBy("node").agg(F.max("score").alias("score"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opsloom.plans.joining import salted_join
 from opsloom.plans.ordered import top_per_key
+from opsloom.plans.timing import seconds_of
 
 
 def join(left: DataFrame, right: DataFrame, on, how: str = "inner", salts: int = 0) -> DataFrame:
@@ -166,8 +167,8 @@ def in_interval(
     and left_anti an event counts once.
     """
     by = by or []
-    slot = lambda c: F.floor(F.col(c).cast("timestamp").cast("double") / bucket_seconds)
-    last = F.floor((F.col(end).cast("timestamp").cast("double")) / bucket_seconds)
+    slot = lambda c: F.floor(seconds_of(c) / bucket_seconds)
+    last = slot(end)
     spread = intervals.where(F.col(start) < F.col(end)).withColumn("_slot", F.explode(F.sequence(slot(start), last)))
     left = events.withColumn("_slot", slot(ts))
     on = [*by, "_slot"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -73,9 +74,14 @@ def preserve() -> Format:
 
 
 def hash_number(seed: str, key: Column, n: int) -> Column:
-    """A reproducible number in [0, n) from md5 of seed and key; n at most 2^32."""
+    """A reproducible number in [0, n) from md5 of seed and key; n at most 2^60.
+
+    Eight hex digits serve up to 2^32, fifteen beyond, so that the whole range is reached.
+    """
+    if n > 1 << 60:
+        raise ValueError(f"{n} is more than 2^60")
     digest = F.md5(F.concat_ws("|", F.lit(seed), key.cast("string")).cast("binary"))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(n))
+    return F.pmod(F.conv(F.substring(digest, 1, 8 if n <= 1 << 32 else 15), 16, 10).cast("bigint"), F.lit(n))
 
 
 def hash_text(seed: str, key: Column) -> Column:
@@ -107,8 +113,8 @@ def random_list(seed: str, values: list[str]) -> Format:
 
 
 def keyed_hash(seed: str) -> Format:
-    """Same input, same output in every table: keeps joins between masked keys."""
-    return lambda col, key: hash_text(seed, col)
+    """Same input, same output in every table: keeps joins between masked keys; null stays null."""
+    return lambda col, key: F.when(col.isNotNull(), hash_text(seed, col))
 
 
 def keep_substring(start: int, n: int) -> Format:
@@ -172,18 +178,19 @@ def substitute(df: DataFrame, key: str, col: str, table: DataFrame, index: str,
     return rows.join(pick, "_slot", "left").withColumn(col, F.col("_new")).select(*df.columns)
 
 
-def shuffle(df: DataFrame, key: str, col: str, seed: str, by: list[str] | None = None) -> DataFrame:
+def shuffle(df: DataFrame, key: str, col: str, seed: str, by: list[str] | None = None, digits: int = 4) -> DataFrame:
     """Permute a column, optionally inside groups; the multiset of values is kept.
 
     Rows are numbered twice, in two hash orders; number i of the first order
     gets the value of number i of the second.  The numbering runs in blocks of
-    equal hash prefix, so neither the table nor a group is one task.
+    equal hash prefix, so neither the table nor a group is one task: 16^``digits``
+    blocks, to be chosen so that one of them fits a task.
     """
     by = by or []
 
     def numbered(side: DataFrame, label: str) -> DataFrame:
         side = side.withColumn("_h", hash_text(f"{seed}-{label}", F.col(key)))
-        return ordered_window(side, by, ["_h", key], F.substring("_h", 1, 4), number="_pos").drop("_h")
+        return ordered_window(side, by, ["_h", key], F.substring("_h", 1, digits), number="_pos").drop("_h")
 
     rows = numbered(df, "rows")
     values = numbered(df.select(*by, key, F.col(col).alias("_new")), "values").drop(key)
@@ -276,8 +283,8 @@ def decrypt(df: DataFrame, cols: list[str], key: bytes) -> DataFrame:
 
 
 def digest(df: DataFrame, cols: list[str], out: str = "digest") -> DataFrame:
-    """MD5 per row over the columns; null and empty text differ."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in cols]
+    """MD5 per row over the columns, each with its length, so that no two rows of different values share a text; null and empty text differ."""
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in cols]
     return df.withColumn(out, F.md5(F.concat_ws("|", *parts).cast("binary")))
 
 
@@ -310,8 +317,8 @@ def baseline_diff(current: DataFrame, baseline: DataFrame, keys: list[str]) -> D
     return compare_tables(current, baseline, keys).withColumn("status", names[F.col("status")])
 
 
-def grant_paths(grants: DataFrame, users: DataFrame, privilege: str, max_depth: int = 8) -> DataFrame:
-    """Chains user > role > ... > privilege.
+def grant_paths(grants: DataFrame, users: DataFrame, privilege: str, max_depth: int | None = None) -> DataFrame:
+    """Chains user > role > ... > privilege, of any length unless the caller names a depth.
 
     ``grants`` is (grantee, granted), ``users`` is (user).  The search runs
     backwards from the privilege, so unrelated users are never visited; a chain
@@ -322,7 +329,7 @@ def grant_paths(grants: DataFrame, users: DataFrame, privilege: str, max_depth:
         F.col("grantee").alias("head"), F.array("grantee", "granted").alias("path")
     )
     found = frontier
-    for depth in range(2, max_depth + 1):
+    for _ in itertools.count() if max_depth is None else range(2, max_depth + 1):
         frontier = (
             frontier.join(links, frontier["head"] == links["granted"])
             .where(~F.array_contains("path", F.col("grantee")))

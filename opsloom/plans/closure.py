@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.plans.storage import cut_lineage
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """Nodes reached from each start, with the shortest depth.
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Nodes reached from each start, with the shortest depth; all of them, unless the caller names a depth.
 
     ``edges`` has (src, dst), ``starts`` has (start).  Columns: start, node,
     depth.  Only new pairs travel to the next round, so cycles end by themselves.
@@ -18,7 +20,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     links = cut_lineage(edges.select("src", "dst").distinct())
     frontier = cut_lineage(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
     known = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         step = (
             frontier.join(links, frontier["node"] == links["src"])
             .select("start", F.col("dst").alias("node"), F.lit(depth).alias("depth"))
@@ -32,17 +34,35 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     return known
 
 
-def sum_up_tree(values: DataFrame, tree: DataFrame, measures: list[str], max_depth: int) -> DataFrame:
-    """Own value plus that of all descendants per node.
+def has_cycle(links: DataFrame) -> bool:
+    """Whether following (node, parent) from some node never ends.
+
+    Every round doubles the step of all nodes, so a tree is done after the logarithm
+    of its depth, and what still has an ancestor after more steps than there are links is on or below a cycle.
+    """
+    jump, steps, most = links, 1, links.count()
+    while not jump.isEmpty():
+        if steps > most:
+            return True
+        above = jump.select(F.col("node").alias("parent"), F.col("parent").alias("_next"))
+        jump = cut_lineage(jump.join(above, "parent").select("node", F.col("_next").alias("parent")).distinct())
+        steps *= 2
+    return False
+
+
+def sum_up_tree(values: DataFrame, tree: DataFrame, measures: list[str]) -> DataFrame:
+    """Own value plus that of all descendants per node, at any depth.
 
     ``values`` has (node, measures), ``tree`` has (node, parent).  Each round
     moves sums one level up and adds them per parent first, so a node with many
-    children costs partial sums only.
+    children costs partial sums only.  A cycle is an error.
     """
     links = cut_lineage(tree.where(F.col("parent").isNotNull()).select("node", "parent").distinct())
+    if has_cycle(links):
+        raise ValueError("the tree has a cycle")
     level = values.groupBy("node").agg(*[F.sum(m).alias(m) for m in measures])
     total = level
-    for depth in range(max_depth):
+    while True:
         level = (
             level.join(links, "node")
             .groupBy(F.col("parent").alias("node"))
@@ -52,7 +72,4 @@ def sum_up_tree(values: DataFrame, tree: DataFrame, measures: list[str], max_dep
         if level.isEmpty():
             break
         total = total.unionByName(level)
-    else:
-        if not level.isEmpty() and not level.join(links, "node", "left_semi").isEmpty():
-            raise ValueError(f"the tree is deeper than {max_depth} levels or has a cycle")
     return total.groupBy("node").agg(*[F.sum(m).alias(m) for m in measures])

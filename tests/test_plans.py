@@ -12,6 +12,7 @@ from opsloom.plans.joining import null_safe_join, salted_join
 from opsloom.plans.ordered import ordered_window, rank_by_value, step_chunk
 from opsloom.plans.predicates import Cond, Negate, all_of, any_of, to_column, wildcard_regex
 from opsloom.plans.quantiles import exact_quantiles
+from opsloom.plans.timing import bucket, fill_gaps
 from tests.conftest import rows
 
 
@@ -119,7 +120,42 @@ def test_reach_ends_on_cycles(frame):
 def test_tree_sums_and_cycle_error(frame):
     tree = frame([("leaf1", "mid"), ("leaf2", "mid"), ("mid", "top"), ("top", None)], "node string, parent string")
     values = frame([("leaf1", 1), ("leaf2", 2), ("mid", 10)], "node string, v int")
-    assert rows(sum_up_tree(values, tree, ["v"], 8)) == [("leaf1", 1), ("leaf2", 2), ("mid", 13), ("top", 13)]
+    assert rows(sum_up_tree(values, tree, ["v"])) == [("leaf1", 1), ("leaf2", 2), ("mid", 13), ("top", 13)]
     ring = frame([("a", "b"), ("b", "a")], "node string, parent string")
     with pytest.raises(ValueError):
-        sum_up_tree(frame([("a", 1)], "node string, v int"), ring, ["v"], 3)
+        sum_up_tree(frame([("a", 1)], "node string, v int"), ring, ["v"])
+
+
+def test_deep_chains_and_trees_have_no_bound(frame):
+    chain = frame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)], "src string, dst string")
+    assert max(r.depth for r in reach(chain, frame([("n00",)], "start string")).collect()) == 40
+    tree = frame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)], "node string, parent string")
+    total = dict(rows(sum_up_tree(frame([(f"n{i:02d}", 1) for i in range(41)], "node string, v int"), tree, ["v"])))
+    assert total["n40"] == 41 and total["n00"] == 1
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_buckets_follow_the_wall_clock(spark, frame, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        times = frame([("2024-03-10 02:30:40",), ("2024-03-10 03:30:00",), ("1969-12-31 23:59:59",), (None,)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+        want = {
+            "second": ["1969-12-31 23:59:59", "2024-03-10 02:30:40", "2024-03-10 03:30:00"],
+            "minute": ["1969-12-31 23:59:00", "2024-03-10 02:30:00", "2024-03-10 03:30:00"],
+            "hour": ["1969-12-31 23:00:00", "2024-03-10 02:00:00", "2024-03-10 03:00:00"],
+            "15 minutes": ["1969-12-31 23:45:00", "2024-03-10 02:30:00", "2024-03-10 03:30:00"],
+            "6 hours": ["1969-12-31 18:00:00", "2024-03-10 00:00:00", "2024-03-10 00:00:00"],
+            "day": ["1969-12-31 00:00:00", "2024-03-10 00:00:00", "2024-03-10 00:00:00"],
+            "week": ["1969-12-29 00:00:00", "2024-03-04 00:00:00", "2024-03-04 00:00:00"],
+            "month": ["1969-12-01 00:00:00", "2024-03-01 00:00:00", "2024-03-01 00:00:00"],
+            "quarter": ["1969-10-01 00:00:00", "2024-01-01 00:00:00", "2024-01-01 00:00:00"],
+            "year": ["1969-01-01 00:00:00", "2024-01-01 00:00:00", "2024-01-01 00:00:00"],
+        }
+        for span, starts in want.items():
+            got = [r.b for r in times.select(bucket("t", span).cast("string").alias("b")).collect()]
+            assert got.count(None) == 1 and sorted(b for b in got if b) == starts, span
+        series = frame([("2024-01-01",), ("2024-07-01",)], "bucket string").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.lit(1).alias("v"))
+        assert fill_gaps(series, [], "quarter", {"v": 0}).count() == 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
