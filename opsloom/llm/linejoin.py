@@ -5,7 +5,7 @@ Equal lines are one class, named by their first occurrence.  If two lines are wi
 occurs in the other unchanged, near its own place.  So each class is entered under its length
 and segments, and looked up with those of its substrings that can be a segment of a line up to
 ``threshold`` shorter, at the places that the number of segments before and after allow.
-What meets is verified by a bit-parallel edit distance in a band of 2 * threshold + 1 diagonals.
+What meets, and whose counts of some frequent signs are near enough, is verified by a bit-parallel edit distance in a band of 2 * threshold + 1 diagonals.
 
 A line goes if it is not the first occurrence of its class, or if its class is within the
 threshold of a class that occurs first.  Lines shorter than ``least_chars`` always stay.
@@ -18,7 +18,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.plans.storage import cut_lineage
+from opsloom.plans.storage import cut_lineage, shared_path
+
+#: Signs whose counts tell lines apart before their edit distance is taken; any set is right, frequent ones tell more.
+COUNTED = " etaoinsrhldu"
 
 
 def segments(length: Column, count: int) -> list[tuple[Column, Column]]:
@@ -90,16 +93,37 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode("lines").alias("line_no", "line"))
 
 
+def _packed(df: DataFrame) -> DataFrame:
+    """Written and read again like other steps, but tightly compressed, as it holds the texts of all lines."""
+    path = shared_path(df.sparkSession, "lines")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def classes(lines: DataFrame, threshold: int, least_chars: int) -> DataFrame:
     """``digest, first, links, earlier`` per distinct line of at least ``least_chars``: its first occurrence, the number of other lines within the threshold, and whether one of those occurs first."""
     long = lines.where(F.length("line") >= least_chars)
     first = F.min(F.struct("doc_id", "line_no", "line"))
     kinds = long.groupBy(F.unhex(F.md5("line")).alias("digest")).agg(first.alias("first"))
-    kinds = cut_lineage(kinds.select(F.monotonically_increasing_id().alias("kind"), "digest", F.struct("first.doc_id", "first.line_no").alias("first"), F.col("first.line").alias("line")))
+    kinds = _packed(kinds.select(F.monotonically_increasing_id().alias("kind"), "digest", F.struct("first.doc_id", "first.line_no").alias("first"), F.col("first.line").alias("line")))
     size = F.length("line")
     entered = kinds.select("kind", F.explode(F.array(*entries(F.col("line"), size, threshold))).alias("key"))
-    sought = kinds.select(F.col("kind").alias("other"), F.explode(F.array_distinct(F.array(*lookups(F.col("line"), size, threshold)))).alias("key"))
-    pairs = cut_lineage(entered.join(sought, "key").where("kind != other").select(F.least("kind", "other").alias("a"), F.greatest("kind", "other").alias("b")).distinct())
+    sought = kinds.select(F.col("kind").alias("other"), F.explode(F.array(*lookups(F.col("line"), size, threshold))).alias("key"))
+    # first only which entries and lookups meet at all: both sides of both joins are the same two exchanges
+    meets = (F.col("e.key") == F.col("s.key")) & (F.col("kind") != F.col("other"))
+    met = entered.alias("e").join(sought.alias("s"), meets, "left_semi").select("key", "kind", F.lit(True).alias("entry"))
+    met = met.union(sought.alias("s").join(entered.alias("e"), meets, "left_semi").select("key", "other", F.lit(False)))
+    met = cut_lineage(met.distinct())
+    counted = kinds.join(met.select("kind").distinct(), "kind", "left_semi")
+    counted = cut_lineage(counted.select("kind", *((F.length("line") - F.length(F.replace("line", F.lit(c)))).alias(f"c{i}") for i, c in enumerate(COUNTED))))
+    met = cut_lineage(met.join(counted, "kind"))
+    names = [f"c{i}" for i in range(len(COUNTED))]
+    left = met.where("entry").select("key", "kind", *names)
+    right = met.where("not entry").select("key", F.col("kind").alias("other"), *(F.col(c).alias(f"o_{c}") for c in names))
+    # an edit changes the counts of its signs by two at most
+    moved = reduce(lambda x, y: x + y, (F.abs(F.col(c) - F.col(f"o_{c}")) for c in names))
+    pairs = left.join(right, "key").where((F.col("kind") != F.col("other")) & (moved <= 2 * threshold))
+    pairs = cut_lineage(pairs.select(F.least("kind", "other").alias("a"), F.greatest("kind", "other").alias("b")).distinct())
     side = lambda name: kinds.select(F.col("kind").alias(name), F.col("line").alias(f"line_{name}"), F.col("first").alias(f"first_{name}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), threshold))
     near = cut_lineage(near.select("a", "b", (F.col("first_a") < F.col("first_b")).alias("a_first")))
