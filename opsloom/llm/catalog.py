@@ -61,6 +61,24 @@ def op4_ppm_language(spark: SparkSession, folder: str) -> DataFrame:
     return ppm.identify(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
 
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL_TWINS["op6_fm_index_decontamination"] = f"""
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE {_WORDS} END AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+n AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+phrase AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, w[i:i + 9] AS p FROM n),
+size AS (SELECT DISTINCT len(p) AS k FROM phrase),
+place AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, size WHERE len(w) >= k),
+hit AS (SELECT doc_id, i, k, item FROM (SELECT doc_id, i, k, w[i:i + k - 1] AS p FROM place) JOIN phrase USING (p)),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 @query
 def op9_hyperminhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, folder, "documents"))
@@ -91,7 +109,22 @@ def op8_warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
     # the table has no time of capture: a second per page from the start of 2024
     captured = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id"))
     histories = warc.merge_runs(warc.write_archives(table(spark, folder, "pages"), captured))
-    return warc.read_archives(histories, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_order")
+    return warc.read_archives(histories, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL_TWINS["op8_warc_index_merge"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS hex FROM p),
+f AS (SELECT hex, min(page_id) AS first FROM d GROUP BY hex),
+-- five hexadecimal digits are four of base 32
+g AS (SELECT hex, list_transform(range(8), lambda i: CAST('0x' || substr(hex, CAST(i * 5 + 1 AS BIGINT), 5) AS BIGINT)) AS v FROM f),
+b AS (SELECT hex, array_to_string(list_transform(v, lambda x:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (x // 32768), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (x // 1024) % 32, 1)
+  || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (x // 32) % 32, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + x % 32, 1)), '') AS payload_digest FROM g)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN f USING (hex) JOIN b USING (hex)
+"""
 
 
 @query
