@@ -57,6 +57,10 @@ def _count_grams(order: int):
     return task
 
 
+#: The counts of the last model used in this worker, and its tables.
+_laid_out: list = []
+
+
 class Model:
     """Frozen counts of all languages; ``tables`` lays out their costs."""
 
@@ -64,15 +68,13 @@ class Model:
         self.languages, self.order = languages, order
         #: Per (language number, context length): grams (context bytes and the following byte as one number) ascending, and counts.
         self.grams = grams
-        self._tables: list[Table] | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_tables": None}
 
     def tables(self) -> list[Table]:
-        if self._tables is None:
-            self._tables = [Table(self, range(i, min(i + PER_TABLE, len(self.languages)))) for i in range(0, len(self.languages), PER_TABLE)]
-        return self._tables
+        """The tables of this model; a worker keeps those of the last model only."""
+        if not _laid_out or _laid_out[0] is not self.grams:
+            _laid_out.clear()  # before the new ones take their place
+            _laid_out[:] = [self.grams, [Table(self, range(i, min(i + PER_TABLE, len(self.languages)))) for i in range(0, len(self.languages), PER_TABLE)]]
+        return _laid_out[1]
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""

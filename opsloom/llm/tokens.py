@@ -17,7 +17,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Parts of which a worker keeps the ids.
-MEMORY = 900_000
+MEMORY = 700_000
 #: Longer parts are encoded, but not kept.
 LONGEST_KEPT = 64
 _SPACES = re.compile(r"\s\s")
