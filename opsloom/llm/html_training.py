@@ -17,4 +17,6 @@ PAGES = [
     f'<body><p><a href="/1">One</a> <a href="/2">Two</a> <a href="/3">Three</a></p><p{_M}>{_LONG}</p><p{_M}>{_LONG}</p><p><a href="/next">Next page</a></p><p><a href="/terms">Terms</a></p></body>',
     f'<body><div class="sidebar"><p>{_LONG}</p></div><div class="sponsored"><p>{_LONG}</p></div><article{_M}><p>{_MIDDLE}</p></article><footer>{_LIST}<p>{_SHORT}</p></footer></body>',
     f'<body>{_LIST}{_LIST}<article{_M}><header><h1>Long road home</h1></header><p>{_LONG} {_LONG}</p><p>{_MIDDLE}</p><p>{_SHORT}</p></article></body>',
+    f'<body><div><a href="/1">News from the north of the country</a> <a href="/2">News from the south and the islands</a> <a href="/3">Letters to the editor and answers of this week</a> <a href="/4">All pictures of the day</a> <a href="/5">Old papers</a></div><div{_M}>{_LONG}</div><div{_M}>{_SHORT}</div><div{_M}>{_LONG}</div><div{_M}>{_MIDDLE}</div><div{_M}>{_LONG}</div><div><a href="/6">What else the team found on its way to the northern rivers and back</a> <a href="/7">How the boats were built in a single winter by four people</a> <a href="/8">More</a></div><div><a href="/9">Top</a></div></body>',
+    f'<body><table><tr><td>{_LIST}</td><td><h2{_M}>Low water</h2><p{_M}>{_MIDDLE}</p><p{_M}>{_LONG}</p><p{_M}>{_MIDDLE}</p><p{_M}>{_LONG} {_LONG}</p></td><td>{_LIST}<p><a href="/p">Write to us with your own story of the rivers, and we will print the best of them</a></p></td></tr></table></body>',
 ]
