@@ -44,11 +44,11 @@ def _(t):
 
 @query(
     "s5_file_pattern_entity",
-    "SELECT year(o_orderdate)::VARCHAR AS year, o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) >= 1997 GROUP BY 1, 2",
+    "SELECT year(o_orderdate)::VARCHAR AS year, o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2",
 )
 def _(t):
     path = shared_path(t.spark, "pattern")
-    rows = t.orders.where("year(o_orderdate) >= 1997").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("y"), F.col("o_orderstatus").alias("s"))
+    rows = t.orders.select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("y"), F.col("o_orderstatus").alias("s"))
     E.write_entity(rows, path, "json", partition_by=["y", "s"])
     df = E.read_pattern(t.spark, path, "*.json", "/y=(?<year>[0-9]{4})/s=(?<status>[A-Z])/", "json", "o_orderkey bigint, o_totalprice double")
     return df.groupBy("year", "status").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

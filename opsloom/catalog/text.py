@@ -28,7 +28,7 @@ def _(t):
 
 
 def pii_sql(name, pattern):
-    digit = "substr(m[i], (16 - j)::INTEGER, 1)::INTEGER"
+    digit = "substr(regexp_replace(m[i], '[- ]', '', 'g'), (16 - j)::INTEGER, 1)::INTEGER"
     luhn = (
         f"list_sum(list_transform(range(0, 16), lambda j: CASE WHEN j % 2 = 0 THEN {digit} "
         f"WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END)) % 10 = 0"

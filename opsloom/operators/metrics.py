@@ -42,7 +42,7 @@ def summarize(
         out = exact_quantiles(rows, group, value, {"v": int(stat[1:]) / 100})
     elif stat == "absent":
         seen = rows.select(*group).distinct()
-        return spine(seen, dims, interval).join(seen, group, "left_anti").withColumn("v", F.lit(1.0))
+        return null_safe_join(spine(seen, dims, interval), seen, group, "left_anti").withColumn("v", F.lit(1.0))
     else:
         agg = {"mean": F.avg, "rate": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[stat](value)
         out = rows.groupBy(*group).agg(agg.cast("double").alias("v"))
@@ -72,7 +72,7 @@ def summarize_many(df: DataFrame, ts: str, value: str, interval: str, stats: lis
         parts.append(base.select(*group, F.array(*cells).alias("_c")).select(*group, F.inline("_c")))
     if "absent" in stats:
         seen = base.select(*group)
-        parts.append(long(spine(seen, dims, interval).join(seen, group, "left_anti"), "absent", F.lit(1.0)))
+        parts.append(long(null_safe_join(spine(seen, dims, interval), seen, group, "left_anti"), "absent", F.lit(1.0)))
     probs = {s: int(s[1:]) / 100 for s in stats if s[0] == "p" and s[1:].isdigit()}
     if probs:
         wide = exact_quantiles(rows, group, value, probs)

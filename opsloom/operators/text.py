@@ -43,8 +43,8 @@ def detect_language(df: DataFrame, text: str, words: dict[str, list[str]] = FUNC
 PII = {
     "EMAIL": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}",
     "URL": "https?://[A-Za-z0-9./?=&_%#-]+",
-    "IP": "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}",
-    "CARD": "[0-9]{16}",
+    "IP": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])[.]){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b",
+    "CARD": r"\b(?:[0-9]{4}[- ]?){3}[0-9]{4}\b",
     "PHONE": "[+][0-9]{1,3} [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}",
 }
 
@@ -85,7 +85,7 @@ def detect_pii(df: DataFrame, key: list[str], text: str, types: dict[str, str] =
     per_type = [entities(name, pattern) for name, pattern in types.items()]
     found = F.concat(*[F.coalesce(a, F.array().cast("array<struct<type:string,offset:int,entity:string>>")) for a in per_type])
     rows = df.select(*key, F.explode(found).alias("p")).select(*key, "p.*")
-    rows = rows.where((F.col("type") != "CARD") | luhn_ok(F.col("entity")))
+    rows = rows.where((F.col("type") != "CARD") | luhn_ok(F.regexp_replace("entity", "[- ]", "")))
     return rows.withColumn("length", F.length("entity"))
 
 
