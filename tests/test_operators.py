@@ -356,3 +356,32 @@ def test_empty_frames_give_empty_results(frame):
     assert X.outlier(ev, ["k"], "v", 3.0).count() == 0
     assert M.summarize(ev, "ts", "v", "hour", "mean", ["k"], fill=True).count() == 0
     assert X.islands(ev.withColumn("e", F.col("ts")), ["k"], "ts", "e", "id", F.date_trunc("day", "ts")).count() == 0
+
+
+def test_masks_and_digests_keep_nulls_apart(frame):
+    df = frame([("a|=b", "c"), ("a", "b|=c"), (None, "c")], "x string, y string")
+    assert len({r.digest for r in D.digest(df, ["x", "y"]).collect()}) == 3
+    masked = D.mask(df.withColumn("k", F.col("y")), "k", {"x": D.keyed_hash("s")}).collect()
+    assert [r.x is None for r in masked] == [False, False, True]
+    wide = df.select(D.hash_number("s", F.concat("x", "y"), 10**15).alias("n")).where("n IS NOT NULL").collect()
+    assert any(r.n > 1 << 32 for r in wide)
+
+
+def test_card_and_address_patterns_have_bounds(frame):
+    df = frame([(1, "4111-1111-1111-1111 and 10.0.0.255"), (2, "41111111111111111111 and 999.300.1.1")], "id int, t string")
+    assert sorted((r.id, r.type) for r in L.detect_pii(df, ["id"], "t").collect()) == [(1, "CARD"), (1, "IP")]
+    assert L.mask_pii(df, "t", "REPLACE").orderBy("id").collect()[1].t == "41111111111111111111 and 999.300.1.1"
+
+
+def test_absence_counts_null_dimensions_and_logs_without_text(frame):
+    points = frame([("2024-01-01 00:10:00", None, 1.0), ("2024-01-01 02:10:00", None, 1.0)], "t string, d string, v double").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    assert [str(r.bucket) for r in M.summarize(points, "t", "v", "hour", "absent", ["d"]).collect()] == ["2024-01-01 01:00:00"]
+    lines = frame([(None,), ("x=1",)], "line string")
+    assert [r.parse_error for r in C.parse_logs(lines, "line", "regex", r"x=(?<x>[0-9])").collect()] == ["NO_MATCH", None]
+
+
+def test_grant_chains_of_any_length(frame):
+    names = ["u", *[f"r{i}" for i in range(10)], "P"]
+    grants = frame(list(zip(names, names[1:])), "grantee string, granted string")
+    got = D.grant_paths(grants, frame([("u",)], "user string"), "P").collect()
+    assert [r.steps for r in got] == [11]
