@@ -8,7 +8,8 @@ and segments, and looked up with those of its substrings that can be a segment o
 What meets, and whose counts of some frequent signs are near enough, is verified by a bit-parallel edit distance in a band of 2 * threshold + 1 diagonals.
 
 A line goes if it is not the first occurrence of its class, or if its class is within the
-threshold of a class that occurs first.  Lines shorter than ``least_chars`` always stay.
+threshold of a class that occurs first.  Lines of up to ``threshold`` characters, which cannot
+be cut into segments, are compared by equality only.
 """
 
 from __future__ import annotations
@@ -101,14 +102,15 @@ def _packed(df: DataFrame) -> DataFrame:
 
 
 def classes(lines: DataFrame, threshold: int, least_chars: int) -> DataFrame:
-    """``digest, first, links, earlier`` per distinct line of at least ``least_chars``: its first occurrence, the number of other lines within the threshold, and whether one of those occurs first."""
+    """``digest, first, links, earlier`` per distinct line of at least ``least_chars``: its first occurrence, the number of other lines within the threshold, and whether one of those occurs first; lines of up to ``threshold`` characters have no links."""
     long = lines.where(F.length("line") >= least_chars)
     first = F.min(F.struct("doc_id", "line_no", "line"))
     kinds = long.groupBy(F.unhex(F.md5("line")).alias("digest")).agg(first.alias("first"))
     kinds = _packed(kinds.select(F.monotonically_increasing_id().alias("kind"), "digest", F.struct("first.doc_id", "first.line_no").alias("first"), F.col("first.line").alias("line")))
     size = F.length("line")
-    entered = kinds.select("kind", F.explode(F.array(*entries(F.col("line"), size, threshold))).alias("key"))
-    sought = kinds.select(F.col("kind").alias("other"), F.explode(F.array(*lookups(F.col("line"), size, threshold))).alias("key"))
+    cuttable = kinds.where(size > threshold)
+    entered = cuttable.select("kind", F.explode(F.array(*entries(F.col("line"), size, threshold))).alias("key"))
+    sought = cuttable.select(F.col("kind").alias("other"), F.explode(F.array(*lookups(F.col("line"), size, threshold))).alias("key"))
     # first only which entries and lookups meet at all: both sides of both joins are the same two exchanges
     meets = (F.col("e.key") == F.col("s.key")) & (F.col("kind") != F.col("other"))
     met = entered.alias("e").join(sought.alias("s"), meets, "left_semi").select("key", "kind", F.lit(True).alias("entry"))
@@ -132,20 +134,19 @@ def classes(lines: DataFrame, threshold: int, least_chars: int) -> DataFrame:
     return cut_lineage(kinds.join(linked, "kind", "left").select("digest", "first", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), F.coalesce("earlier", F.lit(False)).alias("earlier")))
 
 
-def repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per line: ``doc_id, line_no, class_doc_id, class_line_no, links, kept``.
 
     The class is the first occurrence of the line's text, in the order of id and line;
-    ``links`` counts the other texts within ``threshold`` edits.  Shorter lines than
-    ``least_chars`` characters are classes of their own without links, and stay.  Null texts have
-    no line, an empty text has one; null ids come first; rows that repeat an id with equal
-    text all stay.  An empty table gives no row; other columns are ignored.
+    ``links`` counts the other texts within ``threshold`` edits; a line of up to ``threshold``
+    characters has a class but no link.  If ``least_chars`` is given, shorter lines are classes
+    of their own without links, and stay.  Null texts have no line, an empty text has one; null
+    ids come first; rows that repeat an id with equal text all stay.  An empty table gives no
+    row; other columns are ignored.
     """
-    if least_chars <= threshold:
-        raise ValueError("a line needs more characters than segments")
     lines = lines_of(docs, id_col, text_col)
     known = classes(lines, threshold, least_chars)
-    marked = lines.select("doc_id", "line_no", F.when(F.length("line") >= least_chars, F.unhex(F.md5("line"))).alias("digest"))
+    marked = lines.select("doc_id", "line_no", F.length("line").alias("n_chars"), F.when(F.length("line") >= least_chars, F.unhex(F.md5("line"))).alias("digest"))
     own = F.struct("doc_id", "line_no")
     first = F.coalesce("first", own)
     return marked.join(known, "digest", "left").select(
@@ -156,6 +157,7 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 24, i
         F.coalesce("links", F.lit(0).cast("bigint")).alias("links"),
         (first.eqNullSafe(own) & ~F.coalesce("earlier", F.lit(False))).alias("kept"),
         "digest",
+        "n_chars",
     )
 
 
@@ -165,7 +167,7 @@ def without_repeats(docs: DataFrame, threshold: int = 2, least_chars: int = 24,
     A text that loses no line is unchanged; a row that loses lines and keeps none of at
     least ``least_chars`` goes, since short lines alone are the rest of a copy.
     """
-    gone = repeated_lines(docs, threshold, least_chars, id_col, text_col).where(~F.col("kept"))
+    gone = repeated_lines(docs, threshold, 0, id_col, text_col).where(~F.col("kept") & (F.col("n_chars") >= least_chars))
     # a list per document, no longer than its lines
     lost = cut_lineage(gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.concat_ws(":", "line_no", F.hex("digest"))).alias("_lost")))
     stays = F.filter(F.split(docs[text_col], "\n"), lambda line, i: ~F.array_contains(F.col("_lost"), F.concat_ws(":", i, F.upper(F.md5(line)))))

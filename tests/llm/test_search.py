@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom.llm import fmindex, hyperminhash, linejoin, maxproduct
+from opsloom.llm.catalog import QUERIES
 from opsloom.llm.shingles import shingle_sets
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -157,6 +158,37 @@ def test_line_classes_and_links(spark, threshold):
     assert {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.links, r.kept) for r in got} == want
 
 
+def test_lines_of_every_length_have_classes_and_links(spark):
+    docs = [(1, "All rights reserved.\nok\na line of 23 signs here\n"), (2, "All rights reserved.\nok\nno"), (3, "a line of 23 signs here!\n\nAll rights reserved")]
+    got = linejoin.repeated_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.links, r.kept) for r in got} == {
+        (1, 0): (1, 0, 1, True),
+        (1, 1): (1, 1, 0, True),
+        (1, 2): (1, 2, 1, True),
+        (1, 3): (1, 3, 0, True),
+        (2, 0): (1, 0, 1, False),
+        (2, 1): (1, 1, 0, False),
+        (2, 2): (2, 2, 0, True),
+        (3, 0): (3, 0, 1, False),
+        (3, 1): (1, 3, 0, False),
+        (3, 2): (3, 2, 1, False),
+    }
+
+
+def test_short_lines_link_like_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lines = linejoin.lines_of(docs, "doc_id", "text")
+    known = lines.where(F.length("line") <= 26).select("line").distinct()
+    near = known.alias("a").join(known.alias("b"), (F.col("a.line") != F.col("b.line")) & (F.least(F.length("a.line"), F.length("b.line")) > 2) & (F.levenshtein("a.line", "b.line") <= 2))
+    want = {r.line: r.n for r in near.groupBy("a.line").agg(F.count("*").alias("n")).collect()}
+    got = QUERIES["op10_segment_line_dedup"](spark, "/root/testdata/sf0.001").join(lines, ["doc_id", "line_no"]).where(F.length("line") <= 24).collect()
+    first = {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.line_no)):
+        assert (r.class_doc_id, r.class_line_no) == first.setdefault(r.line, (r.doc_id, r.line_no))
+        assert r.links == want.get(r.line, 0)
+    assert any(r.links for r in got) and len(first) < len(got)
+
+
 def test_lines_of_awkward_rows(awkward, nothing):
     got = linejoin.repeated_lines(awkward).collect()
     assert {r.kept for r in got if r.doc_id in (1, 3, 4, 5, 6, 8, 9, None)} == {True}
