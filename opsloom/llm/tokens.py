@@ -5,7 +5,8 @@ family of tokenizers a word never spans a single space that follows or precedes
 something else than white space, so a text may be cut in front of such spaces and
 the parts encoded one by one; equal parts have equal ids.  Each Python worker keeps
 the ids of up to ``MEMORY`` parts and starts anew when that many are kept, so its memory
-is bounded.  Texts with other white space around a space go to the library whole.
+is bounded.  Texts with other white space around a space, and texts that hold an added
+token such as <|endoftext|>, go to the library whole.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [token.content for token in self.library.get_added_tokens_decoder().values() if token.content]
+        #: Finds an added token, which the library takes out of a text before it splits words.
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         vocabulary = self.library.get_vocab()
@@ -50,6 +53,9 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
 
+    def _holds_added(self, text: str) -> bool:
+        return self.added is not None and self.added.search(text) is not None
+
     def _learn(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of parts that hold and start with no white space, a few joined at a time."""
         known: dict[str, bytes] = {}
@@ -58,7 +64,8 @@ class Encoder:
         for group, line in zip(groups, lines):
             ids = np.array(line.ids, self.kind)
             bounds = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.kind.itemsize).tolist()
-            if len(bounds) != len(group) + 1:  # a part with a sign that the alphabet writes alike
+            # a part with a sign that the alphabet writes alike, or an added token across parts
+            if len(bounds) != len(group) + 1 or self._holds_added(" " + " ".join(group)):
                 known |= {part: self.whole(" " + part).tobytes() for part in group}
                 continue
             data = ids.tobytes()
@@ -92,7 +99,7 @@ class Encoder:
         missing: set[str] = set()
         kept = self.kept
         for text in texts:
-            if not text or _SPACES.search(text) or text[0] == " ":
+            if not text or _SPACES.search(text) or text[0] == " " or self._holds_added(text):
                 out.append(self.whole(text) if text else np.zeros(0, self.kind))
                 continue
             first, *parts = text.split(" ")

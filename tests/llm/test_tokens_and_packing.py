@@ -8,11 +8,13 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from opsloom.llm import packing, wavelet
 from opsloom.llm.tokens import encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+FRESH = Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=300, deadline=None)
@@ -22,6 +24,16 @@ def test_parts_give_the_ids_of_the_whole(texts):
     assert [x.tolist() for x in own.encode(texts)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "hello", "world.", " ", "\n", ",", "<|", "|>", "é"]), max_size=9).map("".join))
+def test_added_tokens_have_the_ids_of_the_file(text):
+    assert encoder(PATH).encode([text, "hello <|endoftext|> world"])[0].tolist() == FRESH.encode(text, add_special_tokens=False).ids
+
+
+def test_the_ids_of_an_added_token():
+    assert encoder(PATH).encode(["hello <|endoftext|> world"])[0].tolist() == [31373, 220, 50256, 995]
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr("opsloom.llm.tokens.MEMORY", 5)
     own = encoder(PATH)
