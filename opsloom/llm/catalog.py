@@ -134,7 +134,7 @@ def op1_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_segment_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return linejoin.repeated_lines(table(spark, folder, "documents")).drop("digest", "n_chars")
+    return linejoin.repeated_lines(table(spark, folder, "documents")).drop("digest", "n_chars", "blank")
 
 
 SQL_TWINS["op10_segment_line_dedup"] = """

@@ -146,7 +146,7 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 0, id
     """
     lines = lines_of(docs, id_col, text_col)
     known = classes(lines, threshold, least_chars)
-    marked = lines.select("doc_id", "line_no", F.length("line").alias("n_chars"), F.when(F.length("line") >= least_chars, F.unhex(F.md5("line"))).alias("digest"))
+    marked = lines.select("doc_id", "line_no", F.length("line").alias("n_chars"), (~F.col("line").rlike(r"\S")).alias("blank"), F.when(F.length("line") >= least_chars, F.unhex(F.md5("line"))).alias("digest"))
     own = F.struct("doc_id", "line_no")
     first = F.coalesce("first", own)
     return marked.join(known, "digest", "left").select(
@@ -158,19 +158,24 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, least_chars: int = 0, id
         (first.eqNullSafe(own) & ~F.coalesce("earlier", F.lit(False))).alias("kept"),
         "digest",
         "n_chars",
+        "blank",
     )
 
 
 def without_repeats(docs: DataFrame, threshold: int = 2, least_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines that stay.
+    """``docs`` with the lines that stay; lines shorter than ``least_chars`` are not cut.
 
-    A text that loses no line is unchanged; a row that loses lines and keeps none of at
-    least ``least_chars`` goes, since short lines alone are the rest of a copy.
+    A text that loses no line is unchanged.  A row that loses lines goes only if what is left of
+    it is blank, or if each line left occurs first in another document, which keeps it.
     """
-    gone = repeated_lines(docs, threshold, 0, id_col, text_col).where(~F.col("kept") & (F.col("n_chars") >= least_chars))
+    decided = repeated_lines(docs, threshold, 0, id_col, text_col)
+    cut = ~F.col("kept") & (F.col("n_chars") >= least_chars)
+    place = F.concat_ws(":", "line_no", F.hex("digest"))
+    own = ~cut & ~F.col("blank") & F.col("class_doc_id").eqNullSafe(F.col("doc_id"))
     # a list per document, no longer than its lines
-    lost = cut_lineage(gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.concat_ws(":", "line_no", F.hex("digest"))).alias("_lost")))
+    lost = decided.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.when(cut, place)).alias("_lost"), F.max(own).alias("_own"))
+    lost = cut_lineage(lost.where(F.size("_lost") > 0))
     stays = F.filter(F.split(docs[text_col], "\n"), lambda line, i: ~F.array_contains(F.col("_lost"), F.concat_ws(":", i, F.upper(F.md5(line)))))
     rest = docs.join(lost, docs[id_col].eqNullSafe(lost["_id"]), "left").withColumn("_rest", F.when(F.col("_lost").isNotNull(), stays))
-    rest = rest.where(F.col("_rest").isNull() | F.exists("_rest", lambda line: F.length(line) >= least_chars))
+    rest = rest.where(F.col("_rest").isNull() | (F.col("_own") & F.exists("_rest", lambda line: line.rlike(r"\S"))))
     return rest.select(*(F.coalesce(F.array_join("_rest", "\n"), docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))

@@ -189,6 +189,14 @@ def test_short_lines_link_like_brute_force(spark):
     assert any(r.links for r in got) and len(first) < len(got)
 
 
+def test_short_lines_of_a_document_outlive_its_boilerplate(spark):
+    shared = "This line of boilerplate stands in many documents."
+    docs = [(1, f"{shared}\nfirst"), (2, f"{shared}\nO rose\nthou art sick"), (3, f"{shared}\nfirst"), (4, f"{shared}\n \n"), (5, f"{shared}\nx\ny"), (6, f"{shared}\ny\nx"), (None, "first of all")]
+    got = linejoin.without_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    # 5 and 6 hold the same rest: one of them stays
+    assert {r.doc_id: r.text for r in got} == {1: docs[0][1], 2: "O rose\nthou art sick", 5: "x\ny", None: "first of all"}
+
+
 def test_lines_of_awkward_rows(awkward, nothing):
     got = linejoin.repeated_lines(awkward).collect()
     assert {r.kept for r in got if r.doc_id in (1, 3, 4, 5, 6, 8, 9, None)} == {True}
