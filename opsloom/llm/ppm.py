@@ -10,7 +10,7 @@ automaton, which steps to the longest known context of what it has read, and a s
 adds one cost per language.  The sum is the exact code length of the whole text.
 
 Counting runs as a Spark aggregation.  Trees are fitted on a bounded sample of the
-labelled rows, about ``train_docs`` of each language chosen by a hash.
+distinct labelled texts, about ``train_docs`` of each language chosen by a hash.
 """
 
 from __future__ import annotations
@@ -149,15 +149,16 @@ class Table:
 def fit(docs: DataFrame, order: int = 4, train_docs: int = 1000, least: int = 2, lang_col: str = "lang", text_col: str = "text") -> Model:
     """Trees of all languages of ``docs``.
 
-    Rows without a language or a letter teach nothing.  About ``train_docs`` rows of each
-    language are taken, by a hash of the text, whole; contexts met fewer than ``least``
+    Rows without a language or a letter teach nothing.  About ``train_docs`` distinct texts of
+    each language are taken, by a hash of the text, whole and once each, however many rows
+    share one; contexts met fewer than ``least``
     times in a language are left out of its tree.
     """
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where(F.col("lang").isNotNull() & has_letter(F.col("text")))
     share = F.lit(0.0)
-    for r in rows.groupBy("lang").count().collect():  # one row per language
-        share = F.when(F.col("lang") == r["lang"], F.lit(train_docs / r["count"])).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", F.col("text").cast("binary").alias("text"))
+    for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts")).collect():  # one row per language
+        share = F.when(F.col("lang") == r["lang"], F.lit(train_docs / max(1, r["texts"]))).otherwise(share)
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", F.col("text").cast("binary").alias("text")).distinct()
     counted = sample.mapInArrow(_count_grams(order), "lang string, k int, gram bigint, n bigint").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     # bounded by the sample, not by the table
     known = counted.toArrow()

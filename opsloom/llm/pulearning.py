@@ -12,7 +12,7 @@ the non-negative unbiased risk
 taking the step that raises a negative second part back where it would fall below zero.
 
 Features are counts over the whole text: signs by kind, lengths, repeats of words, word pairs and lines.
-Both sets are bounded samples by a hash of the text; scores cover every row.
+Both sets are bounded samples of distinct texts by a hash; scores cover every row.
 """
 
 from __future__ import annotations
@@ -144,15 +144,21 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """The model of ``docs``; of ``labels`` only the rows labelled 1 are used.
 
-    About ``sample`` positives and as many unlabelled rows are taken, whole, by a hash of the
-    text.  Null texts teach nothing; an id that is labelled twice counts as positive if one label is 1.
+    About ``sample`` distinct positive texts and as many unlabelled ones are taken, whole, by a
+    hash of the text; a text counts once, however many rows share it, and is positive if one
+    of them is.  Null texts teach nothing; an id that is labelled twice counts as positive if one label is 1.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").cast("binary").alias("text")).where("text is not null")
     trusted = labels.where(labels[label_col] == 1).select(labels[id_col].alias("doc_id")).distinct()
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    share = lambda n: min(1.0, sample / max(1, n)) * (1 << 30)
-    positive = rows.join(trusted, "doc_id", "left_semi").where(place < share(trusted.count())).withColumn("positive", F.lit(True))
-    unlabelled = rows.where(place < share(rows.count())).withColumn("positive", F.lit(False))
+
+    def drawn(which, positive: bool) -> DataFrame:
+        texts = which(rows.select("doc_id", F.xxhash64("text").alias("place"))).agg(F.approx_count_distinct("place")).first()[0]
+        share = min(1.0, sample / max(1, texts)) * (1 << 30)
+        # copies have one place, so all are taken or none, and meet again here
+        return which(rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share)).select("text").distinct().withColumn("positive", F.lit(positive))
+
+    positive = drawn(lambda some: some.join(trusted, "doc_id", "left_semi"), True)
+    unlabelled = drawn(lambda some: some, False)
     # two bounded samples of feature rows
     got = positive.union(unlabelled).select("positive", "text").mapInArrow(_featured, "positive boolean, features binary").toArrow()
     x = np.frombuffer(b"".join(got.column("features").to_pylist()), "<f4").reshape(-1, WIDTH).astype(np.float64)

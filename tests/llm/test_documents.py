@@ -125,6 +125,20 @@ def test_quality_of_awkward_rows(spark, awkward, nothing):
     assert {r.score for r in pulearning.score(awkward, pulearning.fit(nothing, labels)).collect()} == {0.5}
 
 
+def test_samples_are_bounded_whatever_the_copies(spark, monkeypatch):
+    texts = [f"some words of text {i} and {i * i}" for i in range(300)]
+    # the text that the hash takes first is a third of all rows
+    hot = spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30))).first().text
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts + [hot] * 150)], "doc_id bigint, text string, lang string")
+    fitted = []
+    monkeypatch.setattr(pulearning, "fit_rows", lambda positives, unlabelled: fitted.append((positives, unlabelled)))
+    pulearning.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")), sample=30)
+    assert all(10 <= len(x) <= 60 for x in fitted[0])
+    counts = ppm.fit(docs, train_docs=30).grams[0, 0]
+    # each text has one x
+    assert 10 <= counts[1][counts[0] == ord("x")].sum() <= 60
+
+
 def test_prior_and_risk():
     rng = np.random.default_rng(5)
     good, bad = (rng.normal(m, 1, (4000, pulearning.WIDTH)) for m in (0.4, -0.4))
