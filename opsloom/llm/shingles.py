@@ -50,16 +50,17 @@ def _some(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     if not data.strip():
         return [np.zeros(0, np.uint64)] * len(texts)
     values = np.frombuffer(data, np.uint8)
-    power, inverse = _powers_to(len(values) + 1)
+    power, inverse = _powers_to(max(len(values), width) + 1)
     edges = np.flatnonzero(np.diff(np.concatenate([[0], (values != 32).view(np.int8), [0]])))
     starts, ends = edges[::2], edges[1::2]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], dtype=np.uint64)])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
     lengths = np.array([len(t or b"") for t in texts])
     bounds = np.searchsorted(starts, np.append(np.cumsum(lengths + 1) - lengths - 1, len(values) + 1)).tolist()
-    total = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
+    places = max(0, len(hashes) - width + 1)  # none if the texts hold fewer words together
+    total = np.zeros(places, np.uint64)
     for k in range(width):
-        total += hashes[k : len(hashes) - width + 1 + k] * power[k + 1]
+        total += hashes[k : k + places] * power[k + 1]
     total = mix(total)
     out = []
     for a, b in zip(bounds, bounds[1:]):

@@ -2,6 +2,8 @@
 
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -32,7 +34,7 @@ def test_contamination(spark, awkward, block_words):
     got = fmindex.contamination(awkward, tests, cut=True, block_words=block_words).collect()
     assert len(got) == awkward.count()
     by_id = {r.doc_id: r for r in got}
-    assert [(s.start, s.end) for s in by_id[1].spans] == [(2, 15)] and by_id[1]["items"] == ["a"] and by_id[1].clean_text == "The river\n."
+    assert [(s.start, s.end) for s in by_id[1].spans] == [(2, 16)] and by_id[1]["items"] == ["a"] and by_id[1].clean_text == "The river\n."
     assert [(s.start, s.end) for s in by_id[6].spans] == [(0, 40_000)] and by_id[6].n_words == 40_000
     assert by_id[9]["items"] == ["b"] and by_id[2].n_words == 0 and by_id[2].spans == [] and by_id[None]["items"] == []
     assert by_id[8].n_words == len(WORD.findall("é漢字😀   ß x"))
@@ -56,6 +58,14 @@ def test_shingles_count_like_plain_sets(awkward):
     assert sets[-4].tolist() == sets[-3].tolist() == sets[-2].tolist()
 
 
+@pytest.mark.parametrize("n_words", range(7))
+def test_shingles_of_a_short_batch_in_a_fresh_worker(n_words):
+    text = " ".join("abcdefg"[:n_words])
+    code = f"from opsloom.llm.shingles import shingle_sets; print([len(s) for s in shingle_sets([{text!r}.encode()], 5)])"
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    assert got.strip() == str([len(plain_sets(text))])
+
+
 def test_near_duplicate_groups(spark):
     rng = random.Random(4)
     rows = []
