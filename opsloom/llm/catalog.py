@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import fmindex, htmlblocks, hyperminhash, linejoin, maxproduct, packing, ppm, pulearning, warc, wavelet
+from opsloom.llm import filteraudit, fmindex, htmlblocks, hyperminhash, linejoin, maxproduct, packing, ppm, pulearning, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -165,3 +165,51 @@ def op3_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = pulearning.fit(docs.where(learned), labels.where(learned))
     scored = pulearning.score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op11_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return filteraudit.filter_interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+SQL_TWINS["op11_filter_interactions"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d
+), m AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         MAP {'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+              'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text),
+              'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(first < doc_id, false)} AS fails
+  FROM w LEFT JOIN m USING (doc_id)
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, string_split(filter_order[1:step - 1], '') AS before
+  FROM o, range(1, 6) r(step)
+), t AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS own_fails,
+         len(list_filter(before, lambda x: x <> '' AND fails[x])) > 0 AS gone,
+         len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: fails[x])) AS n_fails
+  FROM c, s
+), g AS (
+  SELECT part, filter_order, step, own,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND NOT own_fails), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND own_fails), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (gone AND own_fails), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (own_fails AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (NOT gone AND own_fails), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (NOT gone AND own_fails), 0) AS BIGINT) AS toxic_lost
+  FROM t GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM g
+"""
