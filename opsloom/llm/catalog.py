@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import filteraudit, fmindex, grammarruns, htmlblocks, hyperminhash, linejoin, maxproduct, packing, ppm, pulearning, warc, wavelet
+from opsloom.llm import balancing, filteraudit, fmindex, grammarruns, htmlblocks, hyperminhash, linejoin, maxproduct, packing, ppm, pulearning, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL_TWINS: dict[str, str] = {}
@@ -218,3 +218,8 @@ FROM g
 @query
 def op12_grammar_runs(spark: SparkSession, folder: str) -> DataFrame:
     return grammarruns.periodic_runs(table(spark, folder, "documents"), drilled=True)
+
+
+@query
+def op13_entropy_balanced_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return balancing.mix(table(spark, folder, "documents"))
