@@ -1,123 +1,15 @@
-"""Vector search, ranking, chunking, guardrails and conversation usage."""
+"""Ranking, chunking, guardrails and conversation usage; vector search is in ``vectors``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.operators.logs import tokens
 from opsloom.operators.text import PII, count_known
 from opsloom.plans.ordered import ordered_window, top_per_key
-from opsloom.plans.predicates import to_column
 from opsloom.plans.storage import cut_lineage
 
-# size bound of one block of query vectors sent to the tasks: 4 million numbers are 32 MB
-BLOCK_NUMBERS = 4_000_000
-
-
-def _blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
-    """Query vectors in blocks of bounded size, so that any number of queries is served."""
-    rows = queries.select(query_id, vector).toLocalIterator()
-    first = next(rows, None)
-    if first is None:
-        return
-    size = max(1, BLOCK_NUMBERS // max(1, len(first[1])))
-    block = [first, *islice(rows, size - 1)]
-    while block:
-        yield [r[0] for r in block], np.array([r[1] for r in block], dtype=float)
-        block = list(islice(rows, size))
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norm == 0, 1.0, norm)
-
-
-def _scores(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """Matrix vectors x queries, larger is nearer."""
-    if metric == "cosine":
-        return _unit(vectors) @ _unit(queries).T
-    if metric == "dot":
-        return vectors @ queries.T
-    if metric == "l2":
-        square = (vectors**2).sum(1)[:, None] + (queries**2).sum(1)[None, :] - 2 * vectors @ queries.T
-        return -np.sqrt(np.maximum(square, 0.0))
-    raise ValueError(f"unknown metric {metric!r}")
-
-
-def _codes(m: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """Bucket number per vector and band from the signs against random planes (bands, bits, dim)."""
-    signs = np.einsum("nd,bkd->nbk", m, planes) > 0
-    return signs @ (1 << np.arange(planes.shape[1]))
-
-
-def _best_in_batches(
-    vectors: DataFrame, vec_id: str, vector: str, ids: list, block: np.ndarray, k: int, metric: str, kinds: str, planes
-) -> DataFrame:
-    """Per Arrow batch at most k rows per query leave the task."""
-    query_codes = None if planes is None else _codes(block, planes)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[pdf[vector].notna()]
-            if not len(pdf):
-                continue
-            m = np.array(pdf[vector].tolist(), dtype=float)
-            score = np.round(_scores(m, block, metric), 9)
-            if query_codes is not None:
-                same = (_codes(m, planes)[:, None, :] == query_codes[None, :, :]).any(2)
-                score = np.where(same, score, -np.inf)
-            names = pdf[vec_id].to_numpy()
-            for q, qid in enumerate(ids):
-                order = np.lexsort((names, -score[:, q]))[:k]
-                order = order[np.isfinite(score[order, q])]
-                yield pd.DataFrame({"query_id": [qid] * len(order), vec_id: names[order], "score": score[order, q]})
-
-    return vectors.select(vec_id, vector).mapInPandas(best, kinds)
-
-
-def nearest(
-    queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id",
-    vec_id: str = "vec_id", vector: str = "embedding", planes: np.ndarray | None = None,
-) -> DataFrame:
-    """Exact k nearest vectors per query by cosine, dot or l2 (negative distance); ties by vector id.
-
-    The vectors are read once per block of queries and never shuffled; only the
-    best k of each Arrow batch go on to the final ranking.
-    """
-    kind = {f.name: f.dataType.simpleString() for f in queries.schema.fields}[query_id]
-    vec_kind = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}[vec_id]
-    kinds = f"query_id {kind}, {vec_id} {vec_kind}, score double"
-    out = None
-    for ids, block in _blocks(queries, query_id, vector):
-        part = _best_in_batches(vectors, vec_id, vector, ids, block, k, metric, kinds, planes)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], kinds)
-    return top_per_key(out, ["query_id"], [F.col("score").desc(), F.col(vec_id)], k)
-
-
-def random_planes(dim: int, bands: int, bits: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((bands, bits, dim))
-
-
-def nearest_approx(
-    queries: DataFrame, vectors: DataFrame, k: int, dim: int, bands: int = 12, bits: int = 4, **columns
-) -> DataFrame:
-    """Vectors that share a random-hyperplane bucket with the query in some band, re-scored by exact cosine."""
-    return nearest(queries, vectors, k, "cosine", planes=random_planes(dim, bands, bits), **columns)
-
-
-def retrieve(queries: DataFrame, vectors: DataFrame, cond, k: int, metric: str = "cosine", **columns) -> DataFrame:
-    """The filter on metadata comes first and reaches the scan; then the exact search."""
-    return nearest(queries, vectors.where(to_column(cond)), k, metric, **columns)
-
-
 def mean_vectors(vectors: DataFrame, by: str, vector: str) -> DataFrame:
     """Mean vector per group, added up position by position."""
     parts = vectors.select(by, F.posexplode(vector).alias("pos", "x")).groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))

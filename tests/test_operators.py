@@ -264,21 +264,6 @@ def test_phrases_match_whole_words(frame):
     assert rows(L.keywords_for(docs, "id", "t", topics)) == [(1, "x", "red cat", 2), (1, "y", "RED", 2), (1, "y", "sat red cat", 1), (2, "y", "RED", 1)]
 
 
-def test_nearest_blocks_and_recall(spark, monkeypatch):
-    r = random.Random(2)
-    vecs = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(300)]
-    v = spark.createDataFrame(vecs, "vec_id int, embedding array<double>")
-    q = spark.createDataFrame(vecs[:9], "query_id int, embedding array<double>")
-    whole = rows(G.nearest(q, v, 5, "cosine"))
-    assert [x for x in whole if x[0] == x[1] and x[3] == 1] and len(whole) == 45
-    monkeypatch.setattr(G, "BLOCK_NUMBERS", 32)
-    assert rows(G.nearest(q, v, 5, "cosine")) == whole
-    rough = rows(G.nearest_approx(q, v, 5, 8, bands=12, bits=3))
-    found = {x[:2] for x in rough} & {x[:2] for x in whole}
-    assert len(found) >= 0.8 * len(whole)
-    assert G.nearest(q.where("false"), v, 5).count() == 0
-
-
 def test_chunks_cover_the_text(frame):
     text = "abcdefghij" * 7 + "xyz"
     df = frame([(1, text), (2, "ab"), (3, ""), (4, None)], "id int, t string")
