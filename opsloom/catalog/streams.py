@@ -1,13 +1,17 @@
 """Queries of the streaming family: each stream is run to its end and the result compared."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from opsloom.catalog.registry import query
 from opsloom.operators.metrics import AlarmRule
 from opsloom.plans.predicates import Cond
 from opsloom.plans.storage import shared_path
+from opsloom.streaming import alarms as A
 from opsloom.streaming import operators as Z
 from opsloom.streaming import runs as R
+from opsloom.streaming import schedule as S
 
 
 def events_stream(t, **position):
@@ -21,13 +25,15 @@ def plain_time(df, *cols):
 @query(
     "z1_stream_positions",
     """SELECT 'TRIM_HORIZON' AS start, count(*) AS n, round(sum(value), 2) AS total FROM events
-       UNION ALL SELECT 'time', count(*), round(sum(value), 2) FROM events WHERE ts >= TIMESTAMP '2024-01-15'""",
+       UNION ALL SELECT 'time', count(*), round(sum(value), 2) FROM events WHERE ts >= TIMESTAMP '2024-01-15'
+       UNION ALL SELECT 'LATEST since 1990', count(*), round(sum(value), 2) FROM events""",
 )
 def _(t):
     whole = R.run_to_end(events_stream(t).select("value"), "horizon").select(F.lit("TRIM_HORIZON").alias("start"), "value")
     late = R.run_to_end(events_stream(t, start="2024-01-15 00:00:00", ts="ts").select("value"), "position")
     fresh = R.run_to_end(events_stream(t, start="LATEST").select("value"), "latest").select(F.lit("LATEST").alias("start"), "value")
-    rows = whole.unionByName(late.select(F.lit("time").alias("start"), "value")).unionByName(fresh)
+    since = R.run_to_end(events_stream(t, start="LATEST", newer_than="1990-01-01 00:00:00").select("value"), "since").select(F.lit("LATEST since 1990").alias("start"), "value")
+    rows = whole.unionByName(late.select(F.lit("time").alias("start"), "value")).unionByName(fresh).unionByName(since)
     return rows.groupBy("start").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
@@ -114,10 +120,26 @@ def _(t):
 )
 def _(t):
     rule = AlarmRule("hour", "mean", ">", 55.0, pending=2)
-    rows = Z.alarm_stream(R.zoned(events_stream(t), "ts"), "ts", "value", "1 hour", "1 hour", "event_type", rule)
+    rows = A.alarm_stream(R.zoned(events_stream(t), "ts"), "ts", "value", "1 hour", "1 hour", "event_type", rule)
     return R.run_to_end(rows, "alarms").select(F.col("key").alias("event_type"), "bucket", "run", "state")
 
 
+@query(
+    "z8_absence_on_stream",
+    f"""WITH a AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS bucket, avg(value) AS v FROM events GROUP BY 1, 2), c AS (SELECT * FROM a WHERE bucket + INTERVAL 1 DAY <= {CLOSED}),
+       n AS (SELECT *, lead(bucket) OVER (PARTITION BY user_id ORDER BY bucket) AS next, lag(bucket) OVER (PARTITION BY user_id ORDER BY bucket) AS last FROM c),
+       gone AS (SELECT user_id, bucket + INTERVAL 3 DAY AS bucket FROM n WHERE next - bucket > INTERVAL 3 DAY OR (next IS NULL AND bucket + INTERVAL 4 DAY <= {CLOSED})),
+       b AS (SELECT user_id, bucket, round(v, 9) > 40.0 AS breach, count(*) FILTER (NOT round(v, 9) > 40.0 OR last IS NULL OR bucket - last > INTERVAL 3 DAY) OVER w AS g, bucket - last > INTERVAL 3 DAY AS fresh FROM n WINDOW w AS (PARTITION BY user_id ORDER BY bucket)),
+       st AS (SELECT user_id, bucket, breach, count(*) FILTER (breach) OVER (PARTITION BY user_id, g ORDER BY bucket) AS run FROM b)
+       SELECT user_id::VARCHAR AS user_id, bucket, CASE WHEN breach THEN run ELSE 0 END::INTEGER AS run, CASE WHEN breach AND run >= 2 THEN 'FIRING' WHEN breach THEN 'PENDING' ELSE 'OK' END AS state FROM st
+       UNION ALL SELECT user_id::VARCHAR, bucket, 0, 'ABSENT' FROM gone""",
+)
+def _(t):
+    rule = AlarmRule("day", "mean", ">", 40.0, pending=2)
+    rows = A.alarm_stream(R.zoned(events_stream(t), "ts"), "ts", "value", "1 hour", "1 day", "user_id", rule, absent=3)
+    return R.run_to_end(rows, "absence").select(F.col("key").alias("user_id"), "bucket", "run", "state")
+
+
 @query("z9_stream_dedup", "SELECT event_id, event_type, value FROM events")
 def _(t):
     stream = R.zoned(events_stream(t), "ts")
@@ -166,9 +188,15 @@ def _(t):
     return Z.queue_stats(states, F.col("message") % 5, 4)
 
 
-@query("z13_continuous_query", "SELECT 0 AS run, event_type, count(*) AS n FROM events GROUP BY 2")
+@query(
+    "z13_continuous_query",
+    """SELECT run, run_time, event_type, count(*) AS n FROM (SELECT i AS run, TIMESTAMP '2024-01-08' + to_days((7 * i)::INTEGER) AS run_time FROM range(0, 1000) g(i)) JOIN events ON ts < run_time
+       WHERE run_time <= (SELECT max(ts) FROM events) GROUP BY 1, 2, 3""",
+)
 def _(t):
-    target = shared_path(t.spark, "scheduled")
-    report = lambda spark: spark.read.parquet(f"{t.folder}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
-    R.scheduled(events_stream(t).select("event_id"), report, target).awaitTermination()
-    return t.spark.read.parquet(target).select("run", "event_type", "n")
+    """A weekly count of all events so far, by the clock of the events; a second start of the schedule finds its runs done."""
+    target, start, every = shared_path(t.spark, "scheduled"), datetime(2024, 1, 8), timedelta(days=7)
+    report = lambda spark, due: spark.read.parquet(f"{t.folder}/events.parquet").where(F.col("ts") < F.lit(due)).groupBy("event_type").agg(F.count("*").alias("n"))
+    for _ in range(2):
+        S.scheduled(events_stream(t).select("ts"), "ts", report, target, start, every).awaitTermination()
+    return S.results(t.spark, target, report(t.spark, start).schema)

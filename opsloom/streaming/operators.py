@@ -1,18 +1,12 @@
-"""Operators on streams: keyed publish, windows, routing, alarms, device state, queues."""
+"""Operators on streams: keyed publish, windows, routing, device state, queues; alarms are in ``alarms``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
-from opsloom.operators.metrics import AlarmRule
 from opsloom.operators.privacy import hash_number
 from opsloom.plans.predicates import all_matches, first_match
-from opsloom.streaming.runs import utc_wall
 
 
 def put_messages(df: DataFrame, key: str, value: str, partitions: int, max_bytes: int = 1024 * 1024) -> DataFrame:
@@ -96,40 +90,3 @@ def queue_stats(states: DataFrame, queue: Column, limit: int) -> DataFrame:
         F.sum(F.when(live, F.col("size")).otherwise(0)).alias("size"),
         F.count_if(dead).alias("dead_letters"),
     )
-
-
-class AlarmProcessor(StatefulProcessor):
-    """Counts breaches in a row per key; state is one number per key."""
-
-    def __init__(self, rule: AlarmRule):
-        self.rule = rule
-
-    def init(self, handle) -> None:
-        self.run = handle.getValueState("run", "run int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        saved = self.run.get()
-        run = saved[0] if saved else 0
-        # one row per key and closed interval: at most as many rows as intervals in a batch
-        pdf = pd.concat(list(rows)).sort_values("bucket")
-        ops = {">": lambda v: v > self.rule.threshold, ">=": lambda v: v >= self.rule.threshold, "<": lambda v: v < self.rule.threshold, "<=": lambda v: v <= self.rule.threshold}
-        runs, states = [], []
-        for breach in ops[self.rule.op](pdf["v"].round(9)):
-            run = run + 1 if breach else 0
-            runs.append(run)
-            states.append("FIRING" if run >= self.rule.pending else "PENDING" if breach else "OK")
-        self.run.update((run,))
-        yield pd.DataFrame({"key": [key[0]] * len(pdf), "bucket": pdf["bucket"].values, "v": pdf["v"].values, "run": runs, "state": states})
-
-    def close(self) -> None:
-        pass
-
-
-def alarm_stream(df: DataFrame, ts: str, value: str, late: str, window: str, key: str, rule: AlarmRule) -> DataFrame:
-    """Interval means of a stream, evaluated per key as intervals close."""
-    means = df.withWatermark(ts, late).groupBy(F.window(ts, window), key).agg(F.avg(value).alias("v"))
-    rows = means.select(key, utc_wall("window.start").alias("bucket"), "v")
-    return rows.groupBy(key).transformWithStateInPandas(
-        AlarmProcessor(rule), "key string, bucket timestamp_ntz, v double, run int, state string", "Append", "None"
-    )
-

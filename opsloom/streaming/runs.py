@@ -27,13 +27,15 @@ def utc_wall(col: str | Column) -> Column:
 
 def stream_source(
     spark: SparkSession, path: str, schema: T.StructType | str, start: str = "TRIM_HORIZON", ts: str | None = None,
-    fmt: str = "parquet", max_files: int | None = None, newer_than: str | None = None,
+    fmt: str = "parquet", max_files: int | None = None, newer_than: str | None = None, progress: str | None = None,
 ) -> DataFrame:
     """A stream over the files of a folder, from a position.
 
     TRIM_HORIZON reads all; LATEST only files written after ``newer_than`` (or
     after now); any other text is a time, and rows with an earlier ``ts`` are
-    left out.  A stopped query goes on from its checkpoint, not from here.
+    left out.  A stopped query goes on from its checkpoint, not from here.  With
+    ``progress``, the folder of a consumer group, LATEST is the time of the group's first
+    start: it is stored there, so files that come between two runs are read by the second.
     """
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files:
@@ -42,11 +44,28 @@ def stream_source(
     if start == "TRIM_HORIZON":
         return df
     if start == "LATEST":
-        since = newer_than or spark.sql("SELECT CAST(current_timestamp() AS STRING)").first()[0]
+        since = newer_than or (_first_start(spark, progress) if progress else _now(spark))
         return df.where(F.col("_metadata.file_modification_time") > F.lit(since).cast("timestamp"))
     return df.where(F.col(ts) >= F.lit(start).cast(df.schema[ts].dataType))
 
 
+def _now(spark: SparkSession) -> str:
+    return spark.sql("SELECT CAST(current_timestamp() AS STRING)").first()[0]
+
+
+def _first_start(spark: SparkSession, progress: str) -> str:
+    """The time of a consumer group's first start, kept beside its checkpoint."""
+    path = f"{progress.rstrip('/')}-position"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        spark.createDataFrame([(_now(spark),)], "since string").coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.schema("since string").parquet(path).first()[0]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     """Each micro-batch owns one folder and overwrites it, so a replayed batch leaves no second copy."""
 
@@ -59,8 +78,7 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
 def read_result(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """What the batches wrote, with the batch number; empty when there was none."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    if not _exists(spark, path):
         return spark.createDataFrame([], full)
     return spark.read.schema(full).parquet(path)
 
@@ -116,19 +134,3 @@ def connect(
         .foreachBatch(batch_writer(target))
         .start()
     )
-
-
-def scheduled(source: DataFrame, report: Callable[[SparkSession], DataFrame], target: str, progress: str | None = None):
-    """A batch query run once per trigger of the source; results are kept with run number and run time."""
-    write = batch_writer(target)
-
-    def run(df: DataFrame, batch_id: int) -> None:
-        rows = report(df.sparkSession)
-        write(rows.withColumns({"run": F.lit(batch_id), "run_time": F.current_timestamp()}), batch_id)
-
-    return (
-        source.writeStream.option("checkpointLocation", progress or shared_path(source.sparkSession, "scheduled-progress"))
-        .trigger(availableNow=True)
-        .foreachBatch(run)
-        .start()
-    )
