@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from opsloom.catalog.registry import query
 from opsloom.operators import graph as C
+from opsloom.operators import versions as V
 from opsloom.plans.predicates import Cond, Negate, all_of, any_of
 
 
@@ -102,7 +103,7 @@ def _(t):
     v = t.part.select(F.col("p_brand").alias("component"), F.expr("concat(1 + p_size % 4, '.', p_size)").alias("version")).distinct()
     adv = t.part.select(F.col("p_brand").alias("component"), F.lit("1.0").alias("low"), F.expr("concat('2.', 5 + length(p_brand))").alias("high"))
     more = t.part.where("p_size = 7").select(F.col("p_brand").alias("component"), F.lit("3.20").alias("low"), F.lit("4.0").alias("high"))
-    return C.recommend_upgrades(v, v, adv.unionByName(more).distinct())
+    return V.recommend_upgrades(v, v, adv.unionByName(more).distinct())
 
 
 @query(

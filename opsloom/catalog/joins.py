@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from opsloom.catalog.registry import query
 from opsloom.operators import joins as J
+from opsloom.operators import matching as MA
 
 
 @query(
@@ -65,13 +66,34 @@ def _(t):
         F.concat(F.lit("10."), (F.col("c_custkey") % 30).cast("string"), F.lit(".7."), (F.col("c_custkey") % 250).cast("string")).alias("ip"),
         F.concat(F.lit("Nation_"), (F.col("c_custkey") % 40).cast("string")).alias("place"),
     )
-    key = ["c_custkey"]
-    rows = J.lookup_match(rows, patterns, "c_name", "pattern", "wildcard", key, ["by_pattern"], "n_nationkey")
-    rows = J.lookup_match(rows, nets, "ip", "net", "cidr", key, ["by_net"], "n_nationkey")
-    rows = J.lookup_match(rows, names, "place", "n_name", "nocase", key, ["by_case"], "n_nationkey")
+    rows = MA.lookup_match(rows, patterns, "c_name", "pattern", "wildcard", ["by_pattern"], "n_nationkey")
+    rows = MA.lookup_match(rows, nets, "ip", "net", "cidr", ["by_net"], "n_nationkey")
+    rows = MA.lookup_match(rows, names, "place", "n_name", "nocase", ["by_case"], "n_nationkey")
     return rows.select("c_custkey", "by_pattern", "by_net", "by_case")
 
 
+@query(
+    "j3_lookup_wildcards",
+    """WITH pats AS (SELECT '*.' || n_nationkey || '7' AS pattern, n_nationkey AS o FROM nation UNION ALL SELECT '*#0000?' || n_nationkey || '*', 30 + n_nationkey FROM nation
+       UNION ALL SELECT 'S*' || chr((65 + n_nationkey)::INTEGER) || '?*', 60 + n_nationkey FROM nation UNION ALL SELECT '*', 1000),
+       v AS (SELECT 'c' || c_custkey AS id, c_name || '.' || (c_custkey % 400) AS name FROM customer UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier),
+       m AS (SELECT id, min(o) AS o FROM v, pats WHERE regexp_full_match(name, replace(replace(replace(pattern, '.', '[.]'), '*', '.*'), '?', '.')) GROUP BY 1)
+       SELECT id, o FROM m""",
+)
+def _(t):
+    """Patterns with a wildcard in front, in the middle and alone."""
+    key = F.col("n_nationkey")
+    kinds = [
+        (F.concat(F.lit("*."), key.cast("string"), F.lit("7")), key), (F.concat(F.lit("*#0000?"), key.cast("string"), F.lit("*")), key + 30),
+        (F.concat(F.lit("S*"), F.char(key + 65), F.lit("?*")), key + 60),
+    ]
+    pats = t.nation.select(F.inline(F.array(*[F.struct(p.alias("pattern"), o.cast("bigint").alias("o")) for p, o in kinds])))
+    pats = pats.unionByName(t.nation.select(F.lit("*").alias("pattern"), F.lit(1000).cast("bigint").alias("o")).distinct())
+    names = t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.concat("c_name", F.lit("."), (F.col("c_custkey") % 400).cast("string")).alias("name"))
+    names = names.unionByName(t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name")))
+    return MA.lookup_match(names, pats, "name", "pattern", "wildcard", ["o"], "o").select("id", "o")
+
+
 @query(
     "j4_map_rows",
     """SELECT o_orderkey, lines, qty FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS lines, sum(l_quantity) AS qty

@@ -52,6 +52,28 @@ def _(t):
     return M.summarize(t.events.where("event_type <> 'view'"), "ts", "value", "hour", "count", ["event_type"], fill=True)
 
 
+@query(
+    "m2_summarise_resolution",
+    """WITH b AS (SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) - i * INTERVAL 30 MINUTE AS bucket, value FROM events, range(0, 6) g(i)),
+       a AS (SELECT event_type, bucket, avg(value) AS mean, sum(value) AS total, count(*) AS n, min(value) AS least, max(value) AS most, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM b GROUP BY 1, 2),
+       s AS (SELECT event_type, unnest(generate_series((SELECT min(bucket) FROM a), (SELECT max(bucket) FROM a), INTERVAL 30 MINUTE)) AS bucket FROM (SELECT DISTINCT event_type FROM a))
+       SELECT event_type, bucket, 'mean' AS stat, round(mean, 6) AS v FROM a
+       UNION ALL SELECT event_type, bucket, 'sum', round(total, 6) FROM a
+       UNION ALL SELECT event_type, bucket, 'count', n::DOUBLE FROM a
+       UNION ALL SELECT event_type, bucket, 'min', round(least, 6) FROM a
+       UNION ALL SELECT event_type, bucket, 'max', round(most, 6) FROM a
+       UNION ALL SELECT event_type, bucket, 'p50', round(p50, 6) FROM a
+       UNION ALL SELECT event_type, bucket, 'p95', round(p95, 6) FROM a
+       UNION ALL SELECT event_type, bucket, 'rate', round((mean - lag(mean) OVER w) / (epoch(bucket) - lag(epoch(bucket)) OVER w), 9) FROM a WINDOW w AS (PARTITION BY event_type ORDER BY bucket)
+       UNION ALL SELECT event_type, bucket, 'absent', 1.0 FROM s ANTI JOIN a USING (event_type, bucket)""",
+)
+def _(t):
+    """Three-hour summaries every half hour."""
+    stats = ["mean", "sum", "count", "min", "max", "p50", "p95", "rate", "absent"]
+    df = M.summarize_many(t.events, "ts", "value", "3 hours", stats, ["event_type"], resolution="30 minutes")
+    return df.withColumn("v", F.when(F.col("stat") == "rate", F.round("v", 9)).otherwise(F.round("v", 6)))
+
+
 STATES = """a AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS bucket, avg(value) AS v FROM events GROUP BY 1, 2),
  b AS (SELECT *, round(v, 9) > 55.0 AS breach FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY bucket)
  - row_number() OVER (PARTITION BY event_type, breach ORDER BY bucket) AS g FROM b),

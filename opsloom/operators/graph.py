@@ -1,4 +1,4 @@
-"""Lineage, glossary, dependency audits and security posture."""
+"""Lineage, glossary, dependency audits and security posture; versions are in ``versions``."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.operators.aggs import aggregate, analytics
+from opsloom.operators.versions import worst_scores
 from opsloom.plans.closure import reach, sum_up_tree
 from opsloom.plans.predicates import AllOf, AnyOf, Cond, Negate, first_match, to_column
 from opsloom.plans.storage import cut_lineage
@@ -37,19 +38,6 @@ def suggest(df: DataFrame, col: str, prefix: str, limit: int, max_edits: int | N
     return counts.orderBy(F.col("n").desc(), col).limit(limit)
 
 
-def version_parts(col: Column) -> Column:
-    """Dotted version as an array of numbers, which compares part by part."""
-    return F.transform(F.split(col, "[.]"), lambda p: p.try_cast("int"))
-
-
-def affected(components: DataFrame, advisories: DataFrame, ignore: list[str] = ()) -> DataFrame:
-    """Component versions (component, version) inside an advisory range [low, high)."""
-    live = advisories.where(~F.col("advisory").isin(list(ignore))) if ignore else advisories
-    hit = components.join(live, "component")
-    v = version_parts(F.col("version"))
-    return hit.where((v >= version_parts(F.col("low"))) & (v < version_parts(F.col("high"))))
-
-
 def vulnerability_audit(deps: DataFrame, versions: DataFrame, advisories: DataFrame, ignore: list[str] = ()) -> DataFrame:
     """Worst advisory score of each component and of everything it depends on.
 
@@ -58,7 +46,7 @@ def vulnerability_audit(deps: DataFrame, versions: DataFrame, advisories: DataFr
     changed part of the graph.  Scores only rise, and only to scores that occur, so it ends.
     """
     links = cut_lineage(deps.select("src", "dst").distinct())
-    own = affected(versions, advisories, ignore).groupBy(F.col("component").alias("node")).agg(F.max("score").alias("score"))
+    own = worst_scores(versions, advisories, ignore).select(F.col("component").alias("node"), "score")
     best = moved = cut_lineage(own)
     while True:
         up = moved.join(links, moved["node"] == links["dst"]).groupBy(F.col("src").alias("node")).agg(F.max("score").alias("score"))
@@ -71,18 +59,6 @@ def vulnerability_audit(deps: DataFrame, versions: DataFrame, advisories: DataFr
     return best.groupBy("node").agg(F.max("score").alias("score"))
 
 
-def recommend_upgrades(installed: DataFrame, available: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Lowest clean version not below the installed one, per affected component."""
-    bad = affected(installed, advisories).select("component", "version").distinct()
-    offered = available.select("component", F.col("version").alias("candidate"))
-    dirty = affected(available, advisories).select("component", F.col("version").alias("candidate")).distinct()
-    clean = offered.join(dirty, ["component", "candidate"], "left_anti")
-    up = bad.join(clean, "component", "left")
-    parts = version_parts(F.col("candidate"))
-    ok = parts > version_parts(F.col("version"))
-    return up.groupBy("component", "version").agg(F.min_by("candidate", F.when(ok, parts)).alias("upgrade"))
-
-
 def match_conditions(df: DataFrame, tree, lists: dict[str, DataFrame] | None = None) -> DataFrame:
     """Nested AND / OR / NOT conditions; ``member`` tests a column against a named list.
 
@@ -152,6 +128,6 @@ def recommend_actions(metrics: DataFrame, key: str, value: str, cost: str, level
 
 
 __all__ = [
-    "lineage", "glossary_tree", "suggest", "affected", "vulnerability_audit", "recommend_upgrades", "match_conditions",
-    "problems", "risk_score", "data_mask", "inventory", "recommend_actions", "version_parts",
+    "lineage", "glossary_tree", "suggest", "vulnerability_audit", "match_conditions",
+    "problems", "risk_score", "data_mask", "inventory", "recommend_actions",
 ]

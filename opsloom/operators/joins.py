@@ -1,10 +1,10 @@
-"""Joins, lookups, key checks and comparisons."""
+"""Joins, lookups, key checks and comparisons; lookups by pattern are in ``matching``."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.plans.joining import salted_join
@@ -49,56 +49,6 @@ def lookup(
     return df.join(one, on, "left").select(*df.columns, *out)
 
 
-def _by_prefix(df: DataFrame, ref: DataFrame, value: Column, prefix: Column, length: Column) -> DataFrame:
-    """Equi-join on (prefix length, prefix): each row offers one prefix per length in use."""
-    # the lengths in use are few: none is longer than the longest pattern
-    ref = ref.withColumns({"_len": length, "_pre": prefix})
-    lengths = sorted(r[0] for r in ref.select("_len").distinct().collect())
-    offers = F.array(*[F.struct(F.lit(n).alias("_len"), F.substring(value, 1, n).alias("_pre")) for n in lengths])
-    left = df.withColumn("_offer", F.explode(offers)).select(*df.columns, "_offer.*")
-    return left.join(ref, ["_len", "_pre"]).drop("_len", "_pre")
-
-
-def ip_bits(col: str) -> Column:
-    """IPv4 address as 32 binary digits; null when it is not one."""
-    parts = F.split(F.col(col), "[.]")
-    n = [F.get(parts, F.lit(i)).try_cast("int") for i in range(4)]
-    bits = F.concat(*[F.lpad(F.bin(x), 8, "0") for x in n])
-    good = reduce(lambda a, b: a & b, [x.between(0, 255) for x in n]) & (F.size(parts) == 4)
-    return F.when(good, bits)
-
-
-def lookup_match(
-    df: DataFrame, ref: DataFrame, col: str, ref_col: str, kind: str, key: list[str], cols: list[str], order: str
-) -> DataFrame:
-    """Reference columns of the first matching entry (by ``order``): exact, nocase, wildcard or cidr.
-
-    Patterns and networks join on their literal prefix, so no row meets a
-    reference entry that cannot match.  ``key`` identifies a row of ``df``.
-    """
-    entries = ref.select(F.col(ref_col).alias("_ref"), F.col(order).alias("_order"), *[F.col(c).alias(f"_f_{c}") for c in cols])
-    if kind == "exact":
-        hits = df.join(entries, F.col(col) == F.col("_ref"))
-    elif kind == "nocase":
-        hits = df.join(entries, F.lower(F.col(col)) == F.lower(F.col("_ref")))
-    elif kind == "wildcard":
-        literal = F.regexp_extract("_ref", r"^([^*?]*)", 1)
-        hits = _by_prefix(df, entries, F.col(col), literal, F.length(literal))
-        like = F.regexp_replace(F.regexp_replace("_ref", r"([.\\+^$|(){}\[\]])", r"\\$1"), r"\*", ".*")
-        hits = hits.where(F.rlike(F.col(col), F.concat(F.lit("^"), F.regexp_replace(like, r"\?", "."), F.lit("$"))))
-    elif kind == "cidr":
-        size = F.substring_index("_ref", "/", -1).cast("int")
-        entries = entries.withColumn("_net", F.substring_index("_ref", "/", 1)).withColumn("_size", size)
-        entries = entries.withColumn("_bits", F.substring(ip_bits("_net"), F.lit(1), F.col("_size")))
-        rows = df.withColumn("_ip", ip_bits(col))
-        hits = _by_prefix(rows, entries, F.col("_ip"), F.col("_bits"), F.col("_size"))
-    else:
-        raise ValueError(f"unknown match kind {kind!r}")
-    first = hits.groupBy(*key).agg(F.min_by(F.struct(*[f"_f_{c}" for c in cols]), "_order").alias("_hit"))
-    out = df.join(first, key, "left")
-    return out.select(*df.columns, *[F.col(f"_hit._f_{c}").alias(c) for c in cols])
-
-
 def map_rows(df: DataFrame, other: DataFrame, on: list[str], aggs: dict[str, str]) -> DataFrame:
     """Fields of a second result, aggregated per key first, added to the rows that match."""
     small = other.groupBy(*on).agg(*[F.expr(e).alias(n) for n, e in aggs.items()])

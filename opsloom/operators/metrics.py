@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from opsloom.operators.aggs import bucket as value_bucket
 from opsloom.operators.aggs import seconds_between, top
 from opsloom.operators.joins import in_interval
+from opsloom.operators.panes import summarize_steps
 from opsloom.plans.joining import null_safe_join, share_of
 from opsloom.plans.ordered import ordered_window, time_chunk, top_per_key
 from opsloom.plans.predicates import first_match
@@ -28,14 +29,18 @@ def list_metrics(df: DataFrame, name: str, dims: str, wanted: dict[str, str] | N
 
 
 def summarize(
-    df: DataFrame, ts: str, value: str, interval: str, stat: str, dims: list[str], fill: bool = False
+    df: DataFrame, ts: str, value: str, interval: str, stat: str, dims: list[str], fill: bool = False, resolution: str | None = None
 ) -> DataFrame:
     """One statistic per dimension set and interval: columns dims, bucket, v.
 
     mean sum count min max pNN; rate is the change of the interval mean per
     second since the interval before; absent lists the intervals without a point.
-    ``fill`` adds empty intervals as null.
+    ``fill`` adds empty intervals as null.  With a ``resolution`` an interval begins at
+    every step of it (see ``panes``); without, one begins where the last one ends.
     """
+    if resolution:
+        out = summarize_steps(df, ts, value, interval, resolution, [stat], dims).drop("stat")
+        return fill_gaps(out, dims, resolution, {}) if fill else out
     rows = df.withColumn("bucket", bucket(ts, interval))
     group = [*dims, "bucket"]
     if stat[0] == "p" and stat[1:].isdigit():
@@ -52,11 +57,15 @@ def summarize(
     return fill_gaps(out, dims, interval, {}) if fill else out
 
 
-def summarize_many(df: DataFrame, ts: str, value: str, interval: str, stats: list[str], dims: list[str]) -> DataFrame:
+def summarize_many(
+    df: DataFrame, ts: str, value: str, interval: str, stats: list[str], dims: list[str], resolution: str | None = None
+) -> DataFrame:
     """Several statistics in long form (dims, bucket, stat, v).
 
-    Everything but the quantiles comes from one pass over the points.
+    Everything but the quantiles comes from one pass over the points; with a ``resolution``, everything does.
     """
+    if resolution:
+        return summarize_steps(df, ts, value, interval, resolution, stats, dims)
     group = [*dims, "bucket"]
     rows = df.withColumn("bucket", bucket(ts, interval))
     plain = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}

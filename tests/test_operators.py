@@ -89,16 +89,6 @@ def test_lookup_modes(frame):
         J.lookup(df, ref, ["k"], ["v"], "error").collect()
 
 
-def test_cidr_and_wildcards(frame):
-    df = frame([(1, "10.1.2.3"), (2, "10.9.9.9"), (3, "no ip"), (4, None)], "id int, ip string")
-    nets = frame([("10.0.0.0/8", "wide", 2), ("10.1.0.0/16", "narrow", 1)], "net string, name string, o int")
-    got = rows(J.lookup_match(df, nets, "ip", "net", "cidr", ["id"], ["name"], "o").select("id", "name"))
-    assert got == [(1, "narrow"), (2, "wide"), (3, None), (4, None)]
-    pats = frame([("*.9", "tail", 1), ("10.?.2.*", "mid", 2)], "p string, name string, o int")
-    got = rows(J.lookup_match(df, pats, "ip", "p", "wildcard", ["id"], ["name"], "o").select("id", "name"))
-    assert got == [(1, "mid"), (2, "tail"), (3, None), (4, None)]
-
-
 @pytest.mark.parametrize("bucket,salts", [(60, 1), (3600, 3), (864000, 2)])
 def test_interval_join_against_brute_force(spark, bucket, salts):
     r = random.Random(1)
@@ -274,13 +264,6 @@ def test_chunks_cover_the_text(frame):
     assert got[1][0] + "".join(c[5:] for c in got[1][1:]) == text
 
 
-def test_version_ranges_compare_by_number(frame):
-    comps = frame([("a", "1.10"), ("a", "1.9"), ("b", "2.0")], "component string, version string")
-    adv = frame([("a", "1.2", "1.10", "X", 5.0)], "component string, low string, high string, advisory string, score double")
-    assert rows(GR.affected(comps, adv).select("component", "version")) == [("a", "1.9")]
-    assert GR.affected(comps, adv, ["X"]).count() == 0
-
-
 def test_merge_three_states_and_duplicates(frame):
     target = frame([(1, "a", 10), (2, "b", 20)], "k int, s string, n int")
     source = frame([(1, None, 99, ["s"]), (3, "new", 5, ["s", "n"])], "k int, s string, n int, f array<string>")

@@ -1,6 +1,7 @@
 """The skew-safe building blocks against plain Spark and Python on small and lopsided frames."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +12,9 @@ from opsloom.plans.closure import reach, sum_up_tree
 from opsloom.plans.joining import null_safe_join, salted_join
 from opsloom.plans.ordered import ordered_window, rank_by_value, step_chunk
 from opsloom.plans.predicates import Cond, Negate, all_of, any_of, to_column, wildcard_regex
+from opsloom.plans import quantiles
 from opsloom.plans.quantiles import exact_quantiles
+from opsloom.plans.storage import cut_lineage
 from opsloom.plans.timing import bucket, fill_gaps
 from tests.conftest import rows
 
@@ -73,6 +76,45 @@ def test_exact_quantiles_for_any_sketch(spark, accuracy):
             assert got[k][name] == pytest.approx(np.quantile(xs, p)), (k, name)
 
 
+@pytest.mark.parametrize("accuracy,bound", [(60, 5), (300, 3), (10000, 4)])
+@pytest.mark.parametrize("weighted", [False, True])
+def test_brackets_are_narrowed(spark, monkeypatch, accuracy, bound, weighted):
+    """One group of all rows, lumps of equal values, and small groups, with steps that must narrow."""
+    monkeypatch.setattr(quantiles, "BINS", 4)
+    r = random.Random(accuracy)
+    values = {"hot": [r.choice([r.gauss(0, 1), 1.5, 1.5, 1e9 * r.random()]) for _ in range(3000)], "b": [float(i) for i in range(40)], None: [2.0, 1.0], "one": [7.0]}
+    probs = {"lo": 0.0, "p10": 0.1, "mid": 0.5, "p95": 0.95, "hi": 1.0}
+    steps = []
+    monkeypatch.setattr(quantiles, "cut_lineage", lambda df: steps.append(1) or cut_lineage(df))
+    if weighted:
+        rows_ = [(k, x, n) for k, xs in values.items() for x, n in Counter(xs).items()] + [("hot", 5.0, 0), ("b", None, 3), ("b", 9.0, None)]
+        got = exact_quantiles(spark.createDataFrame(rows_, "k string, x double, n bigint"), ["k"], "x", probs, accuracy, weight="n", bound=bound)
+    else:
+        df = spark.createDataFrame([(k, x) for k, xs in values.items() for x in xs], "k string, x double")
+        got = exact_quantiles(df, ["k"], "x", probs, accuracy, bound=bound)
+    got = {r.k: r for r in got.collect()}
+    assert len(steps) > 5 and set(got) == set(values)
+    for k, xs in values.items():
+        for name, p in probs.items():
+            assert got[k][name] == pytest.approx(np.quantile(xs, p)), (k, name)
+
+
+def test_groups_of_every_size(spark):
+    df = spark.createDataFrame([(n, float((i * 7919) % n)) for n in range(1, 60) for i in range(n)], "k int, x double")
+    probs = {f"p{p}": p / 100 for p in (0, 1, 25, 50, 90, 99, 100)}
+    for r in exact_quantiles(df, ["k"], "x", probs, 100).collect():
+        for name, p in probs.items():
+            assert r[name] == pytest.approx(np.quantile(range(r.k), p)), (r.k, name)
+
+
+def test_rows_are_scanned_twice(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 3 AS k", "id * 1.5 AS x").write.parquet(f"{tmp_path}/t")
+    got = exact_quantiles(spark.read.parquet(f"{tmp_path}/t"), ["k"], "x", {"a": 0.2, "b": 0.7})
+    # the first scan is the sketch, written by the call; the second is the only one in the result
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [k#") == 2  # the rows, and the written sketch
+    assert sum(f"{tmp_path}/t" in f for f in got.inputFiles()) >= 1 and got.count() == 3
+
+
 def test_exact_quantiles_edges(spark, frame):
     df = frame([("one", 5.0), ("none", None), ("two", 1.0), ("two", 2.0)], "k string, x double")
     assert rows(exact_quantiles(df, ["k"], "x", {"m": 0.5})) == [("one", 5.0), ("two", 1.5)]
