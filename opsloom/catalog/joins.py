@@ -78,7 +78,7 @@ def _(t):
        UNION ALL SELECT 'S*' || chr((65 + n_nationkey)::INTEGER) || '?*', 60 + n_nationkey FROM nation UNION ALL SELECT '*', 1000),
        v AS (SELECT 'c' || c_custkey AS id, c_name || '.' || (c_custkey % 400) AS name FROM customer UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier),
        m AS (SELECT id, min(o) AS o FROM v, pats WHERE regexp_full_match(name, replace(replace(replace(pattern, '.', '[.]'), '*', '.*'), '?', '.')) GROUP BY 1)
-       SELECT id, o FROM m""",
+       SELECT id, o::BIGINT AS o FROM m""",
 )
 def _(t):
     """Patterns with a wildcard in front, in the middle and alone."""

@@ -157,3 +157,12 @@ def _(t):
 )
 def _(t):
     return X.overlap_counts(ranges(t), ["user_id"], "s", "e", "event_id", lambda c: F.date_trunc("hour", c))
+
+
+@query(
+    "x10_overlap_pairs",
+    f"""WITH r AS ({RANGES}) SELECT a.user_id, a.event_id AS "first", b.event_id AS "second", b.s AS overlap_start, least(a.e, b.e) AS overlap_end FROM r a JOIN r b
+       ON a.user_id = b.user_id AND (a.s < b.s OR (a.s = b.s AND a.event_id < b.event_id)) AND a.e > b.s""",
+)
+def _(t):
+    return X.overlap_pairs(ranges(t), ["user_id"], "s", "e", "event_id")

@@ -100,6 +100,17 @@ def _(t):
     return plain_time(out, "start", "end").withColumn("total", F.round("total", 2))
 
 
+@query(
+    "z6_sessions_of_hot_keys",
+    """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+       s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)
+       SELECT event_type, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 2) AS total, max(value) AS most FROM s GROUP BY event_type, s""",
+)
+def _(t):
+    df = Z.session_windows(t.events, "ts", "30 minutes", ["event_type"], {"n": ("count", "event_id"), "total": ("sum", "value"), "most": ("max", "value")}, "day")
+    return df.withColumn("total", F.round("total", 2))
+
+
 @query(
     "z7_event_routing",
     """WITH r AS (SELECT event_id, 'notify' AS action FROM events WHERE event_type = 'error' UNION SELECT event_id, 'store' FROM events WHERE event_type = 'error' OR value > 100

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.plans.joining import null_safe_join, share_of
+from opsloom.plans.joining import null_safe_join, salted_join, share_of, split_join
 from opsloom.plans.ordered import ordered_window, top_per_key
 from opsloom.plans.predicates import to_column
 from opsloom.plans.quantiles import exact_quantiles
@@ -90,13 +90,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-zà-öø-ÿ]+"), F.lit(0))
 
 
-def keywords(df: DataFrame, doc: str, text: str, n: int, stop_words: list[str]) -> DataFrame:
-    """Top n words per document by tf x ln(documents / documents with the word)."""
+def keywords(df: DataFrame, doc: str, text: str, n: int, stop_words: list[str], hot_rows: int = 1_000_000) -> DataFrame:
+    """Top n words per document by tf x ln(documents / documents with the word).
+
+    A word of more than ``hot_rows`` documents meets its count where its postings are, so a word
+    of all documents is not one key of a shuffle.
+    """
     words = df.select(doc, F.explode(tokens(F.col(text))).alias("word")).where(~F.col("word").isin(stop_words))
-    tf = words.groupBy(doc, "word").agg(F.count("*").alias("tf"))
-    spread = tf.groupBy("word").agg(F.count("*").alias("df"))
+    # read for the counts and for the scores, and far smaller than the texts
+    tf = cut_lineage(words.groupBy(doc, "word").agg(F.count("*").alias("tf")))
+    spread = cut_lineage(tf.groupBy("word").agg(F.count("*").alias("df")))
     total = df.agg(F.count("*")).scalar()
-    scored = tf.join(spread, "word").withColumn("score", F.round(F.col("tf") * F.ln(total / F.col("df")), 6))
+    scored = split_join(tf, spread, "word", hot_rows, "df").withColumn("score", F.round(F.col("tf") * F.ln(total / F.col("df")), 6))
     return top_per_key(scored, [doc], [F.col("score").desc(), F.col("word")], n)
 
 
@@ -158,6 +163,39 @@ def islands(df: DataFrame, by: list[str], start: str, end: str, key: str, chunk:
     )
 
 
+def overlap_pairs(df: DataFrame, by: list[str], start: str, end: str, key: str, salts: int = 8) -> DataFrame:
+    """Every pair of overlapping ranges of a key once: ``by, first, second, overlap_start, overlap_end``.
+
+    Ranges are half open; empty ones, and those without a bound, overlap nothing.  ``first`` starts
+    before ``second`` (at the same time: has the smaller key).  A range of a length up to 2 ** n
+    microseconds is entered in the two buckets at most of that width which it touches, and a start looks up its
+    bucket of every width in use, so each pair meets once, at the later start, and what meets
+    is of the order of what overlaps, however long some ranges are.  ``salts`` split a bucket's starts.
+    """
+    at = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz"))
+    # a struct as key, in which nulls are equal
+    group = F.struct(F.lit(0).alias("_"), *by).alias("_by")
+    rows = df.select(group, F.col(key).alias("_key"), at(start).alias("_from"), at(end).alias("_to"), F.col(start).alias("_start"), F.col(end).alias("_end"))
+    rows = rows.where(F.col("_from") < F.col("_to")).withColumn("_level", F.ceil(F.log2((F.col("_to") - F.col("_from")).cast("double"))).cast("int"))
+    rows = cut_lineage(rows)
+    width = lambda level: F.pow(F.lit(2.0), level).cast("bigint")
+    slot = lambda point, level: F.floor(point / width(level))
+    # no more levels than bits in a length
+    levels = [r[0] for r in rows.select("_level").distinct().collect()]
+    if not levels:
+        levels = [0]
+    level = F.col("_level")
+    spans = F.array_distinct(F.array(slot(F.col("_from"), level), slot(F.col("_to") - 1, level)))
+    earlier = rows.select("_by", level, F.explode(spans).alias("_slot"), *(F.col(c).alias(f"{c}_a") for c in ("_key", "_from", "_to", "_end")))
+    probes = F.explode(F.array(*[F.struct(F.lit(n).alias("_level"), slot(F.col("_from"), F.lit(n)).alias("_slot")) for n in levels]))
+    later = rows.drop("_level").withColumn("_probe", probes).select("*", "_probe.*").drop("_probe")
+    met = salted_join(later, earlier, ["_by", "_level", "_slot"], salts=salts, spread=["_key", "_from"])
+    before = (F.col("_from_a") < F.col("_from")) | ((F.col("_from_a") == F.col("_from")) & (F.col("_key_a") < F.col("_key")))
+    return met.where(before & (F.col("_to_a") > F.col("_from"))).select(
+        *(F.col("_by")[c].alias(c) for c in by), F.col("_key_a").alias("first"), F.col("_key").alias("second"), F.col("_start").alias("overlap_start"), F.least("_end", "_end_a").alias("overlap_end")
+    )
+
+
 def overlap_counts(df: DataFrame, by: list[str], start: str, end: str, key: str, chunk_of) -> DataFrame:
     """How many other ranges of the key each range overlaps, without forming the pairs.
 

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from opsloom.operators.logs import tokens
 from opsloom.operators.text import PII, count_known
+from opsloom.plans.joining import split_join
 from opsloom.plans.ordered import ordered_window, top_per_key
 from opsloom.plans.storage import cut_lineage
 
+#: Query words up to this number are sent to every task that reads documents.
+VOCABULARY = 500_000
+
+
 def mean_vectors(vectors: DataFrame, by: str, vector: str) -> DataFrame:
     """Mean vector per group, added up position by position."""
     parts = vectors.select(by, F.posexplode(vector).alias("pos", "x")).groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -18,22 +23,26 @@ def mean_vectors(vectors: DataFrame, by: str, vector: str) -> DataFrame:
 
 
 def rerank(
-    pairs: DataFrame, queries: DataFrame, docs: DataFrame, query: str, doc: str, text: str, k: int, k1: float = 1.2, b: float = 0.75
+    pairs: DataFrame, queries: DataFrame, docs: DataFrame, query: str, doc: str, text: str, k: int, k1: float = 1.2, b: float = 0.75, hot_rows: int = 1_000_000
 ) -> DataFrame:
     """Candidate pairs (query, doc) ranked by BM25, with statistics of all documents; k per query.
 
-    Only words that occur in a query are counted, and term counts are joined to
-    candidate pairs alone.
+    Words that occur in no query are dropped before they are counted, or, if the queries hold
+    too many words to send around, after.  Postings meet the pairs by document; by term they meet
+    only the number of its documents, and a term of more than ``hot_rows`` documents does so in place.
     """
     terms = queries.select(query, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    vocabulary = terms.select("term").distinct()
+    vocabulary = cut_lineage(terms.select("term").distinct())
     words = docs.select(doc, tokens(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
-    tf = words.select(doc, "len", F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi")
+    found = words.select(doc, "len", F.explode("_t").alias("term"))
+    if vocabulary.count() <= VOCABULARY:
+        found = found.join(F.broadcast(vocabulary), "term", "left_semi")
     # read twice below, and far smaller than the texts
-    tf = cut_lineage(tf.groupBy(doc, "term", "len").agg(F.count("*").alias("tf")))
-    spread = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf = cut_lineage(found.groupBy(doc, "term", "len").agg(F.count("*").alias("tf")))
+    spread = cut_lineage(tf.groupBy("term").agg(F.count("*").alias("df")).join(vocabulary, "term", "left_semi"))
     corpus = words.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("mean"))).scalar()
-    hits = pairs.select(query, doc).distinct().join(tf, doc).join(terms, [query, "term"]).join(spread, "term")
+    postings = split_join(tf, spread, "term", hot_rows, "df")
+    hits = pairs.select(query, doc).distinct().join(postings, doc).join(terms, [query, "term"])
     idf = F.ln(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / corpus["mean"]))
     scored = hits.groupBy(query, doc).agg(F.round(F.sum(idf * weight), 6).alias("score"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from opsloom.operators.privacy import hash_number
 from opsloom.plans.predicates import all_matches, first_match
+from opsloom.plans.storage import cut_lineage
+from opsloom.plans.timing import step_of
 
 
 def put_messages(df: DataFrame, key: str, value: str, partitions: int, max_bytes: int = 1024 * 1024) -> DataFrame:
@@ -37,6 +39,30 @@ def windowed(
     return out.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), *aggs)
 
 
+#: How partial aggregates of a session are built and put together.
+_PARTIAL = {"count": (F.count, F.sum), "sum": (F.sum, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
+
+
+def session_windows(df: DataFrame, ts: str, gap: str, by: list[str], aggs: dict[str, tuple[str, str]], chunk: str = "hour") -> DataFrame:
+    """Session windows (``by, start, end`` and the aggregates) of a batch in which one key may hold all rows.
+
+    Sessions are built per key and ``chunk``, a calendar unit, in tasks of their own.  Only those
+    that reach to within ``gap`` of an end of their chunk can go on in another one: a key has few, and they
+    are put together in a second step; all others are done.  ``aggs`` maps names to (count,
+    sum, min or max, column).  The result equals ``session_window`` over the key.
+    """
+    first, second = ({n: _PARTIAL[kind][i] for n, (kind, _) in aggs.items()} for i in (0, 1))
+    rows = df.where(F.col(ts).isNotNull())
+    parts = rows.groupBy(*by, F.date_trunc(chunk, ts).cast(df.schema[ts].dataType).alias("_chunk"), F.session_window(ts, gap).alias("_w")).agg(*[first[n](c).alias(n) for n, (_, c) in aggs.items()])
+    parts = parts.select(*by, "_chunk", F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *aggs)
+    at_edge = (F.col("start") <= F.col("_chunk") + F.expr(f"INTERVAL {gap}")) | (F.col("end") >= F.col("_chunk") + step_of(chunk))
+    parts = cut_lineage(parts.withColumn("_edge", at_edge))
+    length = F.concat(F.timestamp_diff("MICROSECOND", F.col("start"), F.col("end")).cast("string"), F.lit(" microseconds"))
+    whole = parts.where("_edge").groupBy(*by, F.session_window("start", length).alias("_w")).agg(*[second[n](n).alias(n) for n in aggs])
+    whole = whole.select(*by, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *aggs)
+    return parts.where("NOT _edge").select(*by, "start", "end", *aggs).unionByName(whole)
+
+
 def route(df: DataFrame, rules: list[tuple[object, list[str]]]) -> DataFrame:
     """One row per event and action of every rule that holds."""
     lists = [(cond, F.array(*[F.lit(a) for a in actions])) for cond, actions in rules]

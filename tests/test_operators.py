@@ -18,6 +18,7 @@ from opsloom.operators import retrieval as G
 from opsloom.operators import text as L
 from opsloom.operators import windows as W
 from opsloom.operators.billing import date_range, tiered_price
+from opsloom.plans.joining import split_join
 from opsloom.plans.predicates import Cond, Negate, all_of, any_of
 from opsloom.sources import entities as E
 from opsloom.sources import inventory as I
@@ -353,3 +354,55 @@ def test_grant_chains_of_any_length(frame):
     grants = frame(list(zip(names, names[1:])), "grantee string, granted string")
     got = D.grant_paths(grants, frame([("u",)], "user string"), "P").collect()
     assert [r.steps for r in got] == [11]
+
+
+@pytest.mark.parametrize("seed,salts", [(1, 1), (2, 5)])
+def test_overlap_pairs_against_all_pairs(spark, seed, salts):
+    """Very short and very long ranges, equal starts, touching, empty and open ranges, a hot and a null key."""
+    r = random.Random(seed)
+    data = []
+    for i in range(250):
+        start = r.randrange(3000)
+        data.append((r.choice(["hot", "hot", None]), i, at(start), at(start + r.choice([0, 1, 2, 30, 31, 500, 100_000, -5]))))
+    data += [("hot", 900, None, at(5)), ("hot", 901, at(5), None)]
+    good = [(k, i, s, e) for k, i, s, e in data if s and e and s < e]
+    want = sorted((str(a[0]), a[1], b[1], b[2], min(a[3], b[3])) for a in good for b in good if a[0] == b[0] and (a[2], a[1]) < (b[2], b[1]) and a[3] > b[2])
+    rows_ = X.overlap_pairs(spark.createDataFrame(data, "k string, id int, s timestamp_ntz, e timestamp_ntz"), ["k"], "s", "e", "id", salts)
+    assert sorted((str(x[0]), *x[1:]) for x in rows_.collect()) == want
+
+
+def test_overlap_pairs_meet_few_others(spark):
+    """A thousand short ranges under ten that span them all: what meets is what overlaps."""
+    short = spark.range(1000).selectExpr("'k' AS k", "id", "timestamp_micros(id * 1000000)::timestamp_ntz AS s", "timestamp_micros(id * 1000000 + 900000)::timestamp_ntz AS e")
+    long = spark.range(10).selectExpr("'k'", "10000 + id", "timestamp_micros(-id - 1)::timestamp_ntz", "timestamp_micros(2000000000)::timestamp_ntz")
+    pairs = X.overlap_pairs(short.unionByName(long.toDF("k", "id", "s", "e")), ["k"], "s", "e", "id")
+    assert pairs.count() == 1000 * 10 + 45
+    assert "NestedLoop" not in pairs._jdf.queryExecution().toString()
+
+
+def test_a_word_of_all_documents_is_no_join_key(spark):
+    docs = spark.range(400).selectExpr("id", "concat('common ', if(id % 7 = 0, 'seven ', ''), 'w', char(97 + id % 26), char(97 + id div 26)) AS t")
+    plain = rows(X.keywords(docs, "id", "t", 3, []))
+    split = X.keywords(docs, "id", "t", 3, [], hot_rows=50)
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(split) == plain and "Union" in plan and "_hot" in plan
+    queries = spark.createDataFrame([(1, "common seven wab"), (2, "wba wcc common")], "q int, t string")
+    pairs = queries.select("q").crossJoin(docs.select("id"))
+    want = rows(G.rerank(pairs, queries, docs, "q", "id", "t", 4))
+    assert rows(G.rerank(pairs, queries, docs, "q", "id", "t", 4, hot_rows=50)) == want and len(want) == 8
+
+
+def test_split_join_counts_for_itself(spark):
+    big = spark.range(100).selectExpr("CASE WHEN id < 60 THEN 'hot' WHEN id < 80 THEN concat('k', id % 3) WHEN id < 90 THEN 'lost' END AS k", "id")
+    small = spark.createDataFrame([("hot", 1), ("k0", 2), ("k1", 3), ("never", 4)], "k string, v int")
+    want = rows(big.join(small, "k"))
+    assert rows(split_join(big, small, "k", 10)) == want and rows(split_join(big, small, "k", 1000)) == want and rows(split_join(big, small, "k", 0)) == want
+
+
+def test_vocabulary_too_large_to_send(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{'bc'[i % 2]} common {'xyz'[i % 3]}") for i in range(30)], "id int, t string")
+    queries = spark.createDataFrame([(1, "ab common x"), (2, "ac nowhere")], "q int, t string")
+    pairs = queries.select("q").crossJoin(docs.select("id"))
+    want = rows(G.rerank(pairs, queries, docs, "q", "id", "t", 3))
+    monkeypatch.setattr(G, "VOCABULARY", 0)
+    assert rows(G.rerank(pairs, queries, docs, "q", "id", "t", 3)) == want

@@ -1,5 +1,6 @@
 """Streams over several files and batches end in the batch result."""
 
+import random
 import tempfile
 import time
 from datetime import datetime, timedelta
@@ -163,3 +164,20 @@ def test_broken_run_is_run_again(spark, tmp_path):
 
 def test_clock_ticks(spark):
     assert S.clock(spark).isStreaming and S.clock(spark).columns == ["ts"]
+
+
+@pytest.mark.parametrize("chunk", ["minute", "hour", "day"])
+def test_sessions_by_chunk_equal_plain_sessions(spark, chunk):
+    """One key with all but a few rows, gaps of exactly the limit, sessions over many chunks."""
+    r = random.Random(5)
+    data, at = [], T0 + timedelta(minutes=50)
+    for i in range(600):
+        at += timedelta(seconds=r.choice([1, 60, 599, 600, 601, 20_000]) if i % 9 else 4000)
+        data.append((i, "hot" if i % 20 else r.choice(["a", None]), at, float(i)))
+    df = spark.createDataFrame(data + [(900, "hot", None, 1.0)], SCHEMA).repartition(3)
+    got = Z.session_windows(df, "ts", "10 minutes", ["k"], {"n": ("count", "v"), "s": ("sum", "v"), "hi": ("max", "v"), "lo": ("min", "v")}, chunk)
+    want = df.where("ts IS NOT NULL").groupBy("k", F.session_window("ts", "10 minutes").alias("w")).agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.max("v").alias("hi"), F.min("v").alias("lo"))
+    want = want.select("k", "w.start", "w.end", "n", "s", "hi", "lo")
+    key = lambda x: (str(x[0]), x[1])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert got.where("k = 'hot'").count() > 50
