@@ -10,7 +10,7 @@ Documents with equal sets are one node from the start.  A key of many nodes does
 all its pairs: its nodes are first compared with its centre, the node that shares most
 keys with others, and what is linked becomes one component.  In keys that still hold
 several components, the nodes outside the largest one are then compared with all nodes
-of other components.  So no link between components is lost, a group of near copies costs
+of other components, a pair under the first of its shared keys.  So no link between components is lost, a group of near copies costs
 as many pairs as it has members, and only nodes that share a key with a group without belonging to it
 cost more.  Each pair is tested on bit columns inside the join before it becomes a row.
 """
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.llm.held import drop
 from opsloom.llm.shingles import mix, set_key, shingle_sets
 from opsloom.plans.storage import cut_lineage
 
@@ -81,6 +82,7 @@ def sketches(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col:
     """``doc_id, n_shingles, set_key, registers`` per row; a text without words has no set key."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop()  # what an earlier stage has left in this worker
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist(), width)
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())]
@@ -212,10 +214,13 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, part: int, whole: int)
     sizes = cut_lineage(rows.groupBy("key", "component").agg(F.count("*").alias("size")))
     largest = cut_lineage(sizes.groupBy("key").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
     rows = cut_lineage(rows.join(largest, "key"))
-    outside = rows.where("component != main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), *(F.col(b).alias(f"{b}_a") for b in BITS))
+    # the keys of a node, a band's at most each: a pair is met under the least key of both alone
+    rows = cut_lineage(rows.join(rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node"))
+    outside = rows.where("component != main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("keys").alias("keys_a"), *(F.col(b).alias(f"{b}_a") for b in BITS))
     # a pair of two nodes outside once
     once = (F.col("component") == F.col("main")) | (F.col("a") < F.col("node"))
-    more = compared(rows.join(outside, "key").where((F.col("component") != F.col("ca")) & once & similar).select("a", F.col("node").alias("b")))
+    first = F.array_min(F.array_intersect("keys", "keys_a")) == F.col("key")
+    more = compared(rows.join(outside, "key").where((F.col("component") != F.col("ca")) & once & similar & first).select("a", F.col("node").alias("b")))
     more = cut_lineage(more)
     return label if more.isEmpty() else components(found.union(more))
 

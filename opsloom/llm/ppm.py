@@ -22,13 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.llm.held import held
+
 RESULT = "doc_id {kind}, lang_pred string, score double, bits_per_byte double"
 #: Languages whose costs are laid out in one table; with more, a text is scored table by table.
 PER_TABLE = 16
 #: Bytes that are stepped through side by side with those of other pieces of text.
 PIECE = 256
-#: Bytes of text scored at once.
-BATCH_BYTES = 16 << 20
+#: Bytes of text scored at once, and bytes of training text counted at once.
+BATCH_BYTES, COUNT_BYTES = 16 << 20, 2 << 20
+#: Contexts whose costs are copied at once.
+SLICE = 4096
 
 
 def has_letter(text: Column) -> Column:
@@ -38,29 +42,34 @@ def has_letter(text: Column) -> Column:
 def _count_grams(order: int):
     """A task that counts, per language, each byte with the up to ``order`` bytes before it: (length of context, bytes as a number)."""
 
+    def counted(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for k in range(order + 1):
+            lists = []
+            for text in texts:
+                data = np.frombuffer(text, np.uint8).astype(np.int64)
+                n = max(0, len(data) - k)
+                lists.append(sum((data[k - i : k - i + n] << 8 * i for i in range(k + 1)), np.zeros(n, np.int64)))
+            values, counts = np.unique(np.concatenate(lists), return_counts=True)
+            columns = [pa.array([lang] * len(values), pa.string()), pa.array([k] * len(values), pa.int32()), pa.array(values), pa.array(counts.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "k", "gram", "n"])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            texts = batch.column("text").to_pylist()
             for lang in sorted(set(langs)):
-                grams: dict[int, list[np.ndarray]] = {k: [] for k in range(order + 1)}
-                for text in (t for t, x in zip(texts, langs) if x == lang):
-                    data = np.frombuffer(text, np.uint8).astype(np.int64)
-                    gram = np.zeros(len(data), np.int64)
-                    for k in range(order + 1):
-                        gram = data if k == 0 else (data[: len(data) - k] << 8 * k) + gram[1:] if len(data) > k else data[:0]
-                        grams[k].append(gram)
-                for k, lists in grams.items():
-                    values, counts = np.unique(np.concatenate(lists), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array([k] * len(values), pa.int32()), pa.array(values), pa.array(counts.astype(np.int64))], ["lang", "k", "gram", "n"])
+                some, size = [], 0
+                for i in (i for i, x in enumerate(langs) if x == lang):
+                    text = batch.column("text")[i].as_py()
+                    if some and size + len(text) > COUNT_BYTES:
+                        yield from counted(lang, some)
+                        some, size = [], 0
+                    some.append(text)
+                    size += len(text)
+                yield from counted(lang, some)
 
     return task
 
 
-#: The counts of the last model used in this worker, and its tables.
-_laid_out: list = []
-
-
 class Model:
     """Frozen counts of all languages; ``tables`` lays out their costs."""
 
@@ -70,11 +79,8 @@ class Model:
         self.grams = grams
 
     def tables(self) -> list[Table]:
-        """The tables of this model; a worker keeps those of the last model only."""
-        if not _laid_out or _laid_out[0] is not self.grams:
-            _laid_out.clear()  # before the new ones take their place
-            _laid_out[:] = [self.grams, [Table(self, range(i, min(i + PER_TABLE, len(self.languages)))) for i in range(0, len(self.languages), PER_TABLE)]]
-        return _laid_out[1]
+        """The tables of this model, about 1.3 KB a context for four languages; a worker keeps them until it needs something else."""
+        return held(self.grams, lambda: [Table(self, range(i, min(i + PER_TABLE, len(self.languages)))) for i in range(0, len(self.languages), PER_TABLE)])
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""
@@ -102,7 +108,9 @@ class Table:
             ids = np.arange(first[k], first[k + 1])
             if k:
                 shorter = first[k - 1] + np.searchsorted(contexts[k - 1], own & ((1 << 8 * (k - 1)) - 1))
-                move[ids], cost[ids] = move[shorter], cost[shorter]
+                for a in range(0, len(own), SLICE):  # no second copy of the table beside it
+                    part, source = slice(first[k] + a, first[k] + min(a + SLICE, len(own))), shorter[a : a + SLICE]
+                    move[part], cost[part] = move[source], cost[source]
             for lang, (gram, count) in enumerate(grams[k]):
                 if not len(gram):
                     continue
@@ -111,7 +119,8 @@ class Table:
                 kinds = np.bincount(at, minlength=len(own))
                 known = total > 0
                 escape = np.log2((total + kinds)[known] / kinds[known])
-                cost[ids[known], 1:, lang] += escape[:, None].astype(np.float32)
+                for a in range(0, len(escape), SLICE):
+                    cost[ids[known][a : a + SLICE], 1:, lang] += escape[a : a + SLICE, None].astype(np.float32)
                 cost[ids[at], self.number[gram & 255], lang] = np.log2((total + kinds)[at] / count)
             if k < model.order:  # the context with its byte is a context too: step there
                 longer = contexts[k + 1]
@@ -146,15 +155,16 @@ class Table:
         return out
 
 
-def fit(docs: DataFrame, order: int = 4, train_docs: int = 1000, least: int = 2, lang_col: str = "lang", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, order: int = 4, train_docs: int = 1000, longest: int = 1 << 20, least: int = 2, lang_col: str = "lang", text_col: str = "text") -> Model:
     """Trees of all languages of ``docs``.
 
-    Rows without a language or a letter teach nothing.  About ``train_docs`` distinct texts of
+    Rows without a language or a letter, and texts of more than ``longest`` bytes, teach nothing,
+    so what is counted is bounded by ``train_docs * longest`` bytes a language.  About ``train_docs`` distinct texts of
     each language are taken, by a hash of the text, whole and once each, however many rows
     share one; contexts met fewer than ``least``
     times in a language are left out of its tree.
     """
-    rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where(F.col("lang").isNotNull() & has_letter(F.col("text")))
+    rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where(F.col("lang").isNotNull() & (F.octet_length("text") <= longest) & has_letter(F.col("text")))
     share = F.lit(0.0)
     for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("texts")).collect():  # one row per language
         share = F.when(F.col("lang") == r["lang"], F.lit(train_docs / max(1, r["texts"]))).otherwise(share)

@@ -4,9 +4,8 @@ A byte-level BPE splits a text into words first and encodes each alone.  In this
 family of tokenizers a word never spans a single space that follows or precedes
 something else than white space, so a text may be cut in front of such spaces and
 the parts encoded one by one; equal parts have equal ids.  Each Python worker keeps
-the ids of parts in two generations of ``MEMORY / 2`` at most (and one batch), about 150 bytes
-a part: when the young one is full, the old one goes, and parts met again come back from
-the old one, so what is frequent stays.  ``release`` drops all of it.  Texts with other white space around a space, and texts that hold an added
+the ids of up to ``MEMORY`` parts, about 150 bytes each, and starts anew when that many
+are kept, so its memory is bounded.  Texts with other white space around a space, and texts that hold an added
 token such as <|endoftext|>, go to the library whole.
 """
 
@@ -18,25 +17,18 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from opsloom.llm.held import held
+
 #: Parts of which a worker keeps the ids.
-MEMORY = 600_000
+MEMORY = 700_000
 #: Longer parts are encoded, but not kept.
 LONGEST_KEPT = 64
 _SPACES = re.compile(r"\s\s")
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
-def release(path: str) -> None:
-    """Forget the parts of a tokenizer file at the end of a task, so that a reused worker does not hold them."""
-    if path in _ENCODERS:
-        _ENCODERS[path].young, _ENCODERS[path].old = {}, {}
+    """The encoder of this worker for a tokenizer file, with what it has learned so far."""
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 class Encoder:
@@ -54,9 +46,7 @@ class Encoder:
         #: Whether a token starts with a space, which the byte alphabet writes as U+0120.
         self.opens = np.zeros(size, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        #: The parts met since the last change of generations, and those before.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}
         self.marks = {mark: self.whole(mark).tobytes() for mark in ",."}
 
     def whole(self, text: str) -> np.ndarray:
@@ -83,51 +73,45 @@ class Encoder:
         return known
 
     def _fresh(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of parts that are not kept; a comma or full stop after a letter is a word of its own."""
-        odd = [part for part in missing if not part.isprintable() or not part] if "" in missing or not "".join(missing).isprintable() else []
+        """Ids of the parts that are not kept; a comma or full stop after a letter is a word of its own."""
+        odd = [part for part in missing if not part.isprintable() or not part]
         ends = [part for part in missing if part.endswith((",", ".")) and part[:-1].isalpha()]
         plain = missing.difference(odd, ends)
         stems = {part[:-1] for part in ends} - plain
-        known = {part: ids for part in stems if (ids := self._kept(part)) is not None}
-        known |= self._learn(sorted(plain.union(stems.difference(known))))
+        known = {part: ids for part in stems if (ids := self.kept.get(part)) is not None}
+        known |= self._learn([*plain, *stems.difference(known)])
         for part in ends:
             known[part] = known[part[:-1]] + self.marks[part[-1]]
         for part, line in zip(odd, self.library.encode_batch_fast([" " + part for part in odd], add_special_tokens=False)):
             known[part] = np.array(line.ids, self.kind).tobytes()
         return known
 
-    def _kept(self, part: str) -> bytes | None:
-        ids = self.young.get(part)
-        return self.old.get(part) if ids is None else ids
-
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """The ids of each text; a null text is an empty one."""
-        cuts: list[list[str] | np.ndarray] = []
-        seen: set[str] = set()
+        out: list[list | np.ndarray] = []
+        missing: set[str] = set()
+        kept = self.kept
         for text in texts:
             if not text or _SPACES.search(text) or text[0] == " " or self._holds_added(text):
-                cuts.append(self.whole(text) if text else np.zeros(0, self.kind))
+                out.append(self.whole(text) if text else np.zeros(0, self.kind))
                 continue
-            parts = text.split(" ")
-            cuts.append(parts)
-            seen.update(parts[1:])
-        self._know(seen)
-        ids = self.young.__getitem__
-        done = [x if isinstance(x, np.ndarray) else np.frombuffer(self.whole(x[0]).tobytes() + b"".join(map(ids, x[1:])), self.kind) for x in cuts]
-        self._forget(seen)
+            first, *parts = text.split(" ")
+            found = [*map(kept.get, parts)]
+            if None in found:
+                missing.update(part for part, ids in zip(parts, found) if ids is None)
+            out.append([first, parts, found])
+        fresh = self._fresh(missing)
+        done = [x if isinstance(x, np.ndarray) else self._join(x, fresh) for x in out]
+        self._keep(fresh)
         return done
 
-    def _know(self, seen: set[str]) -> None:
-        """Put all these parts into the young generation."""
-        missing = seen.difference(self.young)
-        again = self.old.keys() & missing
-        self.young.update((part, self.old[part]) for part in again)
-        self.young.update(self._fresh(missing.difference(again)))
-
-    def _forget(self, seen: set[str]) -> None:
-        """Keep no long part, and let what has not been met since the last change of generations go."""
-        for part in seen:
-            if len(part) > LONGEST_KEPT:
-                self.young.pop(part, None)
-        if len(self.young) > MEMORY // 2:
-            self.old, self.young = self.young, {}
+    def _keep(self, fresh: dict[str, bytes]) -> None:
+        if len(self.kept) + len(fresh) > MEMORY:
+            self.kept.clear()
+        self.kept.update((part, ids) for part, ids in fresh.items() if len(part) <= LONGEST_KEPT)
+
+    def _join(self, cut: list, fresh: dict[str, bytes]) -> np.ndarray:
+        first, parts, found = cut
+        if None in found:
+            found = [fresh[part] if ids is None else ids for part, ids in zip(parts, found)]
+        return np.frombuffer(self.whole(first).tobytes() + b"".join(found), self.kind)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom.llm import htmlblocks, ppm, pulearning, warc
+from opsloom.llm.held import drop
 from opsloom.llm.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
@@ -87,7 +88,7 @@ def test_code_lengths_are_exact(spark, monkeypatch, piece):
     texts = [b"abra banana zyx", b"", b"q", "zyx é abracadabra band".encode() * 3]
     assert np.allclose(model.bits(texts), [plain_bits(trains, t, 3, 2) if t else [0, 0] for t in texts], rtol=1e-5)
     monkeypatch.setattr(ppm, "PER_TABLE", 1)
-    ppm._laid_out.clear()
+    drop()
     assert np.allclose(model.bits(texts), [plain_bits(trains, t, 3, 2) if t else [0, 0] for t in texts], rtol=1e-5)
 
 

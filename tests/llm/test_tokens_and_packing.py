@@ -37,11 +37,11 @@ def test_the_ids_of_an_added_token():
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr("opsloom.llm.tokens.MEMORY", 5)
     own = encoder(PATH)
-    own.young, own.old = {}, {}
+    own.kept.clear()
     for i in range(20):
         text = f"some word{i} and another{i}."
         assert own.encode([text])[0].tolist() == own.library.encode(text, add_special_tokens=False).ids
-        assert len(own.young) <= 9 and len(own.old) <= 9
+        assert len(own.kept) <= 9
 
 
 def ids_of(text, end):
