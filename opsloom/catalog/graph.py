@@ -124,8 +124,11 @@ def _(t):
 @query(
     "c7_problem_trend",
     """WITH e AS (SELECT date_trunc('week', ts)::TIMESTAMP AS period, (user_id % 4)::BIGINT AS team FROM events WHERE event_type = 'error'),
-       c AS (SELECT CASE WHEN grouping(team) = 1 THEN 'period' ELSE 'period,team' END AS level, period, team, count(*) AS n FROM e GROUP BY GROUPING SETS ((period), (period, team)))
-       SELECT *, n - lag(n) OVER (PARTITION BY level, team ORDER BY period) AS change FROM c""",
+       c AS (SELECT CASE WHEN grouping(team) = 1 THEN 'period' ELSE 'period,team' END AS level, period, team, count(*) AS n FROM e GROUP BY GROUPING SETS ((period), (period, team))),
+       p AS (SELECT unnest(generate_series((SELECT min(period) FROM c), (SELECT max(period) FROM c), INTERVAL 7 DAY)) AS period),
+       f AS (SELECT g.level, p.period, g.team, coalesce(c.n, 0) AS n FROM p CROSS JOIN (SELECT DISTINCT level, team FROM c) g
+       LEFT JOIN c ON c.level = g.level AND c.period = p.period AND c.team IS NOT DISTINCT FROM g.team)
+       SELECT *, n - lag(n) OVER (PARTITION BY level, team ORDER BY period) AS change FROM f""",
 )
 def _(t):
     errors = t.events.where("event_type = 'error'").withColumn("team", F.col("user_id") % 4)

@@ -177,9 +177,15 @@ def _(t):
     return df.select("o_orderpriority", "x", *four, F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"))
 
 
-@query("m10_forecast_seasonal")
+@query(
+    "m10_forecast_seasonal",
+    """WITH s AS (SELECT event_type, date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) AS x, sum(value) AS y FROM events GROUP BY 1, 2),
+       f AS (SELECT event_type, regr_slope(y, x) AS slope, avg(y) - regr_slope(y, x) * avg(x) AS level, max(x) AS last FROM s GROUP BY 1),
+       o AS (SELECT event_type, x % 7 AS slot, avg(y - level - slope * x) AS off FROM s JOIN f USING (event_type) GROUP BY 1, 2),
+       a AS (SELECT event_type, last + i AS x, level + slope * (last + i) AS line FROM f, range(1, 15) g(i))
+       SELECT a.event_type, x, round(line + coalesce(off, 0), 6) AS forecast FROM a LEFT JOIN o ON a.event_type = o.event_type AND a.x % 7 = o.slot""",
+)
 def _(t):
-    """No SQL twin: the fit runs per group in pandas on the daily series."""
     origin = t.events.agg(F.min(F.to_date("ts"))).scalar()
     series = t.events.groupBy("event_type", F.datediff(F.to_date("ts"), origin).cast("bigint").alias("x")).agg(F.sum("value").alias("y"))
     return M.seasonal_forecast(series, ["event_type"], 7, 14).withColumn("forecast", F.round("forecast", 6))

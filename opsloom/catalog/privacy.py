@@ -1,6 +1,8 @@
 """Queries of the sensitive-data family."""
 
 import pandas as pd
+import secrets
+
 from pyspark.sql import functions as F
 
 from opsloom.catalog.logs import LINES, lines, sql_template
@@ -189,7 +191,9 @@ def _(t):
     """SELECT c_custkey, c_name, c_acctbal, (length(c_name) + 16)::INTEGER AS payload_bytes, 12 AS iv_bytes, 'AES_256_GCM_IV12_TAG16' AS algorithm FROM customer""",
 )
 def _(t):
-    key = t.spark.conf.get("spark.opsloom.encryption.key", "0123456789abcdef0123456789abcdef").encode()
+    """With the key of the session, or one made up for this run, which nothing keeps."""
+    named = t.spark.conf.get("spark.opsloom.encryption.key", None)
+    key = named.encode() if named else secrets.token_bytes(D.KEY_BYTES)
     sealed = D.encrypt(t.customer.withColumn("plain", F.col("c_name")), ["c_name", "c_acctbal"], key, "key-1", "customer")
     sealed = sealed.withColumns(
         {"payload_bytes": F.length("c_name.payload"), "iv_bytes": F.length("c_name.header.iv"), "algorithm": F.col("c_name.header.algorithm")}

@@ -71,18 +71,21 @@ def budget_status(
     """First day of each month on which a rule is met.
 
     Rules are (actual | forecast, percent of the monthly budget); the forecast
-    extends the spend to date evenly over the month.
+    extends the spend to date evenly over the month.  A month of spend without a budget
+    gives one row ``unbudgeted`` without a threshold.
     """
     daily = spend.groupBy(key, bucket(ts, "month").alias("month"), F.to_date(ts).alias("day")).agg(F.sum(cost).alias("_c"))
     w = Window.partitionBy(key, "month").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    daily = daily.withColumn("actual", F.sum("_c").over(w)).join(budgets, key)
+    daily = daily.withColumn("actual", F.sum("_c").over(w)).join(budgets, key, "left")
     ahead = F.col("actual") / F.dayofmonth("day") * F.dayofmonth(F.last_day("day"))
     value = {"actual": F.col("actual"), "forecast": ahead}
     met = [
         F.when(F.round(value[kind] * 100 / F.col("budget"), 6) >= pct, F.struct(F.lit(kind).alias("kind"), F.lit(float(pct)).alias("threshold")))
         for kind, pct in rules
     ]
-    hits = daily.withColumn("_r", F.explode(F.array_compact(F.array(*met))))
+    none = F.struct(F.lit("unbudgeted").alias("kind"), F.lit(None).cast("double").alias("threshold"))
+    found = F.when(F.col("budget").isNull(), F.array(none)).otherwise(F.array_compact(F.array(*met)))
+    hits = daily.withColumn("_r", F.explode(found))
     return hits.groupBy(key, "month", F.col("_r.kind").alias("kind"), F.col("_r.threshold").alias("threshold")).agg(F.min("day").alias("first_day"))
 
 
@@ -121,11 +124,11 @@ def rate(df: DataFrame, by: list[str], quantity: str, tiers: list[tuple[float, f
 
 
 def burn_down(df: DataFrame, commitments: DataFrame, key: str, ts: str, cost: str) -> DataFrame:
-    """Monthly use of a commitment: part covered, balance left and overage."""
+    """Monthly use of a commitment: part covered, balance left and overage; without a commitment all use is overage."""
     monthly = df.groupBy(key, bucket(ts, "month").alias("month")).agg(F.sum(cost).alias("used"))
     w = Window.partitionBy(key).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    rows = monthly.withColumn("_sum", F.sum("used").over(w)).join(commitments, key)
-    before = F.greatest(F.col("commitment") - (F.col("_sum") - F.col("used")), F.lit(0.0))
+    rows = monthly.withColumn("_sum", F.sum("used").over(w)).join(commitments, key, "left")
+    before = F.greatest(F.coalesce(F.col("commitment"), F.lit(0.0)) - (F.col("_sum") - F.col("used")), F.lit(0.0))
     covered = F.least(F.col("used"), before)
     return rows.select(
         key, "month", "used", covered.alias("covered"), (before - covered).alias("balance"), (F.col("used") - covered).alias("overage")

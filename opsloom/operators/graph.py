@@ -12,7 +12,7 @@ from opsloom.operators.versions import worst_scores
 from opsloom.plans.closure import reach, sum_up_tree
 from opsloom.plans.predicates import AllOf, AnyOf, Cond, Negate, first_match, to_column
 from opsloom.plans.storage import cut_lineage
-from opsloom.plans.timing import bucket
+from opsloom.plans.timing import bucket, fill_gaps
 
 
 def lineage(edges: DataFrame, starts: DataFrame, direction: str = "downstream", depth: int | None = None) -> DataFrame:
@@ -90,9 +90,13 @@ def match_conditions(df: DataFrame, tree, lists: dict[str, DataFrame] | None = N
 
 
 def problems(df: DataFrame, dims: list[str], ts: str, period: str) -> DataFrame:
-    """Problem counts per period and dimension with the change to the period before."""
+    """Problem counts per period and dimension with the change to the period before.
+
+    Every group has a row for every period between the first and the last of all; one without a problem counts 0.
+    """
     rows = df.withColumn("period", bucket(ts, period))
     counts = analytics(rows, ["period", *dims], {"n": "count(*)"}, [["period"], *[["period", d] for d in dims]])
+    counts = fill_gaps(counts, ["level", *dims], period, {"n": 0}, "period")
     w = Window.partitionBy("level", *dims).orderBy("period")
     return counts.withColumn("change", F.col("n") - F.lag("n").over(w))
 

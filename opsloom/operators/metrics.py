@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,27 +218,21 @@ def forecast_series(series: DataFrame, by: list[str], horizon: int, k: float = 2
 
 
 def seasonal_forecast(series: DataFrame, by: list[str], season: int, horizon: int) -> DataFrame:
-    """Linear trend plus mean seasonal offset, fitted per group on an aggregated series (by, x, y).
+    """Linear trend plus mean seasonal offset per group of an aggregated series (by, x, y) with integer x.
 
-    The series has one row per group and bucket, so a group is limited by its time range.
+    A group of one point, or of one x, has no trend; a place of the season without a point has no offset.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", x long, forecast double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        x, y = pdf["x"].astype(float), pdf["y"].astype(float)
-        dx = x - x.mean()
-        slope = float((dx * (y - y.mean())).sum() / (dx * dx).sum()) if len(pdf) > 1 else 0.0
-        level = float(y.mean() - slope * x.mean())
-        offset = (y - level - slope * x).groupby(pdf["x"] % season).mean()
-        ahead = pd.Series(range(int(x.max()) + 1, int(x.max()) + 1 + horizon))
-        out = pd.DataFrame({c: [pdf[c].iloc[0]] * horizon for c in by})
-        out["x"] = ahead
-        out["forecast"] = level + slope * ahead + (ahead % season).map(offset).fillna(0.0)
-        return out
-
-    return series.select(*by, "x", "y").groupBy(*by).applyInPandas(fit, schema)
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    series = cut_lineage(series.select(*by, F.col("x").cast("bigint").alias("x"), y.alias("y")).where("x IS NOT NULL AND y IS NOT NULL"))
+    fit = series.groupBy(*by).agg(F.coalesce(F.regr_slope("y", x), F.lit(0.0)).alias("_slope"), F.avg("y").alias("_y"), F.avg(x).alias("_x"), F.max("x").alias("_last"))
+    fit = cut_lineage(fit.select(*by, "_slope", (F.col("_y") - F.col("_slope") * F.col("_x")).alias("_level"), "_last"))
+    line = F.col("_level") + F.col("_slope") * x
+    slot = F.pmod("x", F.lit(season)).alias("_slot")
+    offsets = null_safe_join(series, fit, by).groupBy(*by, slot).agg(F.avg(F.col("y") - line).alias("_offset"))
+    ahead = fit.withColumn("x", F.explode(F.sequence(F.col("_last") + 1, F.col("_last") + horizon)))
+    ahead = ahead.select(*by, "x", slot, line.alias("_line"))
+    out = null_safe_join(ahead, offsets, [*by, "_slot"], "left")
+    return out.select(*by, "x", (F.col("_line") + F.coalesce("_offset", F.lit(0.0))).alias("forecast"))
 
 
 def top_usage(df: DataFrame, ts: str, span: str, key: str, measure: str, n: int) -> DataFrame:

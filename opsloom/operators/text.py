@@ -59,6 +59,10 @@ def luhn_ok(digits: Column) -> Column:
     return total % 10 == 0
 
 
+def is_card(entity: Column) -> Column:
+    return luhn_ok(F.regexp_replace(entity, "[- ]", ""))
+
+
 def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
     """Pieces between the matches, and the matches."""
     return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -85,7 +89,7 @@ def detect_pii(df: DataFrame, key: list[str], text: str, types: dict[str, str] =
     per_type = [entities(name, pattern) for name, pattern in types.items()]
     found = F.concat(*[F.coalesce(a, F.array().cast("array<struct<type:string,offset:int,entity:string>>")) for a in per_type])
     rows = df.select(*key, F.explode(found).alias("p")).select(*key, "p.*")
-    rows = rows.where((F.col("type") != "CARD") | luhn_ok(F.regexp_replace("entity", "[- ]", "")))
+    rows = rows.where((F.col("type") != "CARD") | is_card(F.col("entity")))
     return rows.withColumn("length", F.length("entity"))
 
 
@@ -110,27 +114,31 @@ def mask_pii(
     df: DataFrame, text: str, mode: str, types: dict[str, str] = PII, exclude: list[str] | None = None,
     keep_last: int = 0, masking_char: str = "*", out: str | None = None, seed: str = "s",
 ) -> DataFrame:
-    """REPLACE by the type name, MASK all but the last characters, REMOVE, or RELEXIFY by a value of the same type."""
-    col = F.col(text)
-    for name, pattern in types.items():
-        if name in (exclude or []):
-            continue
+    """REPLACE by the type name, MASK all but the last characters, REMOVE, or RELEXIFY by a value of the same type.
+
+    What the finder does not report, such as a number that fails the check digit of cards, stays as it is in every mode.
+    """
+
+    def changed(name: str, m: Column) -> Column:
         if mode == "REPLACE":
-            col = F.regexp_replace(col, pattern, f"<{name}>")
+            new = F.lit(f"<{name}>")
         elif mode == "REMOVE":
-            col = F.regexp_replace(col, pattern, "")
+            new = F.lit("")
         elif mode == "MASK":
-            hide = lambda m: F.concat(
-                F.repeat(F.lit(masking_char), F.greatest(F.length(m) - keep_last, F.lit(0))), F.right(m, F.lit(keep_last)) if keep_last else F.lit("")
-            )
-            col = rewrite_matches(col, pattern, hide)
+            rest = F.right(m, F.lit(keep_last)) if keep_last else F.lit("")
+            new = F.concat(F.repeat(F.lit(masking_char), F.greatest(F.length(m) - keep_last, F.lit(0))), rest)
         elif mode == "RELEXIFY":
             pool = STAND_INS[name]
-            pick = lambda m: F.element_at(F.array(*[F.lit(v) for v in pool]), (hash_number(seed, m, len(pool)) + 1).cast("int"))
-            col = rewrite_matches(col, pattern, pick)
+            new = F.element_at(F.array(*[F.lit(v) for v in pool]), (hash_number(seed, m, len(pool)) + 1).cast("int"))
         else:
             raise ValueError(f"unknown mode {mode!r}")
-    return df.withColumn(out or text, col)
+        return F.when(is_card(m), new).otherwise(m) if name == "CARD" else new
+
+    rows, kept = df.withColumn("_text", F.col(text)), [c for c in types if c not in (exclude or [])]
+    for name in kept:  # a step per type, so that no expression holds the one before it several times
+        rows = rows.withColumn("_text", rewrite_matches(F.col("_text"), types[name], lambda m: changed(name, m)))
+    col = F.col("_text")
+    return rows.withColumn(out or text, col).drop("_text")
 
 
 def with_errors(df: DataFrame, text: str, min_chars: int = 1, max_chars: int | None = None) -> DataFrame:

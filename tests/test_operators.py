@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom.operators import aggs as A
+from opsloom.operators import billing as B
 from opsloom.operators import columns as C
 from opsloom.operators import graph as GR
 from opsloom.operators import joins as J
@@ -406,3 +407,38 @@ def test_vocabulary_too_large_to_send(spark, monkeypatch):
     want = rows(G.rerank(pairs, queries, docs, "q", "id", "t", 3))
     monkeypatch.setattr(G, "VOCABULARY", 0)
     assert rows(G.rerank(pairs, queries, docs, "q", "id", "t", 3)) == want
+
+
+def test_modes_leave_what_the_finder_leaves(frame):
+    """4111... passes its check digit, 1234... does not."""
+    df = frame([("4111 1111 1111 1111 and 1234 5678 1234 5678 of a@b.org",), (None,)], "t string")
+    got = {m: L.mask_pii(df, "t", m, keep_last=4).first().t for m in ("REPLACE", "REMOVE", "MASK")}
+    assert got == {
+        "REPLACE": "<CARD> and 1234 5678 1234 5678 of <EMAIL>", "REMOVE": " and 1234 5678 1234 5678 of ",
+        "MASK": "***************1111 and 1234 5678 1234 5678 of ***.org",
+    }
+    assert L.mask_pii(df, "t", "RELEXIFY").first().t.startswith("0000000000000000 and 1234 5678 1234 5678 of ")
+    assert L.mask_pii(df, "t", "MASK", exclude=["CARD", "EMAIL"]).first().t == df.first().t
+    with pytest.raises(ValueError):
+        L.mask_pii(df, "t", "FORGET")
+
+
+def test_spend_without_budget_or_commitment_stays(frame):
+    spend = frame([("a", at(0), 5.0), ("b", at(0), 7.0)], "k string, ts timestamp_ntz, c double")
+    status = B.budget_status(spend, frame([("a", 5.0)], "k string, budget double"), "k", "ts", "c", [("actual", 100)])
+    assert sorted((r.k, r.kind, r.threshold) for r in status.collect()) == [("a", "actual", 100.0), ("b", "unbudgeted", None)]
+    burn = B.burn_down(spend, frame([("a", 3.0)], "k string, commitment double"), "k", "ts", "c")
+    assert sorted((r.k, r.covered, r.overage) for r in burn.collect()) == [("a", 3.0, 2.0), ("b", 0.0, 7.0)]
+
+
+def test_problems_count_empty_periods(frame):
+    week = timedelta(days=7)
+    df = frame([("x", at(0)), ("x", at(0) + 2 * week), ("y", at(0) + week)], "team string, ts timestamp_ntz")
+    got = {(r.team, r.n, r.change) for r in GR.problems(df, ["team"], "ts", "week").where("level = 'period,team'").collect()}
+    assert got == {("x", 1, None), ("x", 0, -1), ("x", 1, 1), ("y", 0, None), ("y", 1, 1), ("y", 0, -1)}
+
+
+def test_seasonal_forecast_of_short_groups(frame):
+    df = frame([("one", 3, 5.0), (None, 0, 1.0), (None, 1, 3.0), (None, 2, None)], "k string, x bigint, y double")
+    got = {(r.k, r.x): round(r.forecast, 6) for r in M.seasonal_forecast(df, ["k"], 2, 2).collect()}
+    assert got == {("one", 4): 5.0, ("one", 5): 5.0, (None, 2): 5.0, (None, 3): 7.0}
