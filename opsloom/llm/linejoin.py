@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.plans.storage import cut_lineage, shared_path
@@ -95,9 +95,9 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _packed(df: DataFrame) -> DataFrame:
-    """Written and read again like other steps, but tightly compressed, as it holds the texts of all lines."""
+    """Written and read again like other steps; it holds the texts of all lines, and its codec needs no memory outside the heap."""
     path = shared_path(df.sparkSession, "lines")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4_raw").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -109,22 +109,28 @@ def classes(lines: DataFrame, threshold: int, least_chars: int) -> DataFrame:
     kinds = _packed(kinds.select(F.monotonically_increasing_id().alias("kind"), "digest", F.struct("first.doc_id", "first.line_no").alias("first"), F.col("first.line").alias("line")))
     size = F.length("line")
     cuttable = kinds.where(size > threshold)
-    entered = cuttable.select("kind", F.explode(F.array(*entries(F.col("line"), size, threshold))).alias("key"))
-    sought = cuttable.select(F.col("kind").alias("other"), F.explode(F.array(*lookups(F.col("line"), size, threshold))).alias("key"))
-    # first only which entries and lookups meet at all: both sides of both joins are the same two exchanges
-    meets = (F.col("e.key") == F.col("s.key")) & (F.col("kind") != F.col("other"))
-    met = entered.alias("e").join(sought.alias("s"), meets, "left_semi").select("key", "kind", F.lit(True).alias("entry"))
-    met = met.union(sought.alias("s").join(entered.alias("e"), meets, "left_semi").select("key", "other", F.lit(False)))
-    met = cut_lineage(met.distinct())
-    counted = kinds.join(met.select("kind").distinct(), "kind", "left_semi")
-    counted = cut_lineage(counted.select("kind", *((F.length("line") - F.length(F.replace("line", F.lit(c)))).alias(f"c{i}") for i, c in enumerate(COUNTED))))
+    own = [F.struct(key.alias("key"), F.lit(True).alias("entry")) for key in entries(F.col("line"), size, threshold)]
+    sought = [F.struct(key.alias("key"), F.lit(False).alias("entry")) for key in lookups(F.col("line"), size, threshold)]
+    # one exchange of all keys, and only those under which an entry and a lookup of two lines meet go on
+    every = cuttable.select("kind", F.explode(F.array(*own, *sought)).alias("k")).select("kind", "k.*")
+    under = Window.partitionBy("key")
+    flags = {"_first": F.min("kind"), "_last": F.max("kind"), "_entered": F.max("entry"), "_only": F.min("entry")}
+    met = every.withColumns({name: value.over(under) for name, value in flags.items()})
+    met = cut_lineage(met.where("_first != _last and _entered and not _only").select("key", "kind", "entry").distinct())
+    # a line's keys, three entries and a dozen lookups at two edits: a pair is met under the least that both have
+    of_line = met.groupBy("kind").agg(F.collect_set(F.when(F.col("entry"), F.col("key"))).alias("entries"), F.collect_set(F.when(~F.col("entry"), F.col("key"))).alias("lookups"))
+    counts = [(F.length("line") - F.length(F.replace("line", F.lit(c)))).alias(f"c{i}") for i, c in enumerate(COUNTED)]
+    counted = cut_lineage(kinds.join(of_line, "kind").select("kind", "entries", "lookups", size.alias("size"), *counts))
     met = cut_lineage(met.join(counted, "kind"))
     names = [f"c{i}" for i in range(len(COUNTED))]
-    left = met.where("entry").select("key", "kind", *names)
-    right = met.where("not entry").select("key", F.col("kind").alias("other"), *(F.col(c).alias(f"o_{c}") for c in names))
+    left = met.where("entry").select("key", "kind", "entries", "size", *names)
+    right = met.where("not entry").select("key", F.col("kind").alias("other"), "lookups", F.col("size").alias("o_size"), *(F.col(c).alias(f"o_{c}") for c in names))
     # an edit changes the counts of its signs by two at most
     moved = reduce(lambda x, y: x + y, (F.abs(F.col(c) - F.col(f"o_{c}")) for c in names))
-    pairs = left.join(right, "key").where((F.col("kind") != F.col("other")) & (moved <= 2 * threshold))
+    # of two lines of one length either finds the other, and one of them is enough
+    once = (F.col("size") < F.col("o_size")) | (F.col("kind") < F.col("other"))
+    least = F.array_min(F.array_intersect("entries", "lookups")) == F.col("key")
+    pairs = left.join(right, "key").where((F.col("kind") != F.col("other")) & once & (moved <= 2 * threshold) & least)
     pairs = cut_lineage(pairs.select(F.least("kind", "other").alias("a"), F.greatest("kind", "other").alias("b")).distinct())
     side = lambda name: kinds.select(F.col("kind").alias(name), F.col("line").alias(f"line_{name}"), F.col("first").alias(f"first_{name}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), threshold))
