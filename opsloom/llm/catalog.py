@@ -137,24 +137,34 @@ def op10_segment_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linejoin.repeated_lines(table(spark, folder, "documents")).drop("digest", "n_chars", "blank")
 
 
-SQL_TWINS["op10_segment_line_dedup"] = """
+# DuckDB's levenshtein counts bytes: a pair with other characters is written anew with one byte per
+# character of the two lines (127 at most), and is a candidate if its bytes are within four times the threshold
+_BYTE_PER_SIGN = "array_to_string(list_transform(string_split({line}, ''), lambda c: chr(list_position(signs, c)::INTEGER)), '')"
+
+SQL_TWINS["op10_segment_line_dedup"] = f"""
 WITH l AS (
   SELECT doc_id, CAST(unnest(range(len(s))) AS BIGINT) AS line_no, unnest(s) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)
 ), k AS (
-  SELECT line, arg_min(doc_id, (doc_id, line_no)) AS class_doc_id, arg_min(line_no, (doc_id, line_no)) AS class_line_no
-  FROM l WHERE length(line) >= 24 GROUP BY line
+  SELECT line, arg_min(doc_id, (doc_id, line_no)) AS class_doc_id, arg_min(line_no, (doc_id, line_no)) AS class_line_no,
+         length(line) AS size, strlen(line) = length(line) AS plain
+  FROM l GROUP BY line
+), c AS (
+  SELECT a.line AS x, b.line AS y, a.plain AND b.plain AS plain, (b.class_doc_id, b.class_line_no) < (a.class_doc_id, a.class_line_no) AS y_first
+  FROM k a JOIN k b ON b.size BETWEEN a.size - 2 AND a.size + 2 AND a.line < b.line
+  WHERE a.size > 2 AND b.size > 2 AND abs(strlen(a.line) - strlen(b.line)) <= 8
+    AND levenshtein(a.line, b.line) <= CASE WHEN a.plain AND b.plain THEN 2 ELSE 8 END
+), w AS (
+  SELECT *, list_distinct(list_concat(string_split(x, ''), string_split(y, ''))) AS signs FROM c
 ), p AS (
-  SELECT a.line, (b.class_doc_id, b.class_line_no) < (a.class_doc_id, a.class_line_no) AS later
-  FROM k a JOIN k b ON length(b.line) BETWEEN length(a.line) - 2 AND length(a.line) + 2 AND a.line <> b.line
-  WHERE levenshtein(a.line, b.line) <= 2
+  SELECT x, y, y_first FROM w
+  WHERE plain OR levenshtein({_BYTE_PER_SIGN.format(line='x')}, {_BYTE_PER_SIGN.format(line='y')}) <= 2
 ), n AS (
-  SELECT line, count(*) AS links, bool_or(later) AS earlier FROM p GROUP BY line
+  SELECT line, count(*) AS links, bool_or(later) AS earlier FROM (SELECT x AS line, y_first AS later FROM p UNION ALL SELECT y, NOT y_first FROM p) GROUP BY line
 )
-SELECT l.doc_id, l.line_no, coalesce(k.class_doc_id, l.doc_id) AS class_doc_id, coalesce(k.class_line_no, l.line_no) AS class_line_no,
-       coalesce(n.links, 0) AS links,
-       (k.line IS NULL OR (k.class_doc_id = l.doc_id AND k.class_line_no = l.line_no)) AND NOT coalesce(n.earlier, false) AS kept
-FROM l LEFT JOIN k USING (line) LEFT JOIN n USING (line)
+SELECT l.doc_id, l.line_no, class_doc_id, class_line_no, coalesce(n.links, 0) AS links,
+       class_doc_id = l.doc_id AND class_line_no = l.line_no AND NOT coalesce(n.earlier, false) AS kept
+FROM l JOIN k USING (line) LEFT JOIN n USING (line)
 """
 
 
