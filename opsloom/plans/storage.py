@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: The temporary folder of each local application, made once.
+_local: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -22,8 +25,11 @@ def shared_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="opsloom-")
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        application = spark.sparkContext.applicationId
+        if application not in _local:
+            _local[application] = tempfile.mkdtemp(prefix="opsloom-")
+        return _local[application]
     raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
 
 

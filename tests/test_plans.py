@@ -1,6 +1,9 @@
 """The skew-safe building blocks against plain Spark and Python on small and lopsided frames."""
 
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -12,7 +15,7 @@ from opsloom.plans.closure import reach, sum_up_tree
 from opsloom.plans.joining import null_safe_join, salted_join
 from opsloom.plans.ordered import ordered_window, rank_by_value, step_chunk
 from opsloom.plans.predicates import Cond, Negate, all_of, any_of, to_column, wildcard_regex
-from opsloom.plans import quantiles
+from opsloom.plans import quantiles, storage
 from opsloom.plans.quantiles import exact_quantiles
 from opsloom.plans.storage import cut_lineage
 from opsloom.plans.timing import bucket, fill_gaps
@@ -201,3 +204,27 @@ def test_buckets_follow_the_wall_clock(spark, frame, zone):
         assert fill_gaps(series, [], "quarter", {"v": 0}).count() == 3
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_written_steps_share_one_folder_and_go_together(spark):
+    """A local session without a setting has one folder, and dropping it drops the written steps."""
+    first, second = storage.shared_path(spark, "a"), storage.shared_path(spark, "b")
+    assert first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0] and first != second
+    spark.range(3).write.parquet(first)
+    assert spark.read.parquet(first).count() == 3
+
+
+def test_dropping_what_was_written():
+    """In a process of its own, as it ends the steps of all frames of the application."""
+    code = """
+import os
+from opsloom.plans import storage
+from opsloom.session import local_session
+s = local_session(1, 1, "1g")
+path = storage.shared_path(s, "x")
+storage.cut_lineage(s.range(3))
+assert os.listdir(os.path.dirname(path))
+storage.drop_written(s)
+assert not os.path.exists(os.path.dirname(path))
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120)
