@@ -93,11 +93,18 @@ def cost_anomalies(df: DataFrame, by: list[str], dim: str, ts: str, cost: str, n
     """Anomalous days of the cost per group, with the dimension value that grew most against its own mean."""
     fine = cut_lineage(df.groupBy(*by, dim, bucket(ts, "day").alias("bucket")).agg(F.sum(cost).alias("v")))
     total = fine.groupBy(*by, "bucket").agg(F.sum("v").alias("v"))
-    bad = anomaly_points(fill_gaps(total, by, "day", {"v": 0.0}), by, "bucket", "v", n, k)
-    parts = fill_gaps(fine, [*by, dim], "day", {"v": 0.0}, written=True)
-    w = Window.partitionBy(*by, dim).orderBy("bucket").rowsBetween(-n, -1)
-    parts = parts.withColumn("_growth", F.round(F.col("v") - F.avg("v").over(w), 4)).withColumnRenamed("v", "_v")
-    joined = null_safe_join(bad, parts, [*by, "bucket"])
+    bad = cut_lineage(anomaly_points(fill_gaps(total, by, "day", {"v": 0.0}), by, "bucket", "v", n, k))
+    # the bad days are few: only their spans of days are looked at, and no series is filled
+    day = F.expr("INTERVAL 1 DAY")
+    spans = bad.select(*by, F.col("bucket").alias("_day"), F.explode(F.sequence(F.col("bucket") - n * day, F.col("bucket"), day)).alias("bucket"))
+    today = F.col("bucket") == F.col("_day")
+    spent = null_safe_join(fine, spans, [*by, "bucket"]).groupBy(*by, F.col("_day").alias("bucket"), dim).agg(
+        F.sum(F.when(today, F.col("v")).otherwise(0.0)).alias("_v"), F.sum(F.when(today, 0.0).otherwise(F.col("v"))).alias("_before")
+    )
+    # a value without cost in the span has grown by nothing
+    joined = null_safe_join(null_safe_join(bad, fine.select(*by, dim).distinct(), by), spent, [*by, "bucket", dim], "left")
+    growth = F.coalesce("_v", F.lit(0.0)) - F.coalesce("_before", F.lit(0.0)) / n
+    joined = joined.withColumn("_growth", F.round(growth, 4))
     first = top_per_key(joined, [*by, "bucket"], [F.col("_growth").desc(), F.col(dim)], 1, "_rn")
     return first.select(*by, "bucket", F.col("v").alias("cost"), "mean", F.col(dim).alias("root_cause"), F.col("_growth").alias("growth"))
 
