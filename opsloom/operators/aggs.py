@@ -12,6 +12,7 @@ from opsloom.plans.joining import null_safe_join, share_of
 from opsloom.plans.ordered import ordered_window, rank_by_value, top_per_key
 from opsloom.plans.predicates import first_match, to_column
 from opsloom.plans.quantiles import exact_quantiles
+from opsloom.plans.storage import cut_lineage
 from opsloom.plans.timing import bucket as time_bucket
 from opsloom.plans.timing import fill_gaps
 
@@ -126,15 +127,15 @@ def top(df: DataFrame, n: int, measure: str, key: list[str], by: list[str] | Non
 
 
 def frequent(df: DataFrame, cols: list[str], n: int, by: list[str] | None = None, rare: bool = False) -> DataFrame:
-    """Most (or least) frequent value combinations with count and share of the group."""
+    """Most (or least) frequent value combinations with count and share of the group; the rows are counted once, here."""
     by = by or []
-    counts = df.groupBy(*by, *cols).agg(F.count("*").alias("n"))
+    counts = cut_lineage(df.groupBy(*by, *cols).agg(F.count("*").alias("n")))
     if by:
-        totals = df.groupBy(*by).agg(F.count("*").alias("_total"))
+        totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
         counts = null_safe_join(counts, totals, by)
         counts = counts.withColumn("share", share_of(F.col("n"), F.col("_total"))).drop("_total")
     else:
-        counts = counts.withColumn("share", share_of(F.col("n"), df.agg(F.count("*")).scalar()))
+        counts = counts.withColumn("share", share_of(F.col("n"), counts.agg(F.sum("n")).scalar()))
     return top(counts, n, "n", cols, by, bottom=rare)
 
 

@@ -13,7 +13,7 @@ from opsloom.operators.aggs import seconds_between, top
 from opsloom.operators.joins import in_interval
 from opsloom.operators.panes import summarize_steps
 from opsloom.plans.joining import null_safe_join, share_of
-from opsloom.plans.ordered import ordered_window, time_chunk, top_per_key
+from opsloom.plans.ordered import counted_chunk, ordered_window, top_per_key
 from opsloom.plans.predicates import first_match
 from opsloom.plans.quantiles import exact_quantiles
 from opsloom.plans.storage import cut_lineage
@@ -271,8 +271,11 @@ def distribution(df: DataFrame, col: str, edges: list[float], by: list[str]) ->
 
 
 def counter_rate(df: DataFrame, by: list[str], ts: str, counter: str, order: list[str], chunk: Column | None = None) -> DataFrame:
-    """Snapshots of a growing counter to increments and rates; a fall is a reset, counted from zero."""
-    chunk = chunk if chunk is not None else time_chunk(ts)
+    """Snapshots of a growing counter to increments and rates; a fall is a reset, counted from zero.
+
+    Without a ``chunk`` one is chosen by counts.
+    """
+    chunk = chunk if chunk is not None else counted_chunk(df, by, ts)
     rows = ordered_window(df, by, order, chunk, lag={"_pts": ts, "_pc": counter})
     grown = F.col(counter) - F.col("_pc")
     increment = F.when(grown < 0, F.col(counter)).otherwise(grown)

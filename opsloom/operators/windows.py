@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opsloom.operators.aggs import seconds_between
 from opsloom.operators.columns import matching_columns
-from opsloom.plans.ordered import ordered_window, time_chunk
+from opsloom.plans.ordered import counted_chunk, ordered_window, time_chunk
 from opsloom.plans.storage import cut_lineage
 from opsloom.plans.timing import bucket, fill_gaps
 
@@ -46,8 +46,8 @@ def minus(a: DataFrame, b: DataFrame, all: bool = False) -> DataFrame:
 
 
 def delta(df: DataFrame, cols: list[str], by: list[str], ts: str, order: list[str], chunk: Column | None = None) -> DataFrame:
-    """Difference to the previous row of the key and change per second."""
-    chunk = chunk if chunk is not None else time_chunk(ts)
+    """Difference to the previous row of the key and change per second; without a ``chunk`` one is chosen by counts."""
+    chunk = chunk if chunk is not None else counted_chunk(df, by, ts)
     rows = ordered_window(df, by, order, chunk, lag={"_pts": ts, **{f"_p_{c}": c for c in cols}})
     for c in cols:
         diff = F.col(c) - F.col(f"_p_{c}")

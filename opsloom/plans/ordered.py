@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.plans.joining import null_safe_join
+from opsloom.plans.storage import cut_lineage
 
 _HEAD, _ROW, _TAIL = 0, 1, 2
 
@@ -26,6 +27,19 @@ def step_chunk(col: str, step: int) -> Column:
     return F.floor(F.col(col) / F.lit(step))
 
 
+def counted_chunk(df: DataFrame, by: list[str], ts: str, rows: int = 1_000_000) -> Column:
+    """The longest of day, hour, minute and second in which no key has more than ``rows`` rows (a second if all have).
+
+    One scan counts per key and minute; the longer units are added up from that table.
+    """
+    minutes = cut_lineage(df.groupBy(*by, time_chunk(ts, "minute").alias("_at")).agg(F.count("*").alias("_n")))
+    for unit in ("day", "hour", "minute"):
+        largest = minutes.groupBy(*by, time_chunk("_at", unit)).agg(F.sum("_n").alias("_n")).agg(F.max("_n")).first()[0] or 0
+        if largest <= rows:
+            return time_chunk(ts, unit)
+    return time_chunk(ts, "second")
+
+
 def _summary(kind: str, name: str, order: Column) -> Column:
     col = F.col(name)
     if kind in ("sum", "count"):

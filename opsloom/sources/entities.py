@@ -50,8 +50,14 @@ def write_entity(
     df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", partition_by: list[str] | None = None,
     max_records: int | None = None, **opts,
 ) -> None:
-    """Write a target; ``compression`` and other writer options pass through."""
+    """Write a target; ``compression`` and other writer options pass through.
+
+    With ``partition_by`` the rows are brought together by folder first, and Spark splits what is
+    large and joins what is small by measured size: a folder gets few files, a hot one several.
+    """
     _known(fmt)
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode).options(**_options(fmt, opts)).format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

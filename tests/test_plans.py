@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from opsloom.plans.closure import reach, sum_up_tree
 from opsloom.plans.joining import null_safe_join, salted_join
-from opsloom.plans.ordered import ordered_window, rank_by_value, step_chunk
+from opsloom.plans.ordered import counted_chunk, ordered_window, rank_by_value, step_chunk
 from opsloom.plans.predicates import Cond, Negate, all_of, any_of, to_column, wildcard_regex
 from opsloom.plans import quantiles, storage
 from opsloom.plans.quantiles import exact_quantiles
 from opsloom.plans.storage import cut_lineage
 from opsloom.plans.timing import bucket, fill_gaps
+from opsloom.sources.entities import write_entity
 from tests.conftest import rows
 
 
@@ -228,3 +229,18 @@ storage.drop_written(s)
 assert not os.path.exists(os.path.dirname(path))
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120)
+
+
+def test_chunk_by_counts(spark):
+    """The longest unit in which the hottest key stays within the limit."""
+    df = spark.range(7200).selectExpr("if(id % 10 = 0, 'b', 'hot') AS k", "timestamp_micros(id * 1000000)::timestamp_ntz AS ts")
+    width = lambda rows: df.select(counted_chunk(df, ["k"], "ts", rows).alias("c")).distinct().count()
+    assert [width(r) for r in (10_000, 3300, 60, 10)] == [1, 2, 120, 7200]
+    assert counted_chunk(df.where("false"), ["k"], "ts") is not None
+
+
+def test_partitioned_write_brings_folders_together(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id", "id % 5 AS g").repartition(8)
+    write_entity(df, f"{tmp_path}/t", partition_by=["g"])
+    files = [len([f for f in os.listdir(f"{tmp_path}/t/g={g}") if f.startswith("part")]) for g in range(5)]
+    assert max(files) <= 2 and spark.read.parquet(f"{tmp_path}/t").count() == 3000
