@@ -177,8 +177,10 @@ def windows(t):
     f"""SELECT win, count(*) AS n, round(sum(value), 2) AS total FROM events JOIN ({WINDOWS}) ON ts >= s AND ts < e GROUP BY win""",
 )
 def _(t):
-    hit = J.in_interval(t.events.select("event_id", "ts", "value"), windows(t), "ts", "s", "e", 3600, salts=4, key=["event_id"])
-    return hit.groupBy("win").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    hit = J.in_interval(
+        t.events.select("event_id", "ts", "value"), windows(t), "ts", "s", "e", 3600, salts=4, key=["event_id"], per=["win"], count="n", totals={"total": "value"}
+    )
+    return hit.select("win", "n", F.round("total", 2).alias("total"))
 
 
 @query(

@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsloom.plans.joining import salted_join
-from opsloom.plans.ordered import top_per_key
+from opsloom.plans.ordered import ordered_window, top_per_key
+from opsloom.plans.storage import cut_lineage
 from opsloom.plans.timing import seconds_of
 
 
@@ -109,14 +111,24 @@ def compare_tables(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def in_interval(
     events: DataFrame, intervals: DataFrame, ts: str, start: str, end: str, bucket_seconds: int = 86400,
     by: list[str] | None = None, how: str = "inner", salts: int = 1, key: list[str] | None = None,
+    per: list[str] | None = None, count: str = "n", totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Events inside [start, end) of an interval, optionally of the same ``by`` key.
 
     Both sides get a time bucket as equi key, the exact bounds are checked after
     it.  ``salts`` spreads a bucket that holds very many events.  For left_semi
     and left_anti an event counts once.
+
+    With ``per`` (columns of the intervals) the result is the inner join summed up per value of
+    these, without forming its pairs: ``per``, the number of pairs as ``count``, and for each name
+    in ``totals`` the sum of that event column; see ``_interval_totals``.
     """
     by = by or []
+    if per is not None:
+        if how != "inner":
+            raise ValueError(f"totals of an interval join cannot be {how}")
+        pairs = lambda some: in_interval(some, intervals, ts, start, end, bucket_seconds, by, "inner", salts, key)
+        return _interval_totals(events, intervals, ts, start, end, bucket_seconds, by, per, count, totals or {}, pairs)
     slot = lambda c: F.floor(seconds_of(c) / bucket_seconds)
     last = slot(end)
     spread = intervals.where(F.col(start) < F.col(end)).withColumn("_slot", F.explode(F.sequence(slot(start), last)))
@@ -136,6 +148,72 @@ def in_interval(
     return hit.select(*[F.col(f"e.{c}") for c in events.columns], *extra)
 
 
+#: Real numbers of this size and beyond, and those that are not finite, have no decimal that leaves room for sums.
+_LARGEST = 1e20
+
+
+def _interval_totals(
+    events: DataFrame, intervals: DataFrame, ts: str, start: str, end: str, bucket_seconds: int, by: list[str], per: list[str],
+    count: str, totals: dict[str, str], pairs, rows: int = 1_000_000,
+) -> DataFrame:
+    """Count and sums of the events of each interval, added up per ``per``; values without an event are left out.
+
+    Events and bounds are brought into one order of time.  What an interval holds is what came
+    before its end less what came before its start, so the work grows with events plus intervals
+    and not with what meets.  Real numbers are summed as decimals of 20 digits, counted from the
+    largest one, which leaves 18 for sums, so that the difference is exact; events with a number
+    that no such decimal holds are met in pairs.  A sum of nulls alone is null.
+    """
+    kinds = {c: events.schema[c].dataType for c in set(totals.values())}
+    reals = {c: kind for c, kind in kinds.items() if isinstance(kind, (T.DoubleType, T.FloatType))}
+    plain = reduce(lambda a, b: a & b, [F.col(c).isNull() | (F.abs(F.col(c)) < _LARGEST) for c in reals], F.lit(True))
+    value = {c: F.col(c) for c in kinds}
+    odd = 0
+    if reals:
+        # one scan for the size of the numbers, which sets the digits after the point
+        largest = events.agg(F.count_if(~plain), *[F.max(F.when(plain, F.abs(F.col(c)))) for c in reals]).first()
+        odd = largest[0]
+        for c, top in zip(reals, largest[1:]):
+            value[c] = F.col(c).cast("double").cast(f"decimal(38,{20 - len(str(int(top or 0)))})")
+    keys = [f"_by{i}" for i in range(len(by))]
+    group = [F.col(c).alias(k) for c, k in zip(by, keys)]
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by], F.lit(True))
+    names = [f"_per{i}" for i in range(len(per))]
+    took = [F.col(c).alias(n) for c, n in zip(per, names)]
+    happened = events.where(plain & known & F.col(ts).isNotNull()).select(
+        *group, F.col(ts).alias("_at"), F.lit(1).alias("_side"), F.lit(1).cast("bigint").alias("_n"), *[v.alias(f"_v{i}") for i, v in enumerate(value.values())]
+    )
+    # at equal times bounds come first: an event at the start is inside, one at the end is not
+    bound = F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(True).alias("opens")), F.struct(F.col(end).alias("at"), F.lit(False).alias("opens"))))
+    bounds = intervals.where((F.col(start) < F.col(end)) & known).select(*group, *took, bound.alias("_b"))
+    bounds = bounds.select(*keys, *names, F.col("_b.at").alias("_at"), F.lit(0).alias("_side"), F.col("_b.opens").alias("_opens"))
+    points = happened.unionByName(bounds, allowMissingColumns=True)
+    zoned = isinstance(points.schema["_at"].dataType, T.TimestampType)
+    second = F.unix_seconds("_at") if zoned else seconds_of("_at")
+    # chunks of the bucket's length, or shorter ones where one would be too much for a task
+    width = bucket_seconds
+    if width > 60:
+        minutes = cut_lineage(points.groupBy(*keys, F.floor(second / 60).alias("_m")).agg(F.count("*").alias("_rows")))
+        most = lambda size: minutes.groupBy(*keys, F.floor(F.col("_m") * 60 / size)).agg(F.sum("_rows").alias("_rows")).agg(F.max("_rows")).first()[0] or 0
+        width = next((size for size in (bucket_seconds, 60) if most(size) <= rows), 1)
+    running = {"_n_": ("sum", F.col("_n"))}
+    for i in range(len(value)):
+        running |= {f"_c{i}_": ("count", F.col(f"_v{i}")), f"_v{i}_": ("sum", F.col(f"_v{i}"))}
+    passed = ordered_window(points, keys, ["_at", "_side"], F.floor(second / width), running=running).where("_side = 0")
+    less = lambda c: F.sum(F.when(F.col("_opens"), -F.col(c)).otherwise(F.col(c)))
+    held = passed.groupBy(*names).agg(*[less(c).alias(c) for c in running]).where("_n_ > 0")
+    place = {c: i for i, c in enumerate(value)}
+    sums = []
+    for out, c in totals.items():
+        total = F.when(F.col(f"_c{place[c]}_") > 0, F.col(f"_v{place[c]}_"))
+        sums.append((total.cast("double") if c in reals else total).alias(out))
+    done = held.select(*[F.col(n).alias(c) for n, c in zip(names, per)], F.col("_n_").alias(count), *sums)
+    if not odd:
+        return done
+    met = pairs(events.where(~plain)).select(*per, F.lit(1).cast("bigint").alias(count), *[F.col(c).alias(out) for out, c in totals.items()])
+    return done.unionByName(met).groupBy(*per).agg(F.sum(count).alias(count), *[F.sum(out).alias(out) for out in totals])
+
+
 def match_indicators(df: DataFrame, iocs: DataFrame, key: list[str], fields: list[str], mode: str = "enriched") -> DataFrame:
     """Indicators (indicator, threat) found in any of the fields.
 

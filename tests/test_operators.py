@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from opsloom.catalog import QUERIES
 from opsloom.operators import aggs as A
 from opsloom.operators import billing as B
 from opsloom.operators import columns as C
@@ -106,6 +107,32 @@ def test_interval_join_against_brute_force(spark, bucket, salts):
     assert left.columns == events.columns
 
 
+@pytest.mark.parametrize("bucket", [30, 3600, 864000])
+def test_interval_totals_are_those_of_the_pairs(spark, bucket):
+    r = random.Random(2)
+    odd = [None, float("nan"), float("inf"), 1e300, -1e21, -0.0, 99999999999999999999.0, 1e-9]
+    ev = [(i, None if i % 50 == 0 else at(r.randrange(300) * 10), r.choice(["a", "b", None]), r.choice([r.randrange(10000) / 100, *odd[: 6 * (i % 9 == 0)]]), r.choice([None, i])) for i in range(300)]
+    iv = [(j % 30, at((s := r.randrange(300)) * 10), at((s + r.randrange(-9, 60)) * 10), r.choice(["a", "b", None])) for j in range(90)]
+    iv += [(1, None, at(1), "a"), (2, at(1), None, "a"), (None, at(0), at(9), "a")]
+    events = spark.createDataFrame(ev, "id int, ts timestamp_ntz, k string, v double, w bigint")
+    spans = spark.createDataFrame(iv, "win int, s timestamp_ntz, e timestamp_ntz, k string")
+    for some in (events, events.where("abs(v) < 1e19"), events.where("v IS NULL"), events.limit(0)):
+        pairs = J.in_interval(some, spans, "ts", "s", "e", bucket, ["k"], salts=2, key=["id"])
+        want = pairs.groupBy("win").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("v"), F.sum("w").alias("w"))
+        got = J.in_interval(some, spans, "ts", "s", "e", bucket, ["k"], salts=2, key=["id"], per=["win"], totals={"v": "v", "w": "w"})
+        assert got.dtypes == want.dtypes and rows(got.withColumn("v", F.round("v", 6)).select("win", "n", "v", "w").selectExpr("win", "n", "string(v)", "w")) == rows(want.selectExpr("win", "n", "string(v)", "w"))
+
+
+def test_interval_totals_form_no_pairs(spark):
+    """A hundred thousand events in all of fifty thousand intervals: five thousand million pairs."""
+    events = spark.range(100000).selectExpr("timestamp_micros(id)::timestamp_ntz AS ts", "id / 8 AS v")
+    spans = spark.range(50000).selectExpr("id AS win", "timestamp_micros(-id)::timestamp_ntz AS s", "timestamp_micros(100000 + id)::timestamp_ntz AS e")
+    got = J.in_interval(events, spans, "ts", "s", "e", 3600, per=["win"], totals={"total": "v"})
+    assert got.groupBy("n", "total").count().collect() == [(100000, 99999 * 100000 / 16, 50000)]
+    plan = QUERIES["j9_interval_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_compare_tables_null_changes(frame):
     a = frame([(1, "x"), (2, None), (3, "z")], "k int, v string")
     b = frame([(1, "x"), (2, "y"), (4, "w")], "k int, v string")
