@@ -90,18 +90,45 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-zà-öø-ÿ]+"), F.lit(0))
 
 
-def keywords(df: DataFrame, doc: str, text: str, n: int, stop_words: list[str], hot_rows: int = 1_000_000) -> DataFrame:
+def word_counts(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """``doc, word, tf``, counted within each row: equal words lie side by side in its sorted words, and no word is shuffled.
+
+    Rows of one id are added up, which only ids of several rows pay for.
+    """
+    ids = df.groupBy(doc).agg(F.count("*").alias("_n"))
+    repeated = cut_lineage(ids.where("_n > 1").select(doc))
+    if not repeated.isEmpty():
+        once = _counts_per_row(null_safe_join(df, repeated, [doc], "left_anti"), doc, text)
+        more = _counts_per_row(null_safe_join(df, repeated, [doc], "left_semi"), doc, text)
+        return once.unionByName(more.groupBy(doc, "word").agg(F.sum("tf").alias("tf")))
+    return _counts_per_row(df, doc, text)
+
+
+def _counts_per_row(df: DataFrame, doc: str, text: str) -> DataFrame:
+    rows = df.select(doc, F.sort_array(tokens(F.col(text))).alias("_words")).where(F.size("_words") > 0)
+    word = lambda i: F.get("_words", i)
+    rows = rows.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: (i == 0) | (word(i) != word(i - 1))))
+    end = lambda k: F.coalesce(F.get("_at", k + 1), F.size("_words"))
+    counted = F.transform("_at", lambda at, k: F.struct(word(at).alias("word"), (end(k) - at).cast("bigint").alias("tf")))
+    return rows.select(doc, F.inline(counted))
+
+
+def keywords(df: DataFrame, doc: str, text: str, n: int, stop_words: list[str], hot_rows: int = 1_000_000, hot_words: int = 50_000) -> DataFrame:
     """Top n words per document by tf x ln(documents / documents with the word).
 
-    A word of more than ``hot_rows`` documents meets its count where its postings are, so a word
-    of all documents is not one key of a shuffle.
+    A word of more than ``hot_rows`` documents, and the ``hot_words`` most frequent ones, meet their
+    counts where their postings are: a word of all documents is not one key of a shuffle, and of
+    all words of a document that are frequent only the best n leave the task.
     """
-    words = df.select(doc, F.explode(tokens(F.col(text))).alias("word")).where(~F.col("word").isin(stop_words))
     # read for the counts and for the scores, and far smaller than the texts
-    tf = cut_lineage(words.groupBy(doc, "word").agg(F.count("*").alias("tf")))
+    tf = cut_lineage(word_counts(df, doc, text).where(~F.col("word").isin(stop_words)))
     spread = cut_lineage(tf.groupBy("word").agg(F.count("*").alias("df")))
     total = df.agg(F.count("*")).scalar()
-    scored = split_join(tf, spread, "word", hot_rows, "df").withColumn("score", F.round(F.col("tf") * F.ln(total / F.col("df")), 6))
+    # only the histogram of counts is ordered; words of more documents than the limit are at most hot_words
+    sizes = spread.groupBy("df").agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_words", F.sum("_n").over(Window.orderBy(F.col("df").desc())))
+    limit = sizes.where(F.col("_words") > hot_words).agg(F.max("df")).first()[0] or 0
+    scored = split_join(tf, spread, "word", min(hot_rows, limit), "df").withColumn("score", F.round(F.col("tf") * F.ln(total / F.col("df")), 6))
     return top_per_key(scored, [doc], [F.col("score").desc(), F.col("word")], n)
 
 

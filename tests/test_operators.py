@@ -420,6 +420,20 @@ def test_a_word_of_all_documents_is_no_join_key(spark):
     assert rows(G.rerank(pairs, queries, docs, "q", "id", "t", 4, hot_rows=50)) == want and len(want) == 8
 
 
+def test_words_are_counted_without_a_shuffle(spark):
+    r = random.Random(5)
+    texts = [(i, " ".join(r.choice(["a", "b", "ü", "be", "B,", "1"]) for _ in range(r.randrange(12))) if i % 9 else None) for i in range(60)]
+    for some in (texts, [*texts, (3, "a B a"), (3, "zz"), (None, "a ü"), (None, "ü ü"), (None, None)]):
+        docs = spark.createDataFrame(some, "id int, t string")
+        got = X.word_counts(docs, "id", "t")
+        words = docs.select("id", F.explode(X.tokens(F.col("t"))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
+        assert got.dtypes == words.dtypes and rows(got) == rows(words)
+        if some is texts:
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        plain = rows(X.keywords(docs, "id", "t", 3, ["be"], hot_words=0))
+        assert plain and all(rows(X.keywords(docs, "id", "t", 3, ["be"], hot_words=n)) == plain for n in (1, 2, 50000))
+
+
 def test_split_join_counts_for_itself(spark):
     big = spark.range(100).selectExpr("CASE WHEN id < 60 THEN 'hot' WHEN id < 80 THEN concat('k', id % 3) WHEN id < 90 THEN 'lost' END AS k", "id")
     small = spark.createDataFrame([("hot", 1), ("k0", 2), ("k1", 3), ("never", 4)], "k string, v int")
