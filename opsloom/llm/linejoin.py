@@ -34,20 +34,30 @@ def segments(length: Column, count: int) -> list[tuple[Column, Column]]:
     return list(zip(starts, sizes))
 
 
-def entries(line: Column, length: Column, threshold: int) -> list[Column]:
-    """The keys under which a line is entered."""
-    return [F.xxhash64(length, F.lit(i), F.substring(line, start, size)) for i, (start, size) in enumerate(segments(length, threshold + 1))]
+def signs_of(line: Column) -> Column:
+    """The characters of a line in four bytes each, so that a piece is cut without a walk from the line's start."""
+    return F.encode(line, "UTF-32")
 
 
-def lookups(line: Column, length: Column, threshold: int) -> list[Column]:
-    """The keys that a line looks up: every substring that can be a segment of a line that is as long or up to ``threshold`` shorter."""
+def _key(signs: Column, length: Column, i: int, start: Column, size: Column) -> Column:
+    return F.xxhash64(length, F.lit(i), F.substring(signs, start * 4 - 3, size * 4))
+
+
+def entries(signs: Column, length: Column, threshold: int) -> list[Column]:
+    """The keys under which a line is entered, and which it looks up for lines as long as itself."""
+    return [_key(signs, length, i, start, size) for i, (start, size) in enumerate(segments(length, threshold + 1))]
+
+
+def lookups(signs: Column, length: Column, threshold: int) -> list[Column]:
+    """The other keys that a line looks up: every substring that can be a segment of a line that is as long or up to ``threshold`` shorter."""
     keys = []
     for shorter in range(threshold + 1):
         other = length - shorter
         for i, (start, size) in enumerate(segments(other, threshold + 1)):
             # i edits at most lie before a first unchanged segment, threshold - i behind a last one
             for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1):
-                keys.append(F.xxhash64(other, F.lit(i), F.substring(line, start + shift, size)))
+                if shorter or shift:
+                    keys.append(_key(signs, other, i, start + shift, size))
     return keys
 
 
@@ -108,23 +118,24 @@ def classes(lines: DataFrame, threshold: int, least_chars: int) -> DataFrame:
     kinds = long.groupBy(F.unhex(F.md5("line")).alias("digest")).agg(first.alias("first"))
     kinds = _packed(kinds.select(F.monotonically_increasing_id().alias("kind"), "digest", F.struct("first.doc_id", "first.line_no").alias("first"), F.col("first.line").alias("line")))
     size = F.length("line")
-    cuttable = kinds.where(size > threshold)
-    own = [F.struct(key.alias("key"), F.lit(True).alias("entry")) for key in entries(F.col("line"), size, threshold)]
-    sought = [F.struct(key.alias("key"), F.lit(False).alias("entry")) for key in lookups(F.col("line"), size, threshold)]
-    # one exchange of all keys, and only those under which an entry and a lookup of two lines meet go on
+    # the explode evaluates what it is given once per key, so length and signs are columns before it
+    cuttable = kinds.where(size > threshold).select("kind", size.alias("size"), signs_of(F.col("line")).alias("signs"))
+    own = [F.struct(key.alias("key"), F.lit(True).alias("entry")) for key in entries(F.col("signs"), F.col("size"), threshold)]
+    sought = [F.struct(key.alias("key"), F.lit(False).alias("entry")) for key in lookups(F.col("signs"), F.col("size"), threshold)]
+    # one exchange of all keys, and only those under which an entry meets another line go on; an entry is looked up too
     every = cuttable.select("kind", F.explode(F.array(*own, *sought)).alias("k")).select("kind", "k.*")
     under = Window.partitionBy("key")
-    flags = {"_first": F.min("kind"), "_last": F.max("kind"), "_entered": F.max("entry"), "_only": F.min("entry")}
+    flags = {"_first": F.min("kind"), "_last": F.max("kind"), "_entered": F.max("entry")}
     met = every.withColumns({name: value.over(under) for name, value in flags.items()})
-    met = cut_lineage(met.where("_first != _last and _entered and not _only").select("key", "kind", "entry").distinct())
-    # a line's keys, three entries and a dozen lookups at two edits: a pair is met under the least that both have
-    of_line = met.groupBy("kind").agg(F.collect_set(F.when(F.col("entry"), F.col("key"))).alias("entries"), F.collect_set(F.when(~F.col("entry"), F.col("key"))).alias("lookups"))
+    met = cut_lineage(met.where("_first != _last and _entered").select("key", "kind", "entry").distinct())
+    # a line's keys, three entries and nine others at two edits: a pair is met under the least that both have
+    of_line = met.groupBy("kind").agg(F.collect_set(F.when(F.col("entry"), F.col("key"))).alias("entries"), F.collect_set("key").alias("lookups"))
     counts = [(F.length("line") - F.length(F.replace("line", F.lit(c)))).alias(f"c{i}") for i, c in enumerate(COUNTED)]
     counted = cut_lineage(kinds.join(of_line, "kind").select("kind", "entries", "lookups", size.alias("size"), *counts))
     met = cut_lineage(met.join(counted, "kind"))
     names = [f"c{i}" for i in range(len(COUNTED))]
     left = met.where("entry").select("key", "kind", "entries", "size", *names)
-    right = met.where("not entry").select("key", F.col("kind").alias("other"), "lookups", F.col("size").alias("o_size"), *(F.col(c).alias(f"o_{c}") for c in names))
+    right = met.select("key", F.col("kind").alias("other"), "lookups", F.col("size").alias("o_size"), *(F.col(c).alias(f"o_{c}") for c in names))
     # an edit changes the counts of its signs by two at most
     moved = reduce(lambda x, y: x + y, (F.abs(F.col(c) - F.col(f"o_{c}")) for c in names))
     # of two lines of one length either finds the other, and one of them is enough

@@ -134,6 +134,16 @@ def test_edit_distance_in_the_band(spark):
         assert df.where(linejoin.within(F.col("a"), F.col("b"), threshold) != (F.levenshtein("a", "b") <= threshold)).count() == 0
 
 
+def test_a_line_makes_each_key_once(spark):
+    """Two edits: three segments that are entered and looked up at once, and nine other pieces; the same piece of lines with other signs has the same key."""
+    lines = spark.createDataFrame([("abcdefghijklmnopqrstuvwxyz",), ("äbcdefghijklmnopqrstuvwx😀z",)], "line string")
+    signs, size = linejoin.signs_of(F.col("line")), F.length("line")
+    keys = [linejoin.entries(signs, size, 2), linejoin.lookups(signs, size, 2)]
+    a, b = lines.select(*(F.array(*some) for some in keys)).collect()
+    assert [len(some) for some in a] == [3, 9] and len({*a[0], *a[1]}) == 12
+    assert a[0][1] == b[0][1] and a[0][0] != b[0][0] and a[0][2] != b[0][2]
+
+
 @pytest.mark.parametrize("threshold", [1, 2])
 def test_line_classes_and_links(spark, threshold):
     rng = random.Random(threshold)
