@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.held import held
+from opsloom.llm.held import drop, held
 
 RESULT = "doc_id {kind}, lang_pred string, score double, bits_per_byte double"
 #: Languages whose costs are laid out in one table; with more, a text is scored table by table.
@@ -30,7 +31,7 @@ PER_TABLE = 16
 #: Bytes that are stepped through side by side with those of other pieces of text.
 PIECE = 256
 #: Bytes of text scored at once, and bytes of training text counted at once.
-BATCH_BYTES, COUNT_BYTES = 16 << 20, 2 << 20
+BATCH_BYTES, COUNT_BYTES = 2 << 20, 2 << 20
 #: Contexts whose costs are copied at once.
 SLICE = 4096
 
@@ -54,6 +55,7 @@ def _count_grams(order: int):
             yield pa.RecordBatch.from_arrays(columns, ["lang", "k", "gram", "n"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop()  # what an earlier stage kept
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for lang in sorted(set(langs)):
@@ -95,7 +97,7 @@ class Table:
         grams = {k: [model.grams[lang, k] for lang in some] for k in range(model.order + 1)}
         seen = np.unique(np.concatenate([g for g, _ in grams[0]]))
         #: Bytes by number: 0 starts anew and costs nothing, 1 is any byte that no language knows.
-        self.number = np.ones(256, np.int64)
+        self.number = np.ones(256, np.uint16)
         self.number[seen] = np.arange(2, len(seen) + 2)
         width = len(seen) + 2
         contexts = [np.zeros(1, np.int64)] + [np.unique(np.concatenate([g >> 8 for g, _ in grams[k]])) for k in range(1, model.order + 1)]
@@ -136,7 +138,8 @@ class Table:
         out = np.zeros((len(texts), self.cost.shape[1]))
         if not pieces.sum():
             return out
-        codes = np.concatenate([[0], self.number[np.frombuffer(b"".join(texts), np.uint8)]])
+        codes = np.zeros(int(lengths.sum()) + 1, self.number.dtype)  # the largest array beside the tables: two bytes a byte of text
+        codes[1:] = self.number[np.frombuffer(b"".join(texts), np.uint8)]
         start = np.cumsum(lengths) - lengths
         doc = np.repeat(np.arange(len(texts)), pieces)
         at = start[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
@@ -210,14 +213,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            text = batch.column("text")
+            sizes = pc.fill_null(pc.binary_length(text), 0).to_pylist()
             i = 0
-            while i < len(texts):
+            while i < len(sizes):
                 j, size = i, 0
-                while j < len(texts) and (j == i or size < BATCH_BYTES):
-                    size += len(texts[j] or b"")
+                while j < len(sizes) and (j == i or size < BATCH_BYTES):
+                    size += sizes[j]
                     j += 1
-                some = texts[i:j]
+                some = text.slice(i, j - i).to_pylist()
                 bits = model.bits([t or b"" for t in some])
                 if model.languages:
                     best = bits.argmin(axis=1)

@@ -1,21 +1,25 @@
 """Main text, quality, language, archives: fixtures, brute force and held-out accuracy."""
 
 import base64
+import gc
 import hashlib
 import html
 import random
 import re
 import time
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from opsloom.llm import htmlblocks, ppm, pulearning, warc
-from opsloom.llm.held import drop
+from opsloom.llm.held import drop, held
 from opsloom.llm.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
@@ -138,6 +142,30 @@ def test_code_lengths_are_exact(spark, monkeypatch, piece):
     assert np.allclose(model.bits(texts), [plain_bits(trains, t, 3, 2) if t else [0, 0] for t in texts], rtol=1e-5)
 
 
+def test_scoring_takes_a_few_bytes_a_byte_of_text():
+    text = b"abra banana zyx " * 500
+    row = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([text])], ["lang", "text"])
+    grams = {(0, b.column("k")[0].as_py()): (b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in ppm._count_grams(2)(iter([row]))}
+    model, texts = ppm.Model(["a"], grams, 2), [text] * 300
+    model.tables()
+    tracemalloc.start()
+    bits = model.bits(texts)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    drop()
+    assert np.ptp(bits) == 0 and peak < 8 * len(text) * len(texts)
+
+
+def test_counting_lets_go_of_what_an_earlier_stage_kept():
+    class Thing:
+        pass
+
+    gone = weakref.ref(held({}, Thing))
+    assert list(ppm._count_grams(2)(iter([]))) == []
+    gc.collect()
+    assert gone() is None
+
+
 def test_language_of_awkward_rows(spark, awkward, nothing):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     model = ppm.fit(docs)
