@@ -54,11 +54,11 @@ def build(doc_ids: list[int | None], sequences: list[np.ndarray]) -> bytes:
     known = np.array([d is not None for d in doc_ids], bool)
     header = {"n": len(ids), "levels": levels, "kind": ids.dtype.str, "docs": put(np.array([d or 0 for d in doc_ids], "<i8").tobytes()), "known": put(np.packbits(known).tobytes()), "firsts": put(firsts.astype("<i8").tobytes()), "planes": []}
     for level in reversed(range(levels)):
-        bits = (ids >> level & 1).astype(bool)
+        bits = (ids & np.array(1 << level, ids.dtype)) != 0
         blocks = [put(np.packbits(bits[i : i + BLOCK], bitorder="little").tobytes()) for i in range(0, len(bits), BLOCK)]
         before = np.array([np.count_nonzero(bits[i : i + BLOCK]) for i in range(0, len(bits), BLOCK)], np.int64)
         header["planes"].append({"blocks": blocks, "zeros": int(len(bits) - before.sum()), "before": np.cumsum(np.append(0, before))[:-1].tolist()})
-        ids = np.concatenate([ids[~bits], ids[bits]]) if level else ids
+        ids = np.concatenate([ids.take(np.flatnonzero(~bits)), ids.take(np.flatnonzero(bits))]) if level else ids
     head = json.dumps(header).encode()
     return MAGIC + len(head).to_bytes(8, "little") + head + b"".join(parts)
 
@@ -161,9 +161,9 @@ class WaveletFile:
         """All ids: the planes undone from the lowest bit up."""
         ids = np.zeros(self.n, self.header["kind"])
         for plane in reversed(range(self.levels)):
-            bits = np.concatenate([self._bits(plane, b) for b in range(len(self.header["planes"][plane]["blocks"]))]).astype(bool) if self.n else np.zeros(0, bool)
+            bits = np.concatenate([self._bits(plane, b) for b in range(len(self.header["planes"][plane]["blocks"]))]).view(bool) if self.n else np.zeros(0, bool)
             above, zeros = np.empty_like(ids), self.header["planes"][plane]["zeros"]
-            above[~bits], above[bits] = ids[:zeros], ids[zeros:] | np.array(1 << self.levels - 1 - plane, ids.dtype)
+            above[np.flatnonzero(~bits)], above[np.flatnonzero(bits)] = ids[:zeros], ids[zeros:] | np.array(1 << self.levels - 1 - plane, ids.dtype)
             ids = above
         return ids
 
@@ -196,8 +196,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["partition", "number", "path", "n_docs", "n_tokens"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode.encode(part.column(1).to_pylist())):
                     doc_ids.append(doc_id)
                     sequences.append(np.concatenate([ids, end]))

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from opsloom.llm import packing, wavelet
-from opsloom.llm.tokens import encoder
+from opsloom.llm.tokens import Encoder, encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 FRESH = Tokenizer.from_file(PATH)
@@ -30,6 +30,21 @@ def test_added_tokens_have_the_ids_of_the_file(text):
     assert encoder(PATH).encode([text, "hello <|endoftext|> world"])[0].tolist() == FRESH.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["word", "Ab", "word.", "it's", "é", "漢", "Ċ", "Ġ", "12", ".", "'s", "\n", " ", " ", "\n", "\t", "\x1c", "\u2028", "\xa0", "\0"]), max_size=12).map("".join))
+def test_line_feeds_part_words_as_the_library_does(text):
+    assert encoder(PATH).encode([text, text + "\n"])[0].tolist() == FRESH.encode(text, add_special_tokens=False).ids
+    assert encoder(PATH).encode([text + "\n"])[0].tolist() == FRESH.encode(text + "\n", add_special_tokens=False).ids
+
+
+def test_each_part_is_learned_once_whatever_line_it_ends():
+    own = Encoder(PATH)
+    text = " ".join(f"word{i % 7}.\nLine{i % 5} goes on" for i in range(100))
+    assert own.encode([text])[0].tolist() == FRESH.encode(text, add_special_tokens=False).ids
+    # 7 words before a line feed, 5 after it, "goes" and "on"
+    assert len(own.kept) == 14
+
+
 def test_the_ids_of_an_added_token():
     assert encoder(PATH).encode(["hello <|endoftext|> world"])[0].tolist() == [31373, 220, 50256, 995]
 
